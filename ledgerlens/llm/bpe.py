@@ -29,8 +29,8 @@ from pyspark.sql.functions import pandas_udf
 
 from .common import bounded_batches
 
-#: Entries of a worker's memory of words and of fragments; emptied when full.
-CACHE_ENTRIES = 1 << 17
+#: Entries of a generation of a worker's memory of words; of fragments, all.
+CACHE_ENTRIES = 1 << 18
 #: Longer words and fragments are not remembered.
 CACHE_LENGTH = 64
 
@@ -68,6 +68,7 @@ class WordBPE:
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.joined = self._joined_pairs()
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.fragments: dict[tuple[str, ...], tuple[int, ...]] = {}
 
     def pieces(self, token: str) -> list[str]:
@@ -89,9 +90,6 @@ class WordBPE:
 
     def merge(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
         """Merge a fragment: lowest rank first, then leftmost."""
-        known = self.fragments.get(symbols)
-        if known is not None:
-            return known
         parts, ranks, last = list(symbols), self.ranks, len(self.ranks)
         score = [ranks.get(p, last) for p in zip(parts, parts[1:])]
         while score:
@@ -105,15 +103,35 @@ class WordBPE:
                 score[at - 1] = ranks.get((parts[at - 1], parts[at]), last)
             if at < len(score):
                 score[at] = ranks.get((parts[at], parts[at + 1]), last)
-        ids = tuple(self.vocab[p] for p in parts if p in self.vocab)
-        if len(symbols) <= CACHE_LENGTH:
-            if len(self.fragments) >= CACHE_ENTRIES:
-                self.fragments.clear()
-            self.fragments[symbols] = ids
+        return tuple(self.vocab[p] for p in parts if p in self.vocab)
+
+    def fragment(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
+        """``merge`` of a part of a word, remembered if it is short."""
+        ids = self.fragments.get(symbols)
+        if ids is None:
+            ids = self.merge(symbols)
+            if len(symbols) <= CACHE_LENGTH:
+                if len(self.fragments) >= CACHE_ENTRIES:
+                    self.fragments.clear()
+                self.fragments[symbols] = ids
         return ids
 
     def word(self, word: str) -> bytes:
-        """Little-endian 32-bit ids of one word, fragment by fragment."""
+        """Little-endian 32-bit ids of one word, fragment by fragment.
+
+        Words are remembered in two generations, so that frequent ones stay.
+        """
+        out = self.older.get(word)
+        if out is None:
+            out = self._word(word)
+        if len(word) <= CACHE_LENGTH:
+            if len(self.words) >= CACHE_ENTRIES:
+                self.older = self.words.copy()
+                self.words.clear()
+            self.words[word] = out
+        return out
+
+    def _word(self, word: str) -> bytes:
         if word.isascii():
             symbols = list(word) if word.isprintable() else [self.symbols[b] for b in word.encode()]
         else:
@@ -123,15 +141,10 @@ class WordBPE:
         start, joined = 0, self.joined
         for k in range(1, len(symbols)):
             if (symbols[k - 1], symbols[k]) not in joined:
-                ids += self.merge(tuple(symbols[start:k]))
+                ids += self.fragment(tuple(symbols[start:k]))
                 start = k
-        ids += self.merge(tuple(symbols[start:]))
-        out = np.array(ids, dtype="<u4").tobytes()
-        if len(word) <= CACHE_LENGTH:
-            if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            self.words[word] = out
-        return out
+        ids += self.fragment(tuple(symbols[start:])) if start else self.merge(tuple(symbols))
+        return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text."""
