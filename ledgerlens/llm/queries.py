@@ -11,13 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bytededup, decontam, licences, quality, secrets, simhash
+from . import bpe, bytededup, decontam, licences, linededup, pii, quality, secrets, simhash, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.deduplicate(table(spark, sf_dir, "documents"), min_lines=2)
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", "n_lines", "n_removed_lines", "n_runs", kept.alias("kept_sha256"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bytededup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -63,6 +69,23 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(table(spark, sf_dir, "documents"))
+    in_order = lambda c: F.transform(F.array_sort(F.transform(c, lambda s: F.struct(F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"]).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return out.select(
+        "doc_id",
+        *[number(k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(F.array_join(in_order(F.col("base")), ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(in_order(F.concat("base", "added")), ",").alias("spans"),
+    )
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
+    return urlrules.judge(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -81,16 +104,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash": op3_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
-    "op7_licence_scan": op7_licence_scan,
     "op6_decontaminate": op6_decontaminate,
+    "op7_licence_scan": op7_licence_scan,
+    "op8_pii": op8_pii,
+    "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": linededup.oracle_sql(),
     "op4_quality_rules": quality.oracle_sql(),
     "op7_licence_scan": licences.oracle_sql(),
 }
