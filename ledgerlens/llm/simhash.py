@@ -269,3 +269,96 @@ def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = 3, id_col:
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = written(named.join(lowest, "root").select("fp", F.explode("salts").alias("salt"), "component_id"), "components")
     return rows.join(of_print, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+
+
+#: MinHash values, dealt over bands; a band of pairs at 0.8 agrees with 0.26.
+BANDS, BAND_VALUES = 16, 6
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    """Band values of a set of hashes by one permutation, empty bins filled.
+
+    An empty bin takes the value of a full one, chosen by hashing the bin's
+    number again and again, as if it had its own permutation.
+    """
+    bins = BANDS * BAND_VALUES
+    least = np.full(bins, 2**64 - 1, dtype=np.uint64)
+    np.minimum.at(least, ((hashes >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)).astype(np.int64), (hashes << np.uint64(24)) >> np.uint64(24))
+    full = least != np.uint64(2**64 - 1)
+    for k in np.flatnonzero(~full).tolist():
+        tried = 0
+        while True:
+            j = xxhash.xxh64_intdigest(b"%d:%d" % (k, tried)) % bins
+            if full[j]:
+                least[k] = least[j]
+                break
+            tried += 1
+    rows = least.reshape(BANDS, BAND_VALUES).astype("<u8")
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)]
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, threshold: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``component_id`` where links are Jaccard similarities.
+
+    Two texts are linked if their sets of word shingles (A-Z lower-cased) have
+    at least that similarity, exactly verified.  Within a few bits, fingerprints
+    only bring texts together that are far more alike than 0.8, and wider radii
+    make the probes as many as the texts; so the fingerprint links are joined
+    by bands of MinHash values, which meet at 0.8 with a chance of over 0.99.
+    In every band a text meets the smallest and the largest id of those that
+    share it, never all of them.  Texts that are equal count as one; texts
+    without words are equal to each other.
+    """
+    bounded_batches(docs.sparkSession)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    digest = lambda c: F.struct(F.xxhash64(c).alias("x"), F.xxhash64(F.lit("second"), c).alias("y"))
+
+    @pandas_udf("struct<fp:long,words:boolean,bands:array<long>>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                parts = shingles(t, size)
+                hashes = np.array([xxhash.xxh64_intdigest(p, 42) for p in set(parts)], dtype=np.uint64)
+                bands = np.array(_bands(hashes), dtype=np.uint64).view(np.int64).tolist() if parts else []
+                out.append((fingerprint_of(t, size), bool(parts), bands))
+            fps = np.array([o[0] for o in out], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"fp": fps, "words": [o[1] for o in out], "bands": [o[2] for o in out]})
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
+    each = rows.select("doc_id", sketch(F.col("text")).alias("s"), digest(F.col("text")).alias("same"))
+    each = written(each.select("doc_id", "s.*", F.when(F.col("s.words"), F.col("same")).alias("same")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "sketches")
+    # equal texts first: the smallest id stands for all
+    salted = each.groupBy("same", "salt").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    equal = written(salted.groupBy("same").agg(F.min("node").alias("node"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.collect_set("salt").alias("salts")), "equal")
+    nodes = equal.where("node is not null and same is not null")
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    ends = banded.groupBy("band", "value").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
+    pair = lambda other: F.struct(F.least("node", other).alias("a"), F.greatest("node", other).alias("b"))
+    by_band = banded.join(ends, ["band", "value"]).select(F.explode(F.array(pair("first"), pair("last"))).alias("p"))
+    of_print = nodes.groupBy("fp").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    prints = written(of_print, "prints")
+    near = links(prints.select("fp"), threshold)
+    left, right = prints.select(F.col("fp").alias("a"), F.col("node").alias("na")), prints.select(F.col("fp").alias("b"), F.col("node").alias("nb"))
+    by_print = near.join(left, "a").join(right, "b").select(F.struct(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).alias("p"))
+    shared_print = nodes.join(prints.select("fp", F.col("node").alias("first")), "fp").select(pair("first").alias("p"))
+    pairs = written(by_band.unionAll(by_print).unionAll(shared_print).select("p.a", "p.b").where("a <> b").distinct(), "pairs")
+
+    @pandas_udf("boolean")
+    def alike(one: pd.Series, two: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(one, two):
+            s, t = set(shingles(x, size)), set(shingles(y, size))
+            both = len(s & t)
+            out.append(both >= similarity * (len(s) + len(t) - both) - 1e-9)
+        return pd.Series(out)
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = written(rows.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    one, two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    edges = pairs.join(one, "a").join(two, "b").where(alike("ta", "tb")).select("a", "b")
+    roots = components(edges)
+    named = equal.join(roots, equal["node"] == roots["node"], "left").select("same", F.explode("salts").alias("salt"), F.coalesce("root", equal["node"]).alias("component_id"))
+    named = written(named, "components")
+    return each.join(named, each["same"].eqNullSafe(named["same"]) & (each["salt"] == named["salt"])).select("doc_id", "component_id")
