@@ -15,9 +15,9 @@ bucket can still decide something:
    which spell out the block.  Equal blocks beyond the smallest document are
    repeats as a whole.
 3. *Second refinement.*  Where a bucket still holds different blocks, and only
-   there, the smallest document of each block hands in its single starts.  A
-   start is sorted by its bucket identifier and, reusing the same updated
-   identifiers, by that q bytes on: together the window.  The smallest document
+   there, the smallest document of each block hands in its single starts, as
+   the block's bytes.  A start is sorted by the identifier of the q-gram there
+   and, reusing the same identifiers, by that q bytes on: together the window.  The smallest document
    of each window decides.
 
 Documents are hashed into chunks.  A chunk hands in each bucket or block once,
@@ -58,6 +58,7 @@ _STEP = _U(0x9E3779B97F4A7C15)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
+    # callers let the products wrap around
     h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
     return h ^ (h >> _U(32))
 
@@ -101,7 +102,7 @@ class Strip:
         self.q, self.length = q, length
         self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.begin = np.cumsum(self.sizes) - self.sizes
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        self.data = data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         if len(data) < length:
             self.first = self.last = self.doc = np.zeros(0, np.int64)
             self.bucket = self.block = self.grams = np.zeros(0, np.uint64)
@@ -153,10 +154,20 @@ def _packed(ranges: np.ndarray, fields: np.ndarray) -> Iterator[tuple[int, bytes
         yield int(ranges[a]), fields[a:b].tobytes()
 
 
-def _range(bucket: np.ndarray, n: int) -> np.ndarray:
-    """Ranges of equal share; mixed anew, as least hashes crowd at the low end."""
+def _mix_again(bucket: np.ndarray) -> np.ndarray:
+    """Least hashes crowd at the low end; this spreads them evenly."""
+    with np.errstate(over="ignore"):
+        return _mix(bucket * _STEP)
+
+
+def _share(spread: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` equal ranges."""
     with np.errstate(over="ignore"):
-        return ((_mix(bucket * _STEP) >> _U(40)) * _U(n)) >> _U(24)
+        return ((spread >> _U(40)) * _U(n)) >> _U(24)
+
+
+def _range(bucket: np.ndarray, n: int) -> np.ndarray:
+    return _share(_mix_again(bucket), n)
 
 
 def _unpacked(table: pa.Table, dtype: np.dtype) -> np.ndarray:
@@ -164,16 +175,30 @@ def _unpacked(table: pa.Table, dtype: np.dtype) -> np.ndarray:
 
 
 PACKED = "target int, payload binary"
+WITH_BYTES = "target int, payload binary, body binary"
 
 
 def _packed_table(pairs: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({"target": pa.array([t for t, _ in pairs], pa.int32()), "payload": pa.array([p for _, p in pairs], pa.binary())})
 
 
-SEEN = np.dtype([("bucket", "<u8"), ("chunk", "<u4")])
+def _with_bytes(rows: list[tuple[int, bytes, bytes]]) -> pa.Table:
+    return pa.table({"target": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary()), "body": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (n of them), one run after the other."""
+    n = n.astype(np.int64)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+#: Beyond its range 40 bits of a bucket, and 24 of its chunk, in one number;
+#: buckets that agree by chance stay in and are told apart by the next step.
+SHORT, CHUNK_BITS = _U(24), 24
 BLOCK = np.dtype([("bucket", "<u8"), ("block", "<u8"), ("doc", "<i8"), ("chunk", "<u4")])
 ANSWER = np.dtype([("bucket", "<u8"), ("block", "<u8"), ("doc", "<i8"), ("mixed", "u1")])
-START = np.dtype([("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i4"), ("chunk", "<u4")])
+#: A block that hands in its ``n`` starts; its bytes travel beside it.
+HEAD = np.dtype([("bucket", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i4"), ("n", "<i4"), ("chunk", "<u4")])
 #: ``mark`` tells rows of one id and different texts apart.
 COVER = np.dtype([("mark", "<i8"), ("at", "<i4"), ("size", "<i4")])
 
@@ -188,6 +213,18 @@ def _first_of(fields: np.ndarray, *names: str) -> np.ndarray:
     return new
 
 
+def _joined(c: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Covers that follow each other in one text as one; and their chunks."""
+    joins = np.zeros(len(c), dtype=bool)
+    joins[1:] = (c["mark"][1:] == c["mark"][:-1]) & (chunk[1:] == chunk[:-1]) & (c["at"][1:] <= c["at"][:-1] + c["size"][:-1]) & (c["at"][1:] > c["at"][:-1])
+    head = np.flatnonzero(~joins)
+    if not len(head):
+        return c, chunk
+    out = c[head]
+    out["size"] = np.maximum.reduceat(c["at"] + c["size"], head) - c["at"][head]
+    return out, chunk[head]
+
+
 def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
     """(documents with their chunk, covered bytes packed by chunk, chunks)."""
     if length < 4 or length % 2:
@@ -195,47 +232,46 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     spark = docs.sparkSession
     bounded_batches(spark)
     total = text_bytes(docs, f"`{text_col}`")
-    n_chunks = max(6, total // CHUNK_BYTES)
+    n_chunks = min(max(6, total // CHUNK_BYTES), (1 << CHUNK_BITS) - 1)
     n_ranges = max(6, total // RANGE_BYTES)
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8").alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("doc_id", "text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int"))
 
     def buckets_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = [], 0
+        seen, held = [], 0
 
         def handed() -> Iterator[pa.RecordBatch]:
-            seen = np.concatenate(found) if found else np.zeros(0, SEEN)
-            seen = seen[np.lexsort((seen["chunk"], seen["bucket"]))]
-            third = np.zeros(len(seen), dtype=bool)  # two entries of a chunk tell that it is repeated
-            third[2:] = (seen["bucket"][2:] == seen["bucket"][:-2]) & (seen["chunk"][2:] == seen["chunk"][:-2])
-            seen = seen[~third]
-            yield from _packed_table(list(_packed(_range(seen["bucket"], n_ranges), seen))).to_batches()
+            every = np.sort(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
+            third = np.zeros(len(every), dtype=bool)  # two entries of a chunk tell that it is repeated
+            third[2:] = every[2:] == every[:-2]
+            every = every[~third]
+            yield from _packed_table(list(_packed(_share(every, n_ranges), every))).to_batches()
 
         for batch in batches:
             texts, chunks = batch["text"].to_pylist(), batch["chunk"].to_numpy()
             for own, strip in strips(batch["doc_id"].to_pylist(), texts, length):
                 order = np.lexsort((strip.doc, strip.bucket))
-                seen = np.zeros(len(order), SEEN)
-                seen["bucket"] = strip.bucket[order]
-                seen["chunk"] = chunks[np.array(own)[strip.doc[order]]]
-                doc = strip.doc[order]
-                new = _first_of(seen, "bucket")
-                new[1:] |= doc[1:] != doc[:-1]
-                found.append(seen[new])  # once for each document
-                held += int(new.sum())
+                bucket, doc = strip.bucket[order], strip.doc[order]
+                new = np.ones(len(order), dtype=bool)  # once for each document
+                new[1:] = (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])
+                bucket = bucket[new]
+                chunk = chunks[np.array(own)[doc[new]]].astype(np.uint64)
+                seen.append(((_mix_again(bucket) >> SHORT) << SHORT) | chunk)
+                held += len(bucket)
             if held >= HELD_ENTRIES:
                 yield from handed()
-                found, held = [], 0
+                seen, held = [], 0
         yield from handed()
 
     def repeated_buckets(table: pa.Table) -> pa.Table:
-        seen = _unpacked(table, SEEN)
-        seen = seen[np.argsort(seen["bucket"], kind="stable")]
-        new = _first_of(seen, "bucket")
+        seen = np.sort(_unpacked(table, np.dtype("<u8")))
+        bucket = seen >> SHORT
+        new = np.ones(len(seen), dtype=bool)
+        new[1:] = bucket[1:] != bucket[:-1]
         alone = new & np.r_[new[1:], True]
-        seen = seen[~alone]
-        seen = np.unique(seen)
-        return _packed_table([(t, np.frombuffer(p, SEEN)["bucket"].tobytes()) for t, p in _packed(seen["chunk"].astype(np.int64), seen)])
+        seen = np.unique(seen[~alone])
+        chunk = (seen & _U((1 << CHUNK_BITS) - 1)).astype(np.int64)
+        return _packed_table(list(_packed(chunk, seen >> SHORT)))
 
     seen = rows.mapInArrow(buckets_seen, PACKED)
     repeated = written(seen.groupBy("target").applyInArrow(repeated_buckets, PACKED), "buckets")
@@ -249,8 +285,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         ids, chunk = docs_["doc_id"].to_pylist(), docs_["chunk"][0].as_py()
         found = []
         for own, strip in strips(ids, docs_["text"].to_pylist(), length):
-            j = np.minimum(np.searchsorted(known, strip.bucket), len(known) - 1)
-            hit = np.flatnonzero(known[j] == strip.bucket)
+            short = _mix_again(strip.bucket) >> SHORT
+            j = np.minimum(np.searchsorted(known, short), len(known) - 1)
+            hit = np.flatnonzero(known[j] == short)
             b = np.zeros(len(hit), BLOCK)
             b["bucket"], b["block"] = strip.bucket[hit], strip.block[hit]
             b["doc"] = np.array([ids[k] for k in own], dtype=np.int64)[strip.doc[hit]]
@@ -296,7 +333,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         """Covered blocks (target: -1 - chunk) and single starts (target: range)."""
         a = _unpacked(replies, ANSWER)
         if not len(a) or not docs_.num_rows:
-            return _packed_table([])
+            return _with_bytes([])
         key = lambda bucket, block: _mix(bucket + _mix(block + _STEP))
         with np.errstate(over="ignore"):
             a_key = key(a["bucket"], a["block"])
@@ -304,7 +341,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         a, a_key = a[order], a_key[order]
         ids, chunk = docs_["doc_id"].to_pylist(), docs_["chunk"][0].as_py()
         marks = docs_["mark"].to_numpy()
-        covers, starts = [], []
+        covers, heads, bodies = [], [], []
         for own, strip in strips(ids, docs_["text"].to_pylist(), length):
             with np.errstate(over="ignore"):
                 k = key(strip.bucket, strip.block)
@@ -318,40 +355,52 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             done = a["doc"][j] < doc
             c = np.zeros(int(done.sum()), COVER)
             c["mark"], c["at"], c["size"] = mark[done], at[done], (last - first)[done] + length
-            # blocks that follow each other become one cover
-            joins = np.zeros(len(c), dtype=bool)
-            joins[1:] = (c["mark"][1:] == c["mark"][:-1]) & (c["at"][1:] <= c["at"][:-1] + c["size"][:-1]) & (c["at"][1:] > c["at"][:-1])
-            head = np.flatnonzero(~joins)
-            if len(head):
-                tail = np.r_[head[1:], len(c)] - 1
-                merged = c[head]
-                merged["size"] = c["at"][tail] + c["size"][tail] - c["at"][head]
-                covers.append(merged)
+            covers.append(_joined(c, c["mark"])[0])
             ask = np.flatnonzero(~done & (a["mixed"][j] == 1))
-            n = (last - first)[ask] + 1
-            p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[ask], n)
-            s = np.zeros(len(p), START)
-            s["one"], s["two"] = strip.grams[p], strip.grams[p + length - strip.q]
-            s["doc"], s["mark"] = np.repeat(doc[ask], n), np.repeat(mark[ask], n)
-            s["at"], s["chunk"] = p - np.repeat(first[ask] - at[ask], n), chunk
-            starts.append(s)
+            h = np.zeros(len(ask), HEAD)
+            h["bucket"], h["doc"], h["mark"], h["at"] = strip.bucket[hit[ask]], doc[ask], mark[ask], at[ask]
+            h["n"], h["chunk"] = (last - first)[ask] + 1, chunk
+            heads.append(h)
+            bodies.append(strip.data[_runs(first[ask], h["n"] + length - 1)])
         c = np.concatenate(covers) if covers else np.zeros(0, COVER)
-        s = np.concatenate(starts) if starts else np.zeros(0, START)
-        return _packed_table([(-1 - chunk, c.tobytes()), *_packed(_range(s["one"], n_ranges), s)] if len(c) else list(_packed(_range(s["one"], n_ranges), s)))
+        out = [(-1 - chunk, c.tobytes(), b"")] if len(c) else []
+        h = np.concatenate(heads) if heads else np.zeros(0, HEAD)
+        if len(h):
+            body, size = np.concatenate(bodies), h["n"].astype(np.int64) + length - 1
+            offset, ranges = np.cumsum(size) - size, _range(h["bucket"], n_ranges).astype(np.int64)
+            order = np.argsort(ranges, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(ranges[order]) > 0, True])
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                own = order[x:y]
+                out.append((int(ranges[own[0]]), h[own].tobytes(), body[_runs(offset[own], size[own])].tobytes()))
+        return _with_bytes(out)
 
     def least_starts(table: pa.Table) -> pa.Table:
-        s = _unpacked(table, START)
-        s = s[np.lexsort((s["doc"], s["two"], s["one"]))]
-        if not len(s):
+        h = _unpacked(table, HEAD)
+        if not len(h):
             return _packed_table([])
-        new = _first_of(s, "one", "two")
-        least = s["doc"][new][np.cumsum(new) - 1]
-        s = s[least < s["doc"]]
-        c = np.zeros(len(s), COVER)
-        c["mark"], c["at"], c["size"] = s["mark"], s["at"], length
-        return _packed_table([(t, p) for t, p in _packed(s["chunk"].astype(np.int64), c)])
-
-    mixed = written(by_chunk(answers).applyInArrow(covers_and_starts, PACKED), "starts")
+        body = np.frombuffer(b"".join(table["body"].to_pylist()), dtype=np.uint8)
+        n = h["n"].astype(np.int64)
+        size = n + length - 1
+        q = length // 2
+        grams, p = gram_ids(body, q), _runs(np.cumsum(size) - size, n)
+        which = np.repeat(np.arange(len(h)), n)
+        one, two = grams[p], grams[p + length - q]
+        doc = h["doc"][which]
+        order = np.lexsort((doc, two, one))
+        one, two, doc, which, p = one[order], two[order], doc[order], which[order], p[order]
+        new = np.ones(len(one), dtype=bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        late = doc[new][np.cumsum(new) - 1] < doc
+        which, p = which[late], p[late]
+        c = np.zeros(len(p), COVER)
+        c["mark"], c["at"], c["size"] = h["mark"][which], h["at"][which] + p - (np.cumsum(size) - size)[which], length
+        chunk = h["chunk"][which].astype(np.int64)
+        order = np.lexsort((c["at"], c["mark"], chunk))
+        c, first = _joined(c[order], chunk[order])
+        return _packed_table(list(_packed(first, c)))
+
+    mixed = written(by_chunk(answers).applyInArrow(covers_and_starts, WITH_BYTES), "starts")
     free_shuffles(spark)
     late = mixed.where("target >= 0").groupBy("target").applyInArrow(least_starts, PACKED)
     covers = mixed.where("target < 0").select((-1 - F.col("target")).cast("int").alias("target"), "payload").unionAll(late)
