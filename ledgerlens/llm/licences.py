@@ -8,7 +8,9 @@ the sizes and s the shared bigrams, Dice is 2 s / (a + b).  As s is at most the
 smaller size, a unit reaches ``least`` only if its size lies within
 ``b * least / (2 - least)`` and ``b * (2 - least) / least``; only templates
 that pass this bound are compared, and only by units that share a bigram with
-any template.
+any template.  A match shares ``b * least / (2 - least)`` of a template's
+bigrams at least, so it has one of any larger rest of them: texts without one
+of a few telling bigrams of every template are left before they are cut up.
 
 The templates are fixed values in this module, so their broadcast is bounded.
 
@@ -21,6 +23,7 @@ gives an empty table.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +60,12 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])}) or sorted(set(words))
 
 
+def telling_bigrams(grams: list[str], least: int) -> list[str]:
+    """So many of a template's bigrams that a match has at least one of them."""
+    shared = -(-len(grams) * least // (200 - least))
+    return sorted(grams, key=lambda g: (-max(map(len, g.split(" "))), -len(g), g))[: len(grams) - shared + 1]
+
+
 def template_names(templates=TEMPLATES) -> list[str]:
     """A template's name: its licence and its number in the list."""
     return [f"{licence}#{k}" for k, (licence, _) in enumerate(templates)]
@@ -85,10 +94,15 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
     low = min(-(-len(g) * least // (200 - least)) for g in grams)
     high = max(len(g) * (200 - least) // least for g in grams)
 
-    lines = F.split(text, "\n", -1)
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
+    telling = sorted({t for g in grams for t in telling_bigrams(g, least)})
+    lines = F.split(F.col("text"), "\n", -1)
     numbered = F.transform(lines, lambda x, k: F.struct((k + 1).alias("unit"), unit_bigrams(x).alias("grams")))
     with_words = F.filter(numbered, lambda u: F.size(u["grams"]) > 0)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), with_words.alias("units"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), plain.alias("plain"))
+    maybe = reduce(lambda a, b: a | b, [F.col("plain").contains(f" {t} ") for t in telling], F.lit(False))
+    rows = rows.select("doc_id", F.when(maybe, F.col("text")).otherwise("").alias("text"))
+    rows = rows.select("doc_id", "text", with_words.alias("units"))
     # the whole text's bigrams are only worth having if it isn't far too long
     whole = F.when((F.size("units") > 1) & (F.array_max(F.transform("units", lambda u: F.size(u["grams"]))) <= high), F.array(F.struct(F.lit(0).alias("unit"), unit_bigrams(F.col("text")).alias("grams")))).otherwise(F.array().cast("array<struct<unit:int,grams:array<string>>>"))
     fits = F.filter(F.concat("units", whole), lambda u: (F.size(u["grams"]) >= low) & (F.size(u["grams"]) <= high) & F.arrays_overlap(u["grams"], any_bigram))
