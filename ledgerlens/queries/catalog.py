@@ -83,7 +83,8 @@ ob AS (SELECT object_id, count(*) AS n, count(date_precision) AS n_dated, min(ob
   coalesce(bool_or(transaction_state = 'restitution_erfolgt_or_vergleich'), false) AS any_resolved FROM ch GROUP BY object_id),
 terms(territory, term) AS (VALUES {TERMS}),
 win(territory, window_seq, window_id, w_from, w_to, w_tier) AS (VALUES {WINDOWS}),
-hit AS (SELECT ch.*, territory FROM ch JOIN terms ON regexp_matches(lower(strip_accents(location)), term)),
+places AS (SELECT location, territory FROM (SELECT DISTINCT location FROM ev) JOIN terms ON regexp_matches(lower(strip_accents(location)), term)),
+hit AS (SELECT ch.*, territory FROM ch JOIN places USING (location)),
 nm(owner_name, entry, basis, confirmed) AS (VALUES {NAMES}),
 ac(owner_name, entry, basis, confirmed) AS (VALUES {ACTORS}),
 an(owner_name, pattern) AS (VALUES {ANONYMOUS})"""
