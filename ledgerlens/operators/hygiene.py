@@ -34,7 +34,9 @@ def scan_text(label: str, text: str, allow_placeholders: bool = False, known_saf
 
 def findings(text: Column) -> Column:
     """(label, excerpt) of every match, in the order of the patterns."""
-    each = [F.transform(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)), lambda m, n=name: F.struct(F.lit(n).alias("label"), F.substring(m, 1, EXCERPT).alias("excerpt"))) for name, p in PATTERNS]
+    # a lambda of two parameters would get the index as its second
+    labelled = lambda name: lambda m: F.struct(F.lit(name).alias("label"), F.substring(m, 1, EXCERPT).alias("excerpt"))
+    each = [F.transform(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)), labelled(name)) for name, p in PATTERNS]
     return F.concat(*each)
 
 
