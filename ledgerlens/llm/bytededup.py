@@ -439,3 +439,21 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "n_spans": pa.array(out["n_spans"], pa.int64()), "spans": pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "kept": pa.array(out["kept"], pa.binary())})
 
     return rows.groupBy("chunk").cogroup(covers.groupBy("target")).applyInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:int,end:int>>, kept binary")
+
+
+def oracle_sql(length: int = 50) -> str:
+    """Digest rows of the query in DuckDB SQL: every substring, in hexadecimal."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT r, doc_id, p, substr(x, 2 * p + 1, {2 * length}) AS g FROM (SELECT r, doc_id, x, unnest(range(0, strlen(x) // 2 - {length - 1})) AS p FROM d WHERE strlen(x) >= {2 * length} AND doc_id IS NOT NULL)),
+f AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT r, p FROM s JOIN f USING (g) WHERE first < doc_id),
+o AS (SELECT r, p, p > lag(p) OVER (PARTITION BY r ORDER BY p) + {length} OR lag(p) OVER (PARTITION BY r ORDER BY p) IS NULL AS opens FROM c),
+k AS (SELECT r, p, sum(opens::INT) OVER (PARTITION BY r ORDER BY p) AS k FROM o),
+n AS (SELECT r, min(p) AS a, max(p) + {length} AS b FROM k GROUP BY r, k),
+e AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM n),
+q AS (SELECT e.r, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(b) AS last FROM e JOIN d USING (r) GROUP BY e.r)
+SELECT doc_id, CAST(strlen(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(CASE WHEN q.r IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN q ON q.r = d.r
+"""

@@ -230,3 +230,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, slop: int
         joined("near_items").alias("near_items"),
         F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length"))).alias("spans"),
     )
+
+
+def oracle_sql(length: int = 10) -> str:
+    """Digest rows of the query in DuckDB SQL, by a join on all windows."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = r"regexp_extract_all(translate(coalesce(text, ''), '{0}', '{1}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(upper, lower)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+b AS (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT DISTINCT item_id, least(len(w), {length}) AS n, array_to_string(w[i:i + least(len(w), {length}) - 1], ' ') AS g
+    FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - {length - 1}) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM p),
+g AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT r, i, g.n, item_id FROM g JOIN p ON p.g = g.g AND p.n = g.n),
+h AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM m) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN t ON t.r = d.r
+"""
