@@ -501,7 +501,7 @@ def _extensions(texts):
 
 @query("lido_extensions", f"{EV} SELECT source_ref, owner_name AS owner, 'Seen in ' || CAST(y AS VARCHAR) AS notes FROM ev")
 def lido_extensions(spark, sf_dir):
-    text = F.concat(F.lit("Seen in "), F.col("y").cast("string"), F.lit("\nPROVENA_EXT:owner_name=first\n\nPROVENA_EXT:owner_name = "), F.col("owner_name"))
+    text = F.concat(F.lit("Seen in "), F.col("y").cast("string"), F.lit("\nRECORD_EXT:owner_name=first\n\nRECORD_EXT:owner_name = "), F.col("owner_name"))
     return events(spark, sf_dir).select("source_ref", _extensions(text).alias("s")).select("source_ref", "s.owner", "s.notes")
 
 

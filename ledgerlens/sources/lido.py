@@ -22,7 +22,8 @@ from .lists import EventTypes, load_event_types
 from ..staging import staged
 from .records import InputError, typed, valid
 
-EXTENSION = "PROVENA_EXT:"
+#: Marks a line that gives a field: capitals and this ending.
+EXTENSION = re.compile("[A-Z]+_EXT:")
 DATE = re.compile(r"[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?")
 
 # Role terms, compared folded.
@@ -103,11 +104,11 @@ def extensions(lines: str, ref: str) -> tuple[dict[str, str], list[str]]:
     fields, prose = {}, []
     for line in lines.splitlines():
         line = line.strip()
-        if not line.startswith(EXTENSION):
+        if not (mark := EXTENSION.match(line)):
             if line:
                 prose.append(line)
             continue
-        name, sign, value = line.removeprefix(EXTENSION).partition("=")
+        name, sign, value = line[mark.end() :].partition("=")
         if not sign or name.strip() not in FIELDS:
             raise RowError(f"{ref}: not a known extension: {line!r}")
         fields[name.strip()] = value.strip()

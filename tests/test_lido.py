@@ -38,7 +38,7 @@ def test_notes(spark, tmp_path):
 
 
 def test_extensions_win(spark, tmp_path):
-    text = "<eventDescriptionSet><descriptiveNoteValue>Prose.\nPROVENA_EXT:owner_name=Other\nPROVENA_EXT:location=\nPROVENA_EXT:export_licence_present=no</descriptiveNoteValue><sourceDescriptiveNote>File 7</sourceDescriptiveNote></eventDescriptionSet>"
+    text = "<eventDescriptionSet><descriptiveNoteValue>Prose.\nRECORD_EXT:owner_name=Other\nRECORD_EXT:location=\nRECORD_EXT:export_licence_present=no</descriptiveNoteValue><sourceDescriptiveNote>File 7</sourceDescriptiveNote></eventDescriptionSet>"
     r = load(spark, tmp_path, record(event(actors="", more=text)))[0].first()
     assert (r.owner_name, r.location, r.export_licence_present, r.notes, r.source_citation) == ("Other", None, False, "Prose.", "File 7")
 
@@ -56,7 +56,7 @@ def test_actors(spark, tmp_path):
         ([record(event(actors=ACTOR.format("Old", "O", "Verkäufer")))], "parted with the object"),
         ([record(event(actors=ACTOR.format("A", "a", "Buyer") + ACTOR.format("B", "b", "Owner")))], "receiving party"),
         ([record(event(date="<earliestDate>1938-1-1</earliestDate>"))], "not a date"),
-        ([record(event(more="<eventDescriptionSet><descriptiveNoteValue>PROVENA_EXT:price=1</descriptiveNoteValue></eventDescriptionSet>"))], "extension"),
+        ([record(event(more="<eventDescriptionSet><descriptiveNoteValue>RECORD_EXT:price=1</descriptiveNoteValue></eventDescriptionSet>"))], "extension"),
         ([record()], "no events"),
         (["<other/>"], "no lido elements"),
         (["<lido>"], "not well-formed"),
