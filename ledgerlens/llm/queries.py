@@ -120,6 +120,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": linededup.oracle_sql(),
     "op2_suffix_dedup": bytededup.oracle_sql(),
     "op4_quality_rules": quality.oracle_sql(),
+    "op5_secret_scan": secrets.oracle_sql(),
     "op6_decontaminate": decontam.oracle_sql(),
     "op7_licence_scan": licences.oracle_sql(),
 }

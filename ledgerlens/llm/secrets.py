@@ -120,3 +120,28 @@ def scan(docs: DataFrame, owner_cols: tuple[str, ...] = ("source",), repo_cols:
 def listed(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def oracle_sql(few_owners: int = 2) -> str:
+    """Digest rows of the query in DuckDB SQL."""
+    quoted = lambda p: p.replace("'", "''")
+    kinds = " UNION ALL ".join(
+        f"SELECT r, {k} AS o, '{kind.name}' AS kind, {kind.least} AS least, string_split(regexp_replace(t, '{quoted(kind.pattern)}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS parts, {kind.group} AS grp FROM d WHERE regexp_matches(t, '{quoted(kind.hint)}')"
+        for k, kind in enumerate((*BASE, OTHER))
+    )
+    value = f"CASE grp WHEN 2 THEN regexp_extract(part, '{quoted(BASE[0].pattern)}', 2) ELSE part END"
+    base = ", ".join(f"CAST(count(*) FILTER (WHERE kind = '{k.name}') AS BIGINT) AS n_{k.name}" for k in BASE)
+    listed_ = "coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o){0}, '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, lang, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+k AS ({kinds}),
+p AS (SELECT r, o, kind, least, grp, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM k),
+s AS (SELECT *, CAST(sum(length(part)) OVER (PARTITION BY r, o ORDER BY i) AS BIGINT) AS b FROM p),
+m AS (SELECT r, o, kind, b - length(part) AS a, b, {value} AS v, least FROM s WHERE i % 2 = 1),
+c AS (SELECT m.*, source, lang FROM m JOIN d USING (r) WHERE length(v) >= least),
+w AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM c GROUP BY v),
+j AS (SELECT c.*, owners <= {few_owners} AS live FROM c JOIN w USING (v)),
+f AS (SELECT r, {base}, {listed_.format(f" FILTER (WHERE kind <> '{OTHER.name}')")} AS base, {listed_.format("")} AS spans, CAST(count(*) FILTER (WHERE live) AS BIGINT) AS n_live FROM j WHERE kind <> '{OTHER.name}' OR live GROUP BY r)
+SELECT doc_id, {', '.join(f'coalesce(n_{k.name}, 0) AS n_{k.name}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN f ON f.r = d.r
+"""
