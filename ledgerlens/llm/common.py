@@ -36,6 +36,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_written: list[str] = []
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete the tables that ``written`` made, once no frame reads them."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back.
 
@@ -44,6 +54,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     # the table replaces the shuffles that made it, so their files can go at once
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
@@ -60,6 +71,19 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def hashed_sample(df: DataFrame, size: int, total: int | None = None) -> DataFrame:
+    """At most ``size`` distinct rows, the first by hash of all columns.
+
+    A cut on the hash, from the number of rows, leaves about twice that many
+    before anything is sorted or gathered, however large the table is.
+    """
+    total = df.count() if total is None else total
+    key = F.xxhash64(F.lit("sample"), *[F.col(f"`{c}`") for c in df.columns])
+    if total > 2 * size:
+        df = df.where(F.pmod(key, F.lit(1 << 40)) < int(2 * size / total * (1 << 40)))
+    return df.distinct().orderBy(key, *df.columns).limit(size)
+
+
 def text_bytes(df: DataFrame, text_col: str) -> int:
     """UTF-8 bytes of all texts; one narrow aggregate."""
     return df.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import bounded_batches
+from .common import bounded_batches, hashed_sample
 from .tagger import PAD, Tagger, symbols_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -38,6 +38,7 @@ WINDOW, STRIDE = 96, 48
 #: Rows that the labelled spans come from, and windows that training takes.
 SAMPLE_ROWS = 400
 SAMPLE_WINDOWS = 800
+SAMPLE_CHARS = 20_000
 #: Windows that are decoded together.
 BATCH = 512
 
@@ -280,8 +281,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per row: ``doc_id``, ``base`` and ``added`` spans (kind, start, end)."""
     bounded_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`")
-    some = docs.where(text.rlike("[0-9@]")).select(text.alias("t")).orderBy(F.xxhash64("t"), "t").limit(SAMPLE_ROWS)
-    weights = trained([r.t for r in some.select(F.substring("t", 1, 20000).alias("t")).collect()])
+    # training takes windows of the sampled texts' beginnings; finding reads all
+    some = docs.where(text.rlike("[0-9@]")).select(F.col(f"`{id_col}`").alias("i"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))
+    weights = trained([r.t for r in hashed_sample(some, SAMPLE_ROWS).collect()])
 
     @pandas_udf(SPANS)
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
