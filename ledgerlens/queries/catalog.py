@@ -39,6 +39,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def vectorised(schema: str):
+    """An Arrow UDF that is made where it is used: importing needs no session."""
+    return lambda f: lambda *columns: pandas_udf(f, schema)(*columns)
+
+
 CFG = load_config()
 BAND = f"DATE '{CFG.onset.band[0]}'", f"DATE '{CFG.onset.band[1]}'"
 ACTOR, EXPORT, PATTERN = ("DATE '1938-01-01'", "DATE '1945-12-31'"), ("DATE '1933-01-01'", "DATE '1945-12-31'"), ("DATE '1933-01-01'", "DATE '1950-12-31'")
@@ -241,7 +246,7 @@ def normalise_query(spark, sf_dir):
     return events(spark, sf_dir).select("source_ref", normalise(F.col("owner_name")).alias("normalised"))
 
 
-@pandas_udf("struct<surname:string,given:string>")
+@vectorised("struct<surname:string,given:string>")
 def _person(names):
     import pandas as pd
 
@@ -256,7 +261,7 @@ def parse_person_query(spark, sf_dir):
     return events(spark, sf_dir).join(names, "owner_name", "left").select("source_ref", "surname", "given")
 
 
-@pandas_udf("string")
+@vectorised("string")
 def _forms(names):
     return names.map(lambda n: "|".join(candidate_forms(n)), na_action="ignore")
 
@@ -459,7 +464,7 @@ LIDO_ID = "CASE source_order % 6 WHEN 0 THEN 'lido01016' WHEN 1 THEN 'lido00996'
 LIDO_TERM = "CASE source_order % 6 WHEN 3 THEN 'Exchange' WHEN 4 THEN 'Théft' WHEN 5 THEN 'RESTITUTION' END"
 
 
-@pandas_udf("struct<state:string,reason:string>")
+@vectorised("struct<state:string,reason:string>")
 def _event_type(ids, terms):
     import pandas as pd
 
@@ -473,7 +478,7 @@ def event_type_lookup(spark, sf_dir):
     return out.select("source_ref", "s.state", F.col("s.reason").isNotNull().alias("left_out"))
 
 
-@pandas_udf("struct<first:string,last:string>")
+@vectorised("struct<first:string,last:string>")
 def _coarsen(first, last):
     import pandas as pd
 
@@ -491,7 +496,7 @@ def lido_coarsen(spark, sf_dir):
     return c.select("source_ref", _coarsen(F.col("a").cast("string"), F.col("b").cast("string")).alias("s")).select("source_ref", "s.first", "s.last")
 
 
-@pandas_udf("struct<owner:string,notes:string>")
+@vectorised("struct<owner:string,notes:string>")
 def _extensions(texts):
     import pandas as pd
 
