@@ -25,9 +25,9 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hashed_sample, written
 
-#: Labelled pages that are mined, the first by hash of their id.
+#: Labelled pages that are mined; of more, a sample by hash.
 MAX_LABELLED = 1_000_000
 #: With at most this many mined rules the index is broadcast.
 BROADCAST_RULES = 10_000
@@ -114,8 +114,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[HostRule, ...] = RUL
     name, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     rows = written(rows.select("page_id", "host", "path", tokens_of(F.col("host"), F.col("path"), F.col("url")).alias("tokens"), name.alias("rule"), verdict.alias("fixed"), F.monotonically_increasing_id().alias("row")), "urls")
     known = labels.where("id is not null and block is not null").groupBy("id").agg(F.max("block").alias("block"))
-    labelled = rows.join(known, rows["page_id"] == known["id"]).select("page_id", "tokens", "block").orderBy(F.xxhash64("page_id"), "page_id").limit(MAX_LABELLED)
+    labelled = rows.join(known, rows["page_id"] == known["id"]).select("page_id", "tokens", "block")
     labelled = written(labelled, "labelled")
+    if (n := labelled.count()) > MAX_LABELLED:
+        labelled = written(hashed_sample(labelled, MAX_LABELLED, n), "labelled")
     mined = written(mine(labelled, min_support, min_confidence, min_rows), "mined")
     # the index: each rule under its rarest token
     often = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
