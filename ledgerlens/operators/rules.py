@@ -7,6 +7,7 @@ cites the fields it rests on, as JSON in ``cited_fields``.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -200,23 +201,34 @@ def list_hits(records: DataFrame, names: NameList) -> DataFrame:
     found = match_names(records.select(F.explode("names").alias("name")), names.matching).select("name", F.explode("hits").alias("hit"))
     first = Window.partitionBy("object_id", "source_order", "hit.index").orderBy("name_pos")
     hits = each.join(found, "name").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    entries = records.sparkSession.createDataFrame(entry_rows(names), ENTRY_SCHEMA)
+    hits = hits.join(F.broadcast(entries.select("index", F.struct(*[c for c in entries.columns if c != "index"]).alias("entry"))), F.col("hit.index") == F.col("index"))
     return hits.withColumn("hit_seq", F.col("name_pos") * 100_000 + F.col("hit.index"))
 
 
-def entry_value(names: NameList, value) -> Column:
-    """A value of the matched entry; the list is small and goes as literals."""
-    out = F.lit(None).cast("string")
-    for k, e in enumerate(names.entries):
-        v = value(e)
-        if v is not None:
-            out = F.when(F.col("hit.index") == k, F.lit(v)).otherwise(out)
-    return out
+#: The values of a list entry that rules cite; nested ones as JSON.
+BASES = "array<struct<documented_basis:string,sources:array<string>,implies_persecution_of_former_owner:boolean,gate_basis:string,basis_period:string>>"
+ENTRY_TEXTS = ("name", "location", "active_period", "verification_note", "entry_type", "annotation", "source_url")
+ENTRY_SCHEMA = "index int, " + ", ".join(f"{t} string" for t in ENTRY_TEXTS) + ", bases string, cross_references string, implies boolean, exonerating boolean"
+
 
+def entry_rows(names: NameList) -> list[tuple]:
+    """The list's entries; the list is a JSON file that the driver holds."""
 
-def entry_json(names: NameList, value, schema: str) -> Column:
-    import json
+    def basis(b: dict) -> dict:
+        optional = {"gate_basis": b.get("gate_basis"), "basis_period": b.get("period")}
+        return {"documented_basis": b["summary"], "sources": b["sources"], "implies_persecution_of_former_owner": b["implies_persecution_of_former_owner"]} | {k: v for k, v in optional.items() if v}
 
-    return F.from_json(entry_value(names, lambda e: None if (v := value(e)) is None else json.dumps(v, ensure_ascii=False)), schema)
+    out = []
+    for k, e in enumerate(names.entries):
+        bases, cross = e.get("documented_basis"), e.get("cross_referenced_sources")
+        out.append(
+            (
+                k, *[e.get(t) for t in ENTRY_TEXTS], json.dumps([basis(b) for b in bases], ensure_ascii=False) if bases else None, json.dumps(cross, ensure_ascii=False) if cross else None,
+                any(b["implies_persecution_of_former_owner"] for b in bases or ()), e.get("entry_type") == "exonerating",
+            )
+        )
+    return out
 
 
 def match_parts() -> list:
@@ -233,7 +245,7 @@ def pc005(records: DataFrame, cfg: Config) -> tuple[list, list]:
     hits = list_hits(records.where("not resolved"), actors)
     undated = hits.where("not is_dated").dropDuplicates(["object_id", "source_order"])
     rows = hits.where("is_dated").withColumn("certainty", overlap_certainty(F.col("span"), start, end)).where("certainty is not null")
-    implies = F.col("hit.index").isin(*[k for k, a in enumerate(actors.entries) if any(b["implies_persecution_of_former_owner"] for b in a["documented_basis"])] or [-1])
+    implies = F.col("entry.implies")
     evidence = F.coalesce(F.col("transaction_state").isin(*EVIDENCING_STATES), F.lit(False))
     by_date, date_basis = tiers.by_threshold(F.col("span"), start, end, cfg.onset)
     tier = F.when(implies | evidence, by_date).otherwise("n/a")
@@ -243,15 +255,10 @@ def pc005(records: DataFrame, cfg: Config) -> tuple[list, list]:
         .when(evidence, F.concat(F.lit("the entry's documented basis does NOT bear on persecution of a former owner; the question rests solely on this record's own transaction_state ("), F.col("transaction_state"), F.lit(")")))
         .otherwise("the entry's documented basis does not bear on persecution of a former owner, and the record's transaction_state does not raise it")
     )
-    name = entry_value(actors, lambda a: a["name"])
-    bases = entry_json(
-        actors,
-        lambda a: [{"documented_basis": b["summary"], "sources": b["sources"], "implies_persecution_of_former_owner": b["implies_persecution_of_former_owner"]} | ({"gate_basis": b["gate_basis"]} if b.get("gate_basis") else {}) | ({"basis_period": b["period"]} if b.get("period") else {}) for b in a["documented_basis"]],
-        "array<struct<documented_basis:string,sources:array<string>,implies_persecution_of_former_owner:boolean,gate_basis:string,basis_period:string>>",
-    )
+    name = F.col("entry.name")
     parts = [
-        *cite(*RECORD), *match_parts(), ("actor_entry", name), ("documented_bases", bases), ("actor_location", entry_value(actors, lambda a: a.get("location")), True),
-        ("actor_active_period", entry_value(actors, lambda a: a.get("active_period")), True), ("verification_note", entry_value(actors, lambda a: a.get("verification_note")), True),
+        *cite(*RECORD), *match_parts(), ("actor_entry", name), ("documented_bases", F.from_json("entry.bases", BASES)), ("actor_location", F.col("entry.location"), True),
+        ("actor_active_period", F.col("entry.active_period"), True), ("verification_note", F.col("entry.verification_note"), True),
         ("actor_window", F.lit(f"{start} to {end}")), ("overlap_certainty", F.col("certainty")), ("citation_disclaimer", F.lit(DISCLAIMER)), ("persecution_inference_basis", inference), ("presumption_tier_basis", basis),
     ]
     statement = (
@@ -352,13 +359,13 @@ def nm001(records: DataFrame, cfg: Config) -> tuple[list, list, list]:
     hits = list_hits(records, names)
     undated = hits.where("not is_dated").dropDuplicates(["object_id", "source_order"])
     rows = hits.where("is_dated").withColumn("certainty", overlap_certainty(F.col("span"), start, end)).where("certainty is not null")
-    value = lambda key: entry_value(names, lambda e: e.get(key))
+    value = lambda key: F.col(f"entry.{key}")
     parts = [
         *cite("owner_name", "owner_name_variants", "date_span"), *match_parts(), ("screening_band", F.lit(f"{start} to {end}")), ("aliu_entry_name", value("name")), ("aliu_entry_type", value("entry_type")),
-        ("aliu_annotation", value("annotation")), ("source_url", value("source_url")), ("cross_referenced_sources", entry_json(names, lambda e: e.get("cross_referenced_sources"), "array<string>"), True),
+        ("aliu_annotation", value("annotation")), ("source_url", value("source_url")), ("cross_referenced_sources", F.from_json("entry.cross_references", "array<string>"), True),
         ("verification_note", value("verification_note"), True), ("citation_disclaimer", F.lit(DISCLAIMER)), ("critical_scholarly_context", F.lit(names.context or None).cast("string"), True),
     ]
-    exonerating = F.col("hit.index").isin(*[k for k, e in enumerate(names.entries) if e["entry_type"] == "exonerating"] or [-1])
+    exonerating = F.col("entry.exonerating")
     statement = F.concat(F.lit("Unverified: is the person or firm in this record the one that the list describes? An owner name matches the entry for "), value("name"), F.lit(". The entry's annotation is quoted in full; the match makes no finding."))
     statement = F.concat(statement, F.when(F.col("hit.confirmed"), "").otherwise(" IDENTITY NOT ESTABLISHED: a surname without a given name fits a different individual equally well."))
     context = F.concat(F.lit("An owner name matches the entry for "), value("name"), F.lit(", which is EXONERATING: its annotation, quoted in full, raises no concern. This is context, is not a flag and puts nothing in the queue."))
