@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import bounded_batches, written
+from .common import bounded_batches, hashed_sample, written
 
 BITS = 64
 #: Fingerprints sampled for bit correlations and candidate estimates.
@@ -190,7 +190,7 @@ def links(prints: DataFrame, threshold: int = 3) -> DataFrame:
     """
     spark = prints.sparkSession
     total = prints.count()
-    sample = np.array([r.fp for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
+    sample = np.array([r.fp for r in hashed_sample(prints.select("fp"), SAMPLE, total).collect()], dtype=np.int64).view(np.uint64)
     chosen = plan(sample, total, threshold)
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
