@@ -74,22 +74,42 @@ OTHER = Kind(
 SPAN = "array<struct<start:int,order:int,kind:string,end:int,value:bigint>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(lengths: Column) -> Column:
+    """Sums of all numbers before each; square in their count, so for few."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lengths, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+#: Parts whose places are summed up together; keeps texts of many matches fast.
+SUMMED = 512
+
+
+def _starts(lengths: Column) -> Column:
+    """Sums of all numbers before each, by sections and inside them."""
+    sections = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / SUMMED).cast("int")), lambda k: F.slice(lengths, k * SUMMED + 1, SUMMED))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, n: a + n)
+    return _let(sections, lambda c: F.flatten(F.zip_with(c, _scan(F.transform(c, total)), lambda inner, before: F.transform(_scan(inner), lambda x: x + before))))
+
+
 def matches(text: Column, kind: Kind, order: int) -> Column:
     """The kind's spans in ``text`` (which holds no ``MARK``)."""
     parts = F.split(F.regexp_replace(text, F.lit(kind.pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
-    place = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
 
-    def step(acc: Column, part: Column) -> Column:
+    def spans(parts: Column) -> Column:
         # parts alternate: between matches, match, between matches, ...
-        end = acc["at"] + F.char_length(part["text"])
-        value = F.regexp_extract(part["text"], kind.pattern, kind.group)
-        span = F.struct(acc["at"].alias("start"), F.lit(order).alias("order"), F.lit(kind.name).alias("kind"), end.alias("end"), F.xxhash64(value).alias("value"))
-        keep = part["match"] & (F.char_length(value) >= kind.least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).cast(SPAN).alias("found"))
-
-    numbered = F.transform(parts, lambda p, k: F.struct(p.alias("text"), (k % 2 == 1).alias("match")))
-    found = F.aggregate(numbered, place, step, lambda acc: acc["found"])
-    return F.when(text.rlike(kind.hint), found).otherwise(F.array().cast(SPAN))
+        def of(starts: Column) -> Column:
+            every = F.zip_with(parts, starts, lambda p, a: F.struct(p.alias("text"), a.alias("start")))
+            found = F.filter(every, lambda p, k: (k % 2 == 1) & (F.char_length(F.regexp_extract(p["text"], kind.pattern, kind.group)) >= kind.least))
+            return F.transform(found, lambda p: F.struct(p["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind.name).alias("kind"), (p["start"] + F.char_length(p["text"])).alias("end"), F.xxhash64(F.regexp_extract(p["text"], kind.pattern, kind.group)).alias("value")))
+
+        return _let(_starts(F.transform(parts, F.char_length)), of)
+
+    return F.when(text.rlike(kind.hint), _let(parts, spans)).otherwise(F.array()).cast(SPAN)
 
 
 def candidates(text: Column) -> Column:

@@ -30,6 +30,13 @@ def test_secrets_against_python(spark, rows):
     assert found[9100] == ""  # four owners have it
 
 
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"{k:040x}" for k in range(30_000))
+    frame = spark.createDataFrame([(1, text, "o", "en")], "doc_id long, text string, source string, lang string")
+    spans = [s for s in secrets.scan(frame).first().spans if s.kind == "hex"]
+    assert len(spans) == 30_000 and [(s.start, s.end) for s in spans[:3] + spans[-1:]] == [(0, 40), (41, 81), (82, 122), (41 * 29_999, 41 * 29_999 + 40)]
+
+
 def test_owners_are_counted_apart(spark):
     rows = [(k, f"token={'k' * 20}", "same", "en") for k in range(5)] + [(10 + k, f"token={'w' * 20}", f"o{k}", "en") for k in range(5)]
     out = {r.doc_id: r.spans[0] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
