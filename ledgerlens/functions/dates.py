@@ -32,7 +32,10 @@ class Partial:
         # a CASE keeps make_date away from what isn't a month
         month_ok, day_ok = month.isNull() | month.between(1, 12), day.isNull() | ((day >= 1) & (day <= F.dayofmonth(F.last_day(first))))
         self._bounds(F.when(year.isNull() | (year < 1) | ~month_ok, F.lit(False)).otherwise(F.coalesce(day_ok, F.lit(False))))
-        self.granularity = F.when(day.isNotNull(), "exact").when(month.isNotNull(), "month").when(year.isNotNull(), "year")
+
+    @property
+    def granularity(self) -> Column:
+        return F.when(self.day.isNotNull(), "exact").when(self.month.isNotNull(), "month").when(self.year.isNotNull(), "year")
 
     def _bounds(self, valid: Column) -> None:
         year, month, day = self.year, self.month, self.day

@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.dates import certainly_before, clipped_end, clipped_start, describe, overlap_certainty
+from ..functions.dates import Partial, certainly_before, clipped_end, clipped_start, describe, overlap_certainty
 from ..functions.names import candidate_forms, match_names, parse_person
 from ..functions.text import fold, normalise
-from ..model import CIRCA_MARGIN
+from ..model import CIRCA_MARGIN, STATES
 from ..operators import assemble, chains, guard, hygiene, rules, tiers
 from ..plans.screening import screen
 from ..sources import lido
 from ..sources.lists import load_config, load_event_types
-from ..sources.records import country_of, typed
+from ..sources.records import country_of, parse_bool, parse_enum, split_list, typed
 from ..staging import staged
 from .derived import ORACLE_EVENTS, events, raw_rows, records
 
@@ -144,6 +144,21 @@ def described(spark, sf_dir):
     return records(spark, sf_dir).select("source_ref", describe(F.col("span")).alias("described"), certainly_before(F.col("span")).alias("certainly_before"))
 
 
+@query("date_granularity", f"{EV} SELECT source_ref, CASE date_precision WHEN 'exact' THEN 'exact' WHEN 'month' THEN 'month' ELSE CASE WHEN date_precision IS NOT NULL THEN 'year' END END AS granularity, CASE date_precision WHEN 'exact' THEN n_from WHEN 'month' THEN n_from ELSE make_date(y, 1, 1) END AS starts FROM ev WHERE date_precision IS NOT NULL")
+def granularity(spark, sf_dir):
+    part = Partial(F.col("date_text"))
+    return events(spark, sf_dir).where("date_precision is not null").select("source_ref", part.granularity.alias("granularity"), part.start.alias("starts"))
+
+
+@query("bool_list_enum_parsers", f"{EV} SELECT source_ref, CASE source_order % 4 WHEN 0 THEN true WHEN 1 THEN false END AS flag, transaction_state AS state, CAST(CASE WHEN owner_name IS NULL THEN 0 ELSE 2 END AS INT) AS n_names FROM ev")
+def parsers(spark, sf_dir):
+    n = F.col("source_order") % 4
+    flag, _ = parse_bool(F.when(n == 0, "YES").when(n == 1, "0").when(n == 2, "perhaps"), "flag")
+    state, _ = parse_enum(F.upper("transaction_state"), "transaction_state", tuple(STATES))
+    names = split_list(F.concat(F.col("owner_name"), F.lit(" | |x")))
+    return events(spark, sf_dir).select("source_ref", flag.alias("flag"), state.alias("state"), F.size(names).alias("n_names"))
+
+
 BAD = "SELECT source_ref, CASE source_order % 8 WHEN 0 THEN 'exact' WHEN 1 THEN NULL WHEN 2 THEN 'sometime' ELSE 'year' END AS p, CASE source_order % 8 WHEN 3 THEN '1938-13' WHEN 4 THEN '1938-04-31' ELSE '1938' END AS f, CASE source_order % 8 WHEN 5 THEN '1930' END AS t, CASE source_order % 8 WHEN 6 THEN 'perhaps' END AS b, CASE source_order % 8 WHEN 7 THEN 'heirs' END AS r FROM ev"
 
 
