@@ -22,7 +22,6 @@ document are measured each; an empty holdout selects nothing.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
