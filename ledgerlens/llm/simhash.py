@@ -12,8 +12,9 @@ Only distinct fingerprints take part, each standing for all its documents, so
 copies cost nothing.  Every fingerprint is filed under its own value in each
 partition and looks itself up under all values within the threshold; what meets
 is verified on all 64 bits.  A file of values larger than ``BLOCK`` is cut into
-blocks that meet pairwise, so no task holds more than two blocks, and each
-meeting returns a spanning forest of its links rather than every pair.
+blocks that meet pairwise, so no task holds more than two blocks; smaller files
+meet in bundles, many to a call.  Each meeting returns a spanning forest of its
+links rather than every pair.
 
 Components come from alternating large-star and small-star steps over links
 between fingerprints; each step is written to the shared folder.
@@ -46,6 +47,8 @@ BITS = 64
 SAMPLE = 4096
 #: Most fingerprints on either side of a meeting in one task.
 BLOCK = 4096
+#: Values in a bundle of small files, and the size of a handful.
+BUNDLE_ROWS, FEW = 1 << 15, 24
 #: What filing one value costs, in verified candidates.
 PROBE_COST = 8.0
 
@@ -182,6 +185,18 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, threshold: int) -> list[tu
     return out
 
 
+def _few(fps: list[int], own: list[bool], threshold: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of a handful of values."""
+    group, out = list(range(len(fps))), []
+    for y in range(1, len(fps)):
+        for x in range(y):
+            if group[x] != group[y] and (own[x] or own[y]) and (fps[x] ^ fps[y]).bit_count() <= threshold:
+                out.append((fps[x], fps[y]))
+                gone, kept = group[y], group[x]
+                group = [kept if g == gone else g for g in group]
+    return out
+
+
 def links(prints: DataFrame, threshold: int = 3) -> DataFrame:
     """Links that connect whatever lies within ``threshold`` bits.
 
@@ -206,28 +221,39 @@ def links(prints: DataFrame, threshold: int = 3) -> DataFrame:
     sizes = values.groupBy("part", "value").agg(F.count("*").alias("n"), F.count_if("own").alias("n_own")).where("n > 1 and n_own > 0")
     met = values.join(sizes, ["part", "value"])
     # A large file of values: every fingerprint goes to one row and one column of blocks.
+    # The others, which are nearly all, meet in bundles, so that a call handles many.
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     block = F.pmod(F.xxhash64("fp", F.lit(7)), blocks).cast("int")
     places = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j")))
-    dealt = met.select("part", "value", "own", "fp", block.alias("block"), F.explode(places).alias("at")).select("part", "value", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "block", "own", "fp")
+    bundles = max(16, total * len(chosen) // BUNDLE_ROWS)
+    large = blocks > 1
+    bundle = F.when(large, F.struct(F.col("part").cast("bigint").alias("x"), F.col("value").alias("y"))).otherwise(F.struct(F.lit(-1).cast("bigint").alias("x"), F.pmod(F.xxhash64("part", "value"), F.lit(bundles)).alias("y")))
+    dealt = met.select("part", "value", "own", "fp", block.alias("block"), bundle.alias("bundle"), F.explode(places).alias("at")).select("bundle.x", "bundle.y", "at.i", "at.j", "part", "value", "block", "own", "fp")
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        fps = table["fp"].to_numpy().view(np.uint64)
-        own = table["own"].to_numpy(zero_copy_only=False)
-        block = table["block"].to_numpy()
+        fps, own, block = table["fp"].to_numpy().view(np.uint64), table["own"].to_numpy(zero_copy_only=False), table["block"].to_numpy()
+        part, value = table["part"].to_numpy(), table["value"].to_numpy()
         i, j = key[2].as_py(), key[3].as_py()
-        if own.all():
-            pairs = _forest(np.sort(fps[block == i]), np.sort(fps[block == j]), i == j, threshold)
-        else:
-            pairs = _forest(np.sort(fps[own & (block == i)]), np.sort(fps[block == j]), False, threshold)
-            if i != j:
-                pairs += _forest(np.sort(fps[own & (block == j)]), np.sort(fps[block == i]), False, threshold)
+        order = np.lexsort((fps, value, part))
+        fps, own, block, part, value = fps[order], own[order], block[order], part[order], value[order]
+        cuts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (value[1:] != value[:-1]), True])
+        pairs = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            f, o, k = fps[a:b], own[a:b], block[a:b]
+            if b - a <= FEW:
+                pairs += _few(f.tolist(), o.tolist(), threshold)
+            elif o.all():
+                pairs += _forest(f[k == i], f[k == j], i == j, threshold)
+            else:
+                pairs += _forest(f[o & (k == i)], f[k == j], False, threshold)
+                if i != j:
+                    pairs += _forest(f[o & (k == j)], f[k == i], False, threshold)
         ends = np.array(pairs, dtype=np.uint64).reshape(-1, 2)
         ends = ends[ends[:, 0] != ends[:, 1]]
         return pa.table({"a": ends.min(axis=1, initial=2**64 - 1).view(np.int64) if len(ends) else pa.array([], pa.int64()), "b": ends.max(axis=1, initial=0).view(np.int64) if len(ends) else pa.array([], pa.int64())})
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    return dealt.groupBy("part", "value", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
+    return dealt.groupBy("x", "y", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
