@@ -28,14 +28,24 @@ RULE_SEQ = {rule: k for k, rule in enumerate(RULES)}
 DISCLAIMER = "A match cites the list entry as it stands. It makes no finding about this record, its parties or this object."
 
 
-def cited(*parts: tuple[str, Column] | tuple[str, Column, bool]) -> Column:
-    """A JSON object of named values, nulls included; a third item that is
-    true makes a value optional: left out where it is null."""
-    texts = []
+def cited(*parts: tuple[str, Column] | tuple[str, Column, bool | str]) -> Column:
+    """A JSON object of named values, nulls included; a third item makes a
+    value optional, left out where it is null; ``"json"``: it is JSON already."""
+    runs: list[tuple[bool | None, list[Column]]] = []  # values that are always there go in one piece
     for name, value, *optional in parts:
-        text = F.to_json(F.struct(value.alias(name)), {"ignoreNullFields": "false"})
-        inner = F.substring(text, F.lit(2), F.length(text) - 2)
-        texts.append(F.when(value.isNotNull(), inner) if optional and optional[0] else inner)
+        if optional and optional[0] == "json":
+            runs.append((None, [F.concat(F.lit(f'"{name}":'), value)]))
+        elif optional and optional[0]:
+            runs.append((True, [value.alias(name)]))
+        elif runs and runs[-1][0] is False:
+            runs[-1][1].append(value.alias(name))
+        else:
+            runs.append((False, [value.alias(name)]))
+    as_json = lambda fields: F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    if len(runs) == 1 and runs[0][0] is False:
+        return as_json(runs[0][1])
+    inner = lambda text: F.substring(text, F.lit(2), F.length(text) - 2)
+    texts = [fields[0] if optional is None else F.when(~as_json(fields).endswith(":null}"), inner(as_json(fields))) if optional else inner(as_json(fields)) for optional, fields in runs]
     return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*texts)), ","), F.lit("}"))
 
 
@@ -207,7 +217,6 @@ def list_hits(records: DataFrame, names: NameList) -> DataFrame:
 
 
 #: The values of a list entry that rules cite; nested ones as JSON.
-BASES = "array<struct<documented_basis:string,sources:array<string>,implies_persecution_of_former_owner:boolean,gate_basis:string,basis_period:string>>"
 ENTRY_TEXTS = ("name", "location", "active_period", "verification_note", "entry_type", "annotation", "source_url")
 ENTRY_SCHEMA = "index int, " + ", ".join(f"{t} string" for t in ENTRY_TEXTS) + ", bases string, cross_references string, implies boolean, exonerating boolean"
 
@@ -257,7 +266,7 @@ def pc005(records: DataFrame, cfg: Config) -> tuple[list, list]:
     )
     name = F.col("entry.name")
     parts = [
-        *cite(*RECORD), *match_parts(), ("actor_entry", name), ("documented_bases", F.from_json("entry.bases", BASES)), ("actor_location", F.col("entry.location"), True),
+        *cite(*RECORD), *match_parts(), ("actor_entry", name), ("documented_bases", F.col("entry.bases"), "json"), ("actor_location", F.col("entry.location"), True),
         ("actor_active_period", F.col("entry.active_period"), True), ("verification_note", F.col("entry.verification_note"), True),
         ("actor_window", F.lit(f"{start} to {end}")), ("overlap_certainty", F.col("certainty")), ("citation_disclaimer", F.lit(DISCLAIMER)), ("persecution_inference_basis", inference), ("presumption_tier_basis", basis),
     ]
@@ -362,7 +371,7 @@ def nm001(records: DataFrame, cfg: Config) -> tuple[list, list, list]:
     value = lambda key: F.col(f"entry.{key}")
     parts = [
         *cite("owner_name", "owner_name_variants", "date_span"), *match_parts(), ("screening_band", F.lit(f"{start} to {end}")), ("aliu_entry_name", value("name")), ("aliu_entry_type", value("entry_type")),
-        ("aliu_annotation", value("annotation")), ("source_url", value("source_url")), ("cross_referenced_sources", F.from_json("entry.cross_references", "array<string>"), True),
+        ("aliu_annotation", value("annotation")), ("source_url", value("source_url")), ("cross_referenced_sources", F.col("entry.cross_references"), "json"),
         ("verification_note", value("verification_note"), True), ("citation_disclaimer", F.lit(DISCLAIMER)), ("critical_scholarly_context", F.lit(names.context or None).cast("string"), True),
     ]
     exonerating = F.col("entry.exonerating")

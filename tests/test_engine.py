@@ -123,6 +123,18 @@ def test_every_flag_cites_and_nothing_scores(objects):
         assert word not in text
 
 
+def test_cited_keys(objects):
+    keys = lambda i, k=0: list(objects[i]["persecution_context_flags"][k]["cited_fields"])
+    record = ["source_ref", "owner_name", "date_span", "location", "transaction_state"]
+    assert keys("window") == record + ["territory", "persecution_window", "persecution_onset", "onset_earliest", "onset_latest", "window_ends", "onset_table_source", "overlap_certainty", "presumption_tier_basis", "onset_table_version"]
+    assert keys("state") == record + ["presumption_tier_basis", "transaction_state_gloss", "basis"]
+    assert keys("gated")[5:11] == ["matched_on", "match_basis", "entry_kind", "identity_confirmed", "actor_entry", "documented_bases"]
+    bases = objects["actor"]["persecution_context_flags"][0]["cited_fields"]["documented_bases"]
+    assert [list(b) for b in bases] == [["documented_basis", "sources", "implies_persecution_of_former_owner"]]
+    assert keys("export") == record + ["export_licence_present", "moved_from", "moved_from_source_ref", "origin_country", "destination_country", "country_derivation", "window", "overlap_certainty", "export_licence_state", "presumption_tier_basis"]
+    assert objects["circa"]["documentation_quality_flags"][0]["cited_fields"]["source_citation"] is None
+
+
 def test_coverage_map_and_bands(collection, objects):
     c = collection.coverage.first().asDict()
     assert c["objects_processed"] == len(GOLDEN) and c["previously_resolved"] == 1 and c["chain_begins_at_institutional_acquisition"] == 1
