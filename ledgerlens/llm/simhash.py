@@ -19,6 +19,9 @@ links rather than every pair.
 Components come from alternating large-star and small-star steps over links
 between fingerprints; each step is written to the shared folder.
 
+The pipeline's groups at a Jaccard similarity (``similar_groups``) come from an
+exact prefix-filter join instead, with the same components.
+
 Defined results: a null text counts as empty; no words gives fingerprint 0,
 linked like any other; fewer words than a shingle give one shingle of all
 words; ties at half the shingles give bit 0; repeated rows are kept; a null id
@@ -28,6 +31,7 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -36,7 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -297,94 +301,166 @@ def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = 3, id_col:
     return rows.join(of_print, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
-#: MinHash values, dealt over bands; a band of pairs at 0.8 agrees with 0.26.
-BANDS, BAND_VALUES = 16, 6
+#: The part of all hash values whose shingles are counted, in 64ths.
+SLICE = 26
+#: Postings that a chunk holds before it is handed on, and about what a bucket gets.
+POSTINGS = 1 << 20
+#: Bytes of text on either side of a meeting, and in a bundle of small clusters.
+MEET_BYTES = 8 << 20
 
 
-def _bands(hashes: np.ndarray) -> list[int]:
-    """Band values of a set of hashes by one permutation, empty bins filled.
+def hashed_set(text: str, size: int) -> np.ndarray:
+    """The ascending distinct hashes of a text's shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(p, 42) for p in set(shingles(text, size))], dtype=np.uint64))
 
-    An empty bin takes the value of a full one, chosen by hashing the bin's
-    number again and again, as if it had its own permutation.
-    """
-    bins = BANDS * BAND_VALUES
-    least = np.full(bins, 2**64 - 1, dtype=np.uint64)
-    np.minimum.at(least, ((hashes >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)).astype(np.int64), (hashes << np.uint64(24)) >> np.uint64(24))
-    full = least != np.uint64(2**64 - 1)
-    for k in np.flatnonzero(~full).tolist():
-        tried = 0
-        while True:
-            j = xxhash.xxh64_intdigest(b"%d:%d" % (k, tried)) % bins
-            if full[j]:
-                least[k] = least[j]
-                break
-            tried += 1
-    rows = least.reshape(BANDS, BAND_VALUES).astype("<u8")
-    return [xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)]
-
-
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, threshold: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def prefix_size(n: int, similarity: float) -> int:
+    """Sets that alike share one of so many first elements, in any one order."""
+    return n - max(1, math.ceil(similarity * n - 1e-9)) + 1
+
+
+def _alike(sets: list[np.ndarray], sides: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links of some sets; with sides, only across them."""
+    sizes = np.array([len(s) for s in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    by_value = owner[order]
+    values, begins, counts = np.unique(every[order], return_index=True, return_counts=True)
+    parent, out = list(range(len(sets))), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k, own in enumerate(sets):
+        at = np.searchsorted(values, own)
+        at = at[counts[at] > 1]
+        n = counts[at]
+        places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins[at], n)
+        shared = np.bincount(by_value[places], minlength=len(sets))
+        shared[k:] = 0
+        if sides is not None:
+            shared[sides == sides[k]] = 0
+        for j in np.flatnonzero((shared > 0) & (shared >= similarity * (sizes + sizes[k] - shared) - 1e-9)).tolist():
+            a, b = root(k), root(j)
+            if a != b:
+                parent[a] = b
+                out.append((k, j))
+    return out
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``component_id`` where links are Jaccard similarities.
 
-    Two texts are linked if their sets of word shingles (A-Z lower-cased) have
-    at least that similarity, exactly verified.  Within a few bits, fingerprints
-    only bring texts together that are far more alike than 0.8, and wider radii
-    make the probes as many as the texts; so the fingerprint links are joined
-    by bands of MinHash values, which meet at 0.8 with a chance of over 0.99.
-    In every band a text meets the smallest and the largest id of those that
-    share it, never all of them.  Texts that are equal count as one; texts
+    Two texts are linked if their sets of word shingles (A-Z lower-cased, as
+    64-bit hashes) have at least that similarity.  No link is lost: in any one
+    order of all shingles, texts that alike share one of the first
+    ``prefix_size`` of their own.  The order is: hashes below a cut, rare
+    before frequent; then the others.  So only the shingles below the cut have
+    to be counted, and of the others a text hands in what its prefix still
+    lacks.  Texts that share a shingle of their prefixes form clusters; all
+    pairs of a cluster meet, block by block, and each meeting returns a
+    spanning forest of the links.  Texts that are equal count as one; texts
     without words are equal to each other.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    digest = lambda c: F.struct(F.xxhash64(c).alias("x"), F.xxhash64(F.lit("second"), c).alias("y"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.when(text.rlike(r"[^\x20\x09-\x0d]"), text).otherwise("").alias("text"))
+    node = F.xxhash64("text")
+    each = rows.select("doc_id", node.alias("node"), F.octet_length("text").alias("bytes"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    each = written(each, "sketches")
+    buckets = max(16, (each.agg(F.sum("bytes")).first()[0] or 0) * SLICE // 64 // 6 // POSTINGS)
+    cut = np.uint64(SLICE << 58)
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def dealt(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+            values = np.concatenate([v for _, _, v in held])
+            sizes = [len(v) for _, _, v in held]
+            nodes = np.repeat(np.array([o for o, _, _ in held], dtype="<i8"), sizes)
+            rooms = np.repeat(np.array([r for _, r, _ in held], dtype="<i4"), sizes)
+            bucket = (values % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            values, nodes, rooms, bucket = values[order].astype("<u8"), nodes[order], rooms[order], bucket[order]
+            begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            ends = np.r_[begins[1:], len(bucket)]
+            packed = lambda c: pa.array([c[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[begins]), packed(values), packed(nodes), packed(rooms)], ["bucket", "shingles", "nodes", "rooms"])
+
+        held, seen, n = [], set(), 0
+        for batch in batches:
+            for owner, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
+                if owner in seen:
+                    continue
+                seen.add(owner)
+                own = hashed_set(text, size)
+                if not len(own):
+                    continue
+                below, prefix = int(np.searchsorted(own, cut)), prefix_size(len(own), similarity)
+                handed = max(below, prefix)
+                held.append((owner, prefix - handed, own[:handed]))
+                n += handed
+                if n >= POSTINGS:
+                    yield dealt(held)
+                    held, seen, n = [], set(), 0
+        if held:
+            yield dealt(held)
+
+    def counted(table: pa.Table) -> pa.Table:
+        column = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), dtype=kind)
+        values, nodes, rooms = column("shingles", "<u8"), column("nodes", "<i8"), column("rooms", "<i4")
+        order = np.lexsort((nodes, values))
+        values, nodes, rooms = values[order], nodes[order], rooms[order]
+        new = np.r_[True, (values[1:] != values[:-1]) | (nodes[1:] != nodes[:-1])]
+        values, nodes, rooms = values[new], nodes[new], rooms[new]
+        begins = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+        often = np.diff(np.r_[begins, len(values)])
+        often = np.repeat(often, often)
+        kept = often > 1
+        # beyond the cut the order doesn't ask for counts
+        often = np.where(values >= cut, 2**31 - 1, often).astype(np.int32)
+        return pa.table({"shingle": values[kept].view(np.int64), "node": nodes[kept], "often": often[kept], "room": rooms[kept]})
+
+    postings = rows.where("text <> ''").select(node.alias("node"), "text").mapInArrow(posted, "bucket int, shingles binary, nodes binary, rooms binary")
+    shared = written(postings.groupBy("bucket").applyInArrow(counted, "shingle bigint, node bigint, often int, room int"), "shared")
+    # a text's other shingles stand in no other text and come first
+    of_node = Window.partitionBy("node")
+    ranked = shared.withColumns({"place": F.row_number().over(of_node.orderBy("often", "shingle")), "n": F.count("*").over(of_node)})
+    prefixes = written(ranked.where("place <= room + n").select("shingle", "node"), "prefixes")
+    ends = prefixes.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("shingle", "first")
+    clusters = components(prefixes.join(ends, "shingle").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    clusters = clusters.unionAll(clusters.select(F.col("root").alias("node"), "root")).distinct()
+    members = written(rows.select(node.alias("node"), "text").join(clusters, "node").groupBy("node", "root").agg(F.min("text").alias("text")), "members")
+    # every text of a large cluster goes to one row and one column of blocks
+    sizes = members.groupBy("root").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("bytes") / MEET_BYTES)).cast("int")
+    block = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
+    places = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j")))
+    bundle = F.when(blocks > 1, F.struct(F.lit(1).alias("x"), F.col("root").alias("y"))).otherwise(F.struct(F.lit(0).alias("x"), F.pmod(F.xxhash64("root"), F.lit(max(16, total // MEET_BYTES))).alias("y")))
+    dealt_members = members.join(sizes, "root").select("root", "node", "text", block.alias("block"), bundle.alias("bundle"), F.explode(places).alias("at")).select("bundle.x", "bundle.y", "at.i", "at.j", "root", "block", "node", "text")
 
-    @pandas_udf("struct<fp:long,words:boolean,bands:array<long>>")
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            out = []
-            for t in texts:
-                parts = shingles(t, size)
-                hashes = np.array([xxhash.xxh64_intdigest(p, 42) for p in set(parts)], dtype=np.uint64)
-                bands = np.array(_bands(hashes), dtype=np.uint64).view(np.int64).tolist() if parts else []
-                out.append((fingerprint_of(t, size), bool(parts), bands))
-            fps = np.array([o[0] for o in out], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"fp": fps, "words": [o[1] for o in out], "bands": [o[2] for o in out]})
-
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
-    each = rows.select("doc_id", sketch(F.col("text")).alias("s"), digest(F.col("text")).alias("same"))
-    each = written(each.select("doc_id", "s.*", F.when(F.col("s.words"), F.col("same")).alias("same")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "sketches")
-    # equal texts first: the smallest id stands for all
-    salted = each.groupBy("same", "salt").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    equal = written(salted.groupBy("same").agg(F.min("node").alias("node"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.collect_set("salt").alias("salts")), "equal")
-    nodes = equal.where("node is not null and same is not null")
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    ends = banded.groupBy("band", "value").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-    pair = lambda other: F.struct(F.least("node", other).alias("a"), F.greatest("node", other).alias("b"))
-    by_band = banded.join(ends, ["band", "value"]).select(F.explode(F.array(pair("first"), pair("last"))).alias("p"))
-    of_print = nodes.groupBy("fp").agg(F.min("node").alias("node"), F.max("node").alias("last"))
-    prints = written(of_print, "prints")
-    near = links(prints.select("fp"), threshold)
-    left, right = prints.select(F.col("fp").alias("a"), F.col("node").alias("na")), prints.select(F.col("fp").alias("b"), F.col("node").alias("nb"))
-    by_print = near.join(left, "a").join(right, "b").select(F.struct(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).alias("p"))
-    shared_print = nodes.join(prints.select("fp", F.col("node").alias("first")), "fp").select(pair("first").alias("p"))
-    pairs = written(by_band.unionAll(by_print).unionAll(shared_print).select("p.a", "p.b").where("a <> b").distinct(), "pairs")
-
-    @pandas_udf("boolean")
-    def alike(one: pd.Series, two: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(one, two):
-            s, t = set(shingles(x, size)), set(shingles(y, size))
-            both = len(s & t)
-            out.append(both >= similarity * (len(s) + len(t) - both) - 1e-9)
-        return pd.Series(out)
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(rows.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    one, two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    edges = pairs.join(one, "a").join(two, "b").where(alike("ta", "tb")).select("a", "b")
-    roots = components(edges)
-    named = equal.join(roots, equal["node"] == roots["node"], "left").select("same", F.explode("salts").alias("salt"), F.coalesce("root", equal["node"]).alias("component_id"))
-    named = written(named, "components")
-    return each.join(named, each["same"].eqNullSafe(named["same"]) & (each["salt"] == named["salt"])).select("doc_id", "component_id")
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        across = key[2].as_py() != key[3].as_py()
+        roots, nodes, side = table["root"].to_numpy(), table["node"].to_numpy(), table["block"].to_numpy()
+        texts, order = table["text"], np.argsort(roots, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, roots[order][1:] != roots[order][:-1], True])
+        pairs = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            here = order[a:b]
+            sets = [hashed_set(texts[k].as_py(), size) for k in here.tolist()]
+            pairs += [(nodes[here[x]], nodes[here[y]]) for x, y in _alike(sets, side[here] if across else None, similarity)]
+        ends = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    roots = components(dealt_members.groupBy("x", "y", "i", "j").applyInArrow(meet, "a bigint, b bigint"))
+    # equal texts: the smallest id stands for all
+    salted = each.groupBy("node", "salt").agg(F.min("doc_id").alias("least"))
+    equal = salted.groupBy("node").agg(F.min("least").alias("least"), F.collect_set("salt").alias("salts"))
+    named = written(equal.join(roots, "node", "left").select("node", "least", "salts", F.coalesce("root", "node").alias("root")), "groups")
+    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_node = written(named.join(lowest, "root").select("node", F.explode("salts").alias("salt"), "component_id"), "components")
+    return each.join(of_node, ["node", "salt"]).select("doc_id", "component_id")

@@ -82,6 +82,29 @@ def test_similar_groups_against_all_pairs(spark, rows):
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame).collect()} == {i: least[r] for i, r in zip(ids, root)}
 
 
+@pytest.mark.parametrize("meet_bytes", [8 << 20, 3000])
+def test_no_link_of_a_template_family_is_lost(spark, meet_bytes, monkeypatch):
+    """Pairs at 0.83 inside a family of 0.7 or less, whose bands others share."""
+    monkeypatch.setattr(simhash, "MEET_BYTES", meet_bytes)
+    rnd = np.random.default_rng(5)
+    template, texts = [f"t{k}" for k in range(240)], []
+    for k in range(60):
+        words = [*template, *(f"own{k}x{j}" for j in range(60))]
+        other = list(words)
+        for at in rnd.choice(range(5, 295), 5, replace=False):
+            other[at] = f"new{k}y{at}"
+        texts += [" ".join(words), " ".join(other)]
+    texts = [texts[k] for k in rnd.permutation(len(texts))]
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    root = groups(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    least = {}
+    for k, r in enumerate(root):
+        least[r] = min(k, least.get(r, k))
+    assert 30 < len(least) < 120
+    out = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in out.collect()} == {k: least[r] for k, r in enumerate(root)}
+
+
 def test_empty_tables(none):
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.similar_groups(none).count() == 0
