@@ -165,11 +165,12 @@ def _search(row: dict, phrases: Phrases, slop: int) -> list[tuple[int, int, int,
     return found
 
 
-MATCH_SCHEMA = "doc_id bigint, n_words int, n_hit int, items array<bigint>, near_items array<bigint>, spans array<struct<start:int,length:int>>"
+MATCH_SCHEMA = "segment string, place int, doc_id bigint, n_words int, n_hit int, items array<bigint>, near_items array<bigint>, spans array<struct<start:int,length:int>>"
 
 
 def search(index: DataFrame, block: list[tuple[int, str]], length: int = 10, slop: int = 0) -> DataFrame:
-    """Matches of one block of items in all segments: a row for each document.
+    """Matches of one block of items in all segments: a row for each document,
+    named by its segment and its place there.
 
     ``items`` have an exact phrase there, ``n_hit`` words lie in one and
     ``spans`` are the maximal runs of such words; ``near_items`` have a
@@ -180,7 +181,7 @@ def search(index: DataFrame, block: list[tuple[int, str]], length: int = 10, slo
     phrases = Phrases(block, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int32()), ("n_hit", pa.int32()), ("items", pa.list_(pa.int64())), ("near_items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))])
+        schema = pa.schema([("segment", pa.string()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int32()), ("n_hit", pa.int32()), ("items", pa.list_(pa.int64())), ("near_items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))])
         for batch in batches:
             for row in batch.to_pylist():
                 exact: dict[int, list] = {}
@@ -198,7 +199,7 @@ def search(index: DataFrame, block: list[tuple[int, str]], length: int = 10, slo
                         else:
                             runs.append([start, start + size])
                     items = sorted({i for m in exact.get(d, ()) for i in m[2]})
-                    out.append({"doc_id": doc, "n_words": n, "n_hit": sum(b - a for a, b in runs), "items": items, "near_items": sorted(near.get(d, ())), "spans": [{"start": a, "length": b - a} for a, b in runs]})
+                    out.append({"segment": row["segment"], "place": d, "doc_id": doc, "n_words": n, "n_hit": sum(b - a for a, b in runs), "items": items, "near_items": sorted(near.get(d, ())), "spans": [{"start": a, "length": b - a} for a, b in runs]})
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     index.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
@@ -208,13 +209,13 @@ def search(index: DataFrame, block: list[tuple[int, str]], length: int = 10, slo
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, slop: int = 0, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Exact phrase and proximity matches of all items: a row for each document.
 
-    More than one block of items needs the documents' ids to be distinct, as
-    the blocks' matches then meet by document.
+    The matches of several blocks of items meet by segment and place in it, so
+    repeated and null ids stay apart.
     """
     index = written(build_index(docs, doc_id, text_col), "postings")
     parts = [search(index, block, length, slop) for block in blocks_of_items(items, item_id, item_text)] or [search(index, [], length, slop)]
     if len(parts) == 1:
-        return parts[0]
+        return parts[0].drop("segment", "place")
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionAll(part)
@@ -223,13 +224,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, slop: int
     first = F.filter(hit, lambda w, k: (k == 0) | (F.get(hit, k - 1) != w - 1))
     last = F.filter(hit, lambda w, k: (k == F.size(hit) - 1) | (F.get(hit, k + 1) != w + 1))
     joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return whole.groupBy("doc_id").agg(
+    return whole.groupBy("segment", "place", "doc_id").agg(
         F.max("n_words").alias("n_words"),
         F.size(hit).cast("int").alias("n_hit"),
         joined("items").alias("items"),
         joined("near_items").alias("near_items"),
         F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length"))).alias("spans"),
-    )
+    ).drop("segment", "place")
 
 
 def oracle_sql(length: int = 10) -> str:

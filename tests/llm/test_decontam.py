@@ -56,6 +56,12 @@ def test_blocks_of_items_give_the_same(docs, rows, items, frame, monkeypatch):
     assert got(docs.where(docs.doc_id.isin(list(once))), frame) == brute([r for r in rows if r[0] in once], items)
 
 
+def test_blocks_keep_repeated_and_null_ids(docs, rows, items, frame, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(decontam, "SEGMENT_WORDS", 3000)
+    assert got(docs, frame) == brute(rows, items)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "a x b c y d"), (3, "d c b a"), (4, "a q q q q q b c d")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "a b c d")], "item_id long, text string")
