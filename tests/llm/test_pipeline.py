@@ -83,6 +83,14 @@ def test_stages_take_odd_rows(spark, docs, none):
         stage(spark, docs, SF).count()
 
 
+def test_leaks_go_by_row_and_not_by_id(spark):
+    leak = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) >= 12)
+    rows = [(1, leak), (1, "clean"), (None, leak), (None, "clean too"), (2, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.decontaminate(spark, frame, SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([(1, "clean"), (None, "clean too"), (2, None)], key=str)
+
+
 def test_near_stage_counts_rows_of_one_id_once(spark):
     rows = [(1, "a b c d e f g", "en", "s", 1), (1, "a b c d e f g", "en", "s", 1), (None, None, None, None, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
