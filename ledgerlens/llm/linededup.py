@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: A repeated line of more words is a passage, not boilerplate.
+PASSAGE_WORDS = 50
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -40,11 +42,12 @@ def name_of(*columns: Column) -> Column:
     return F.struct(F.xxhash64(*columns).alias("x"), F.xxhash64(F.lit("second"), *columns).alias("y"))
 
 
-def line_symbols(rows: DataFrame) -> DataFrame:
-    """``row``, ``id``, ``at`` (place among lines with words), ``line``, ``name``."""
+def line_symbols(rows: DataFrame, count_words: bool = False) -> DataFrame:
+    """``row``, ``id``, ``at`` (place among lines with words), ``line``, ``name``, and ``words`` if asked."""
+    words = [F.size(F.split(F.col("l.text"), r"[\x20\x09-\x0d]+")).alias("words")] if count_words else []
     trimmed = F.transform(F.split("text", "\n", -1), lambda x, k: F.struct(k.alias("line"), F.btrim(x, F.lit(SPACE)).alias("text")))
     lines = F.filter(trimmed, lambda x: x["text"] != "")
-    return rows.select("row", "id", F.posexplode(lines).alias("at", "l")).select("row", "id", "at", F.col("l.line").alias("line"), name_of(F.col("l.text")).alias("name"))
+    return rows.select("row", "id", F.posexplode(lines).alias("at", "l")).select("row", "id", "at", F.col("l.line").alias("line"), name_of(F.col("l.text")).alias("name"), *words)
 
 
 def repeated(ranked: DataFrame) -> DataFrame:
@@ -114,13 +117,26 @@ def _without(text: Column, gone: Column) -> Column:
     return F.array_join(F.get(F.transform(F.array(value), cut), F.lit(0)), "\n")
 
 
-def deduplicate(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def passage_copies(symbols: DataFrame) -> DataFrame:
+    """``row``, ``at`` and ``lines`` of later copies of single lines of over ``PASSAGE_WORDS`` words."""
+    long = written(symbols.where(F.col("words") > PASSAGE_WORDS).select("row", "id", "at", "name"), "passages")
+    order = F.struct(F.col("id").isNull().alias("null"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("at").alias("at"))
+    least = long.groupBy("name").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("name", "first")
+    return long.join(least, "name").where(order > F.col("first")).select("row", "at", F.lit(1).alias("lines"))
+
+
+def deduplicate(docs: DataFrame, min_lines: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from the text.
 
+    Runs have ``min_lines`` lines and more.  If that isn't given they have two
+    and more, and a line of over ``PASSAGE_WORDS`` words is a run by itself.
+
     New columns: ``n_lines`` (with a word), ``n_removed_lines``, ``n_runs``
     (maximal deleted runs) and ``longest_run`` (lines of the longest later
     copy); columns of these names are replaced.
     """
+    passages = min_lines is None
+    min_lines = 2 if passages else min_lines
     payload = [c for c in docs.columns if c not in ADDED and c != text_col]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in payload]).alias("rest"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, "rows")
@@ -128,6 +144,8 @@ def deduplicate(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", tex
     levels = suffix_ranks(symbols)
     spark = docs.sparkSession
     copies = maximal_copies(levels, min_lines) if levels else spark.createDataFrame([], "row bigint, at int, lines int")
+    if passages:
+        copies = copies.unionAll(passage_copies(line_symbols(rows, count_words=True)))
     # only documents with later copies meet their symbols again
     covered = copies.select("row", "lines", F.explode(F.sequence("at", F.col("at") + F.col("lines") - 1)).alias("at")).groupBy("row", "at").agg(F.max("lines").alias("lines"))
     numbered = symbols.select("row", "at", "line").join(covered, ["row", "at"])

@@ -83,6 +83,14 @@ def test_stages_take_odd_rows(spark, docs, none):
         stage(spark, docs, SF).count()
 
 
+def test_a_repeated_one_line_passage_goes(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, f"a\n{passage}\nb"), (2, f"c\n {passage}\nd\nshort line"), (3, passage), (4, "e\nshort line\nf")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, frame, SF).collect()}
+    assert out == {1: (rows[0][1], len(rows[0][1])), 2: ("c\nd\nshort line", 14), 3: ("", 0), 4: ("e\nshort line\nf", 14)}
+
+
 def test_leaks_go_by_row_and_not_by_id(spark):
     leak = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) >= 12)
     rows = [(1, leak), (1, "clean"), (None, leak), (None, "clean too"), (2, None)]
