@@ -19,9 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.deduplicate(table(spark, sf_dir, "documents"), min_lines=2)
+    out = linededup.deduplicate(table(spark, sf_dir, "documents"))
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    return out.select("doc_id", "n_lines", "n_removed_lines", "n_runs", kept.alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", "n_runs", "longest_run", kept.alias("kept_sha256"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
