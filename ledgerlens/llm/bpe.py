@@ -16,21 +16,24 @@ columns replace columns of the same name.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from .common import bounded_batches
 
 #: Entries of a generation of a worker's memory of words; of fragments, all.
 CACHE_ENTRIES = 1 << 18
+#: Longer fragments are merged over a heap, so that their time isn't square.
+HEAP_SYMBOLS = 48
 #: Longer words and fragments are not remembered.
 CACHE_LENGTH = 64
 
@@ -66,6 +69,7 @@ class WordBPE:
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.space = regex.compile(r"\s+")
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.openers = tuple({t[0] for t in self.added})
         self.joined = self._joined_pairs()
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -90,6 +94,33 @@ class WordBPE:
 
     def merge(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
         """Merge a fragment: lowest rank first, then leftmost."""
+        parts = self._merged_long(symbols) if len(symbols) > HEAP_SYMBOLS else self._merged(symbols)
+        return tuple(self.vocab[p] for p in parts if p in self.vocab)
+
+    def _merged_long(self, symbols: tuple[str, ...]) -> list[str]:
+        """Parts in a chain; a heap has each pair's rank and place, old ones too."""
+        ranks, parts = self.ranks, list(symbols)
+        before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
+        heap = [(r, k) for k, pair in enumerate(zip(parts, parts[1:])) if (r := ranks.get(pair)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, k = heapq.heappop(heap)
+            right = after[k]
+            # a part that is gone is empty; a pair that has changed has another rank
+            if not parts[k] or right < 0 or ranks.get((parts[k], parts[right])) != rank:
+                continue
+            parts[k] += parts[right]
+            parts[right] = ""
+            after[k] = after[right]
+            if after[k] >= 0:
+                before[after[k]] = k
+                if (r := ranks.get((parts[k], parts[after[k]]))) is not None:
+                    heapq.heappush(heap, (r, k))
+            if before[k] >= 0 and (r := ranks.get((parts[before[k]], parts[k]))) is not None:
+                heapq.heappush(heap, (r, before[k]))
+        return [p for p in parts if p]
+
+    def _merged(self, symbols: tuple[str, ...]) -> list[str]:
         parts, ranks, last = list(symbols), self.ranks, len(self.ranks)
         score = [ranks.get(p, last) for p in zip(parts, parts[1:])]
         while score:
@@ -103,7 +134,7 @@ class WordBPE:
                 score[at - 1] = ranks.get((parts[at - 1], parts[at]), last)
             if at < len(score):
                 score[at] = ranks.get((parts[at], parts[at + 1]), last)
-        return tuple(self.vocab[p] for p in parts if p in self.vocab)
+        return parts
 
     def fragment(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
         """``merge`` of a part of a word, remembered if it is short."""
@@ -150,7 +181,7 @@ class WordBPE:
         """Little-endian 32-bit ids of a whole text."""
         out: list[bytes] = []
         get, word = self.words.get, self.word
-        parts = self.specials.split(text) if self.specials and "<" in text else [text]
+        parts = self.specials.split(text) if any(c in text for c in self.openers) else [text]
         for k, part in enumerate(parts):
             if k % 2:
                 out.append(np.array([self.added[part]], dtype="<u4").tobytes())
@@ -176,11 +207,11 @@ def tokenizer(path: str) -> WordBPE:
 def encode(text: Column, path: str) -> Column:
     """Ids of each text as little-endian unsigned 32-bit integers."""
 
-    @pandas_udf("binary")
-    def encode_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("binary")
+    def encode_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = tokenizer(path)
         for texts in batches:
-            yield pd.Series([bpe.encode(t) if t else b"" for t in texts], dtype=object)
+            yield pa.array([bpe.encode(t.as_py() or "") for t in texts], pa.binary())
 
     return encode_texts(text)
 
@@ -188,17 +219,36 @@ def encode(text: Column, path: str) -> Column:
 def decode(ids: Column, path: str) -> Column:
     """The text of ids that ``encode`` made; null ids decode to the empty text."""
 
-    @pandas_udf("string")
-    def decode_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("string")
+    def decode_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = tokenizer(path)
         for rows in batches:
-            yield pd.Series([bpe.decode(r) if r is not None else "" for r in rows], dtype=object)
+            yield pa.array([bpe.decode(r.as_py() or b"") for r in rows], pa.string())
 
     return decode_ids(ids)
 
 
+def round_trip(text: Column, path: str) -> Column:
+    """``ids`` of each text and what they decode to (``decoded``), in one pass."""
+
+    @arrow_udf("ids binary, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = tokenizer(path)
+        for texts in batches:
+            ids = [bpe.encode(t.as_py() or "") for t in texts]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], ["ids", "decoded"])
+
+    return both(text)
+
+
 def encode_documents(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
     """``df`` with the ids of every whole text and, if named, their decoding."""
     bounded_batches(df.sparkSession)
-    out = df.withColumn(ids_col, encode(F.col(f"`{text_col}`"), path))
-    return out.withColumn(decoded_col, decode(F.col(f"`{ids_col}`"), path)) if decoded_col else out
+    text = F.col(f"`{text_col}`")
+    if decoded_col is None:
+        return df.withColumn(ids_col, encode(text, path))
+    payload = [c for c in df.columns if c not in (ids_col, decoded_col)]
+    both = df.select(F.struct(*[F.col(f"`{c}`") for c in payload]).alias("rest"), round_trip(text, path).alias("both"))
+    out = {c: F.col("rest").getField(c) for c in payload} | {ids_col: F.col("both.ids"), decoded_col: F.col("both.decoded")}
+    # columns that are replaced keep their place, as with withColumn
+    return both.select(*[out[c].alias(c) for c in dict.fromkeys([*df.columns, ids_col, decoded_col])])

@@ -1,3 +1,6 @@
+import random
+import time
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -46,3 +49,19 @@ def test_memory_of_words_is_bounded(monkeypatch):
 def test_empty_table_and_other_columns(none):
     out = bpe.encode_documents(none, PATH)
     assert out.count() == 0 and out.columns == [*none.columns, "token_ids"]
+
+
+def test_long_words_of_equal_and_mixed_letters():
+    lib, own = Tokenizer.from_file(PATH), bpe.WordBPE(PATH)
+    rnd = random.Random(3)
+    for text in ("a" * 3001, "ab" * 999, "".join(rnd.choice("etaoin") for _ in range(4000)), "tionthe" * 400):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+        # both ways of merging agree
+        assert own._merged(tuple(text)) == own._merged_long(tuple(text))
+
+
+def test_a_word_of_a_million_letters_takes_seconds():
+    own = bpe.WordBPE(PATH)
+    start = time.perf_counter()
+    ids = np.frombuffer(own.encode("a" * 1_000_000), "<u4")
+    assert time.perf_counter() - start < 30 and own.decode(ids.tobytes()).replace(" ", "").replace(own.end, "") == "a" * 1_000_000
