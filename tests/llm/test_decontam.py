@@ -1,8 +1,10 @@
+import random
 import re
 
+import duckdb
 import pytest
 
-from ledgerlens.llm import decontam
+from ledgerlens.llm import decontam, queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -12,7 +14,7 @@ def brute(rows, items, length=10):
     phrases = {}
     for i, t in items:
         words = WORD.findall((t or "").translate(LOWER))
-        for k in range(max(1, len(words) - length + 1) if words and i is not None else 0):
+        for k in range(max(1, len(words) - length + 1) if words else 0):
             phrases.setdefault(tuple(words[k : k + length]), set()).add(i)
     out = []
     for i, t in rows:
@@ -23,7 +25,7 @@ def brute(rows, items, length=10):
                     found |= phrases[tuple(words[k : k + size])]
                     hit |= set(range(k, k + size))
         spans = [(a, next(b for b in range(a, len(words) + 1) if b not in hit) - a) for a in sorted(hit) if a - 1 not in hit]
-        out.append((i, len(words), len(hit), sorted(found), spans))
+        out.append((i, len(words), len(hit), sorted(found - {None}), spans))
     return sorted(out, key=str)
 
 
@@ -69,6 +71,40 @@ def test_proximity(spark):
     assert out == {1: ([7], [7]), 2: ([], [7]), 3: ([], []), 4: ([], [])}
 
 
+def test_proximity_against_every_place(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SEGMENT_WORDS", 200)
+    rnd = random.Random(4)
+    some = lambda n: " ".join(rnd.choice("abcdefgh") for _ in range(n))
+    docs = [(k, some(rnd.randint(0, 40))) for k in range(60)] + [(None, some(30)), (3, some(30))]
+    items = [(100 + k, some(rnd.choice([1, 3, 4, 5, 9]))) for k in range(25)] + [(None, some(4)), (100, some(4))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    for slop, length in ((1, 4), (2, 5)):
+        want = []
+        for i, text in docs:
+            words, near = text.split(), set()
+            for item, t in items:
+                own = t.split()
+                for p in range(max(1, len(own) - length + 1)):
+                    phrase = own[p : p + length]
+                    if any(all(w in words[max(0, s + k - slop) : max(0, s + k + slop + 1)] for k, w in enumerate(phrase)) for s in range(-slop, len(words))):
+                        near.add(item)
+            want.append((i, sorted(near - {None})))
+        out = decontam.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string"), length=length, slop=slop).collect()
+        assert sorted(((r.doc_id, r.near_items) for r in out), key=str) == sorted(want, key=str)
+        assert all(set(r["items"]) <= set(r.near_items) for r in out) and any(set(r["items"]) < set(r.near_items) for r in out)
+
+
+def test_query_columns_against_sql(spark, docs, frame, tmp_path):
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    frame.write.parquet(f"{tmp_path}/benchmark.parquet")
+    own = queries.op6_decontaminate(spark, str(tmp_path))
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(map(tuple, own.collect()), key=str) == sorted(db.execute(decontam.oracle_sql()).fetchall(), key=str)
+    assert own.where("n_near > n_items").count() > 0
+
+
 def test_empty_tables(docs, none, frame):
     assert got(none, frame) == []
     assert all(r[2] == 0 for r in got(docs, frame.limit(0)))
