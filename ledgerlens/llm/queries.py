@@ -43,12 +43,15 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != secrets.OTHER.name)
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    most = lambda field: F.coalesce(F.array_max(F.transform("spans", lambda s: s[field])), F.lit(0).cast("bigint"))
     return out.select(
         "doc_id",
         *[number(k.name).alias(f"n_{k.name}") for k in secrets.BASE],
         F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"),
         secrets.listed(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("bigint").alias("n_live"),
+        most("owners").alias("most_owners"),
+        most("repos").alias("most_repos"),
     )
 
 

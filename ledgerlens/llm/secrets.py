@@ -2,8 +2,8 @@
 
 Candidates of every kind are found in whole texts.  Each candidate's secret
 value is hashed, and the hashes are aggregated by distinct repositories and
-owners over the whole corpus: what many owners have is an example that is
-widely copied, what one or few have looks live.  The base kinds (``assign``,
+owners over the whole corpus: what many owners or many repositories have is an
+example that is widely copied, what few have looks live.  The base kinds (``assign``,
 ``access``, ``hex``) always stay as spans; candidates of the further kind
 ``other`` (tokens of known services, private keys, credentials in URLs) stay
 only where they look live.
@@ -49,7 +49,9 @@ BASE = (
     Kind("access", r"AKIA[A-Z0-9]+", 0, 16, r"AKIA"),
     Kind("hex", r"[0-9a-f]{32,}", 0, 32, r"[0-9a-f]{32}"),
 )
-# Shapes of public services' credentials.
+# Shapes of public services' credentials.  No part repeats a
+# group, which would recurse by its length, and no part before a fixed mark is
+# longer than a bound (a scheme, a token's header), which keeps time linear.
 OTHER = Kind(
     "other",
     "|".join(
@@ -60,9 +62,9 @@ OTHER = Kind(
             r"xox[abprs]-[A-Za-z0-9-]{10,}",
             r"AIza[A-Za-z0-9_-]{35}",
             r"sk_live_[A-Za-z0-9]{16,}",
-            r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-            r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
-            r"[a-z][a-z0-9+.-]*://[^\s/:@]{1,64}:[^\s/:@]{6,64}@[A-Za-z0-9.-]+",
+            r"eyJ[A-Za-z0-9_-]{8,512}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+            r"-----BEGIN (?:[A-Z ]* )?PRIVATE KEY-----",
+            r"[a-z][a-z0-9+.-]{0,31}://[^\x09-\x0d\x20/:@]*:[^\x09-\x0d\x20/:@]{6,}@[A-Za-z0-9.-]+",
             r"[0-9A-F]{32,}",
         )
     ),
@@ -118,9 +120,13 @@ def candidates(text: Column) -> Column:
     return F.array_sort(F.concat(*[matches(safe, kind, k) for k, kind in enumerate((*BASE, OTHER))]))
 
 
-def scan(docs: DataFrame, owner_cols: tuple[str, ...] = ("source",), repo_cols: tuple[str, ...] = ("source", "lang"), few_owners: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, owner_cols: tuple[str, ...] = ("source",), repo_cols: tuple[str, ...] = ("source", "lang"), few_owners: int = 2, few_repos: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id`` and ``spans``, an array of start, order, kind, end,
-    ``owners``, ``repos`` and ``live``."""
+    ``owners``, ``repos`` and ``live``.
+
+    A value looks live if at most ``few_owners`` owners and ``few_repos``
+    repositories have it.
+    """
     hashed = lambda cols: F.xxhash64(*[F.col(f"`{c}`") for c in cols])
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), hashed(owner_cols).alias("owner"), hashed(repo_cols).alias("repo"), candidates(F.col(f"`{text_col}`")).alias("spans"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, "candidates")
@@ -128,7 +134,7 @@ def scan(docs: DataFrame, owner_cols: tuple[str, ...] = ("source",), repo_cols:
     by_repo = each.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
     by_owner = by_repo.groupBy("value", "owner").agg(F.count("*").alias("repos"))
     spread = by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    judged = each.join(spread, "value").withColumn("live", F.col("owners") <= few_owners)
+    judged = each.join(spread, "value").withColumn("live", (F.col("owners") <= few_owners) & (F.col("repos") <= few_repos))
     kept = judged.where((F.col("kind") != OTHER.name) | F.col("live"))
     found = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "order", "kind", "end", "owners", "repos", "live"))).alias("judged"))
     none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int,owners:bigint,repos:bigint,live:boolean>>")
@@ -142,7 +148,7 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def oracle_sql(few_owners: int = 2) -> str:
+def oracle_sql(few_owners: int = 2, few_repos: int = 4) -> str:
     """Digest rows of the query in DuckDB SQL."""
     quoted = lambda p: p.replace("'", "''")
     kinds = " UNION ALL ".join(
@@ -159,9 +165,9 @@ p AS (SELECT r, o, kind, least, grp, unnest(parts) AS part, unnest(range(len(par
 s AS (SELECT *, CAST(sum(length(part)) OVER (PARTITION BY r, o ORDER BY i) AS BIGINT) AS b FROM p),
 m AS (SELECT r, o, kind, b - length(part) AS a, b, {value} AS v, least FROM s WHERE i % 2 = 1),
 c AS (SELECT m.*, source, lang FROM m JOIN d USING (r) WHERE length(v) >= least),
-w AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM c GROUP BY v),
-j AS (SELECT c.*, owners <= {few_owners} AS live FROM c JOIN w USING (v)),
-f AS (SELECT r, {base}, {listed_.format(f" FILTER (WHERE kind <> '{OTHER.name}')")} AS base, {listed_.format("")} AS spans, CAST(count(*) FILTER (WHERE live) AS BIGINT) AS n_live FROM j WHERE kind <> '{OTHER.name}' OR live GROUP BY r)
-SELECT doc_id, {', '.join(f'coalesce(n_{k.name}, 0) AS n_{k.name}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+w AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT (coalesce(source, chr(0)), coalesce(lang, chr(0)))) AS repos FROM c GROUP BY v),
+j AS (SELECT c.*, owners, repos, owners <= {few_owners} AND repos <= {few_repos} AS live FROM c JOIN w USING (v)),
+f AS (SELECT r, {base}, {listed_.format(f" FILTER (WHERE kind <> '{OTHER.name}')")} AS base, {listed_.format("")} AS spans, CAST(count(*) FILTER (WHERE live) AS BIGINT) AS n_live, CAST(max(owners) AS BIGINT) AS most_owners, CAST(max(repos) AS BIGINT) AS most_repos FROM j WHERE kind <> '{OTHER.name}' OR live GROUP BY r)
+SELECT doc_id, {', '.join(f'coalesce(n_{k.name}, 0) AS n_{k.name}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
 FROM d LEFT JOIN f ON f.r = d.r
 """

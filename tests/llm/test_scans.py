@@ -1,9 +1,11 @@
+import random
 import re
+import time
 
 import duckdb
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import licences, secrets
+from ledgerlens.llm import licences, queries, secrets
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 PLANTED = [
@@ -43,6 +45,38 @@ def test_owners_are_counted_apart(spark):
     assert (out[0].owners, out[0].live) == (1, True) and (out[10].owners, out[10].repos, out[10].live) == (5, 5, False)
 
 
+def test_long_texts_neither_recurse_nor_hang(spark):
+    rnd = random.Random(5)
+    n = 1_000_000
+    texts = ["-----BEGIN " + "A " * (n // 2), "z" * n, "eyJ" * (n // 3), "eyJ" + "a" * n + ".b", "postgres://" + "u" * n, "x://a:" + "p" * n + "@host", "password" + " " * n, "token=" + "k" * n, "AKIA" * (n // 4), "0F" * (n // 2), "".join(rnd.choice("ab.:/@- ") for _ in range(n // 10))]
+    frame = spark.createDataFrame([(k, t, f"o{k}", "en") for k, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    start = time.perf_counter()
+    out = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(frame).collect()}
+    assert time.perf_counter() - start < 120
+    assert out[5] == [("other", 0, n + 11)] and out[7] == [("assign", 0, n + 6)] and out[8] == [("access", 0, n)] and out[0] == out[1] == []
+
+
+def test_urls_with_empty_users_and_keys_with_words(spark):
+    rows = [(1, "see redis://:pa55word@cache.example.org now", "o", "en"), (2, "-----BEGIN RSA PRIVATE KEY-----", "o", "en"), (3, "-----BEGIN PRIVATE KEY-----", "o", "en"), (4, "-----BEGIN PUBLIC KEY-----", "o", "en")]
+    out = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert out == {1: [(4, 39)], 2: [(0, 31)], 3: [(0, 27)], 4: []}
+
+
+def test_many_repositories_of_one_owner_make_an_example(spark):
+    rows = [(k, f"token={'k' * 20}", "same", f"r{k}") for k in range(5)] + [(10 + k, f"token={'w' * 20}", "same", f"r{k}") for k in range(4)]
+    out = {r.doc_id: r.spans[0] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert (out[0].owners, out[0].repos, out[0].live) == (1, 5, False) and (out[10].repos, out[10].live) == (4, True)
+
+
+def test_secrets_against_sql(spark, rows, tmp_path):
+    every = [*rows, *PLANTED, (9301, "ghp_" + "Q7r6" * 9), (9302, None)]
+    frame = spark.createDataFrame([(i, t, f"owner{k % 9}", None if k % 5 == 0 else "en") for k, (i, t) in enumerate(every)], "doc_id long, text string, source string, lang string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, queries.op5_secret_scan(spark, str(tmp_path)).collect()), key=str) == sorted(db.execute(secrets.oracle_sql()).fetchall(), key=str)
+
+
 def test_licences_against_sql(spark, docs, rows):
     more = [(9001, "licensed under cc by nc 4 0\nfoo"), (9002, "Licensed under"), (9003, licences.TEMPLATES[15][1].replace("charge,", "charge\n")), (9004, "\n".join(t for _, t in licences.TEMPLATES))]
     frame = docs.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id long, text string"))
