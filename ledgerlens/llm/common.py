@@ -2,48 +2,65 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import delete, new_path
+
 #: Most rows and bytes that one Arrow batch hands to a Python worker.
 BATCH_ROWS = 256
-BATCH_BYTES = "16m"
+BATCH_BYTES = 16 << 20
+ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once; long texts make large batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Bound what a Python worker holds at once; long texts make large batches.
 
+    The session's two limits go down to these and stay, as frames that an
+    operator returns run later; lower limits are left alone.
+    """
+    if not 0 < int(spark.conf.get(ROWS_KEY)) <= BATCH_ROWS:
+        spark.conf.set(ROWS_KEY, str(BATCH_ROWS))
+    spark.conf.set(BYTES_KEY, str(BATCH_BYTES))
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it; only a session without that setting
-    (tests on one machine) gets a local folder of its own.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for what runs inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-_written: list[str] = []
+#: The scratch tables of the run that is going on, if it has a list of its own.
+_run: ContextVar[list[str] | None] = ContextVar("scratch tables", default=None)
 
 
-def clear_written(spark: SparkSession) -> None:
-    """Delete the tables that ``written`` made, once no frame reads them."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextlib.contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside are deleted at the end.
+
+    Only for what is complete by then.  Tables made elsewhere, before or at the
+    same time, stay until the driver ends, as frames may still read them.
+    """
+    made: list[str] = []
+    token = _run.set(made)
+    try:
+        yield
+    finally:
+        _run.reset(token)
+        for path in made:
+            delete(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -53,15 +70,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before, and later readers share one computation.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = new_path(spark, name)
+    if (made := _run.get()) is not None:
+        made.append(path)
     # the table replaces the shuffles that made it, so their files can go at once
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with setting(spark, CLEANUP, "true"):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

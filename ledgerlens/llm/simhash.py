@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import bounded_batches, hashed_sample, written
+from .common import ROWS_KEY, bounded_batches, hashed_sample, setting, written
 
 BITS = 64
 #: Fingerprints sampled for bit correlations and candidate estimates.
@@ -53,6 +53,8 @@ SAMPLE = 4096
 BLOCK = 4096
 #: Values in a bundle of small files, and the size of a handful.
 BUNDLE_ROWS, FEW = 1 << 15, 24
+#: Rows of plain numbers that an Arrow batch may have.
+NUMBER_ROWS = "10000"
 #: What filing one value costs, in verified candidates.
 PROBE_COST = 8.0
 
@@ -256,7 +258,6 @@ def links(prints: DataFrame, threshold: int = 3) -> DataFrame:
         ends = ends[ends[:, 0] != ends[:, 1]]
         return pa.table({"a": ends.min(axis=1, initial=2**64 - 1).view(np.int64) if len(ends) else pa.array([], pa.int64()), "b": ends.max(axis=1, initial=0).view(np.int64) if len(ends) else pa.array([], pa.int64())})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return dealt.groupBy("x", "y", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
@@ -293,7 +294,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = 3, id_col:
     rows = written(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "prints")
     salted = rows.groupBy("fp", "salt").agg(F.min("doc_id").alias("least"))
     groups = written(salted.groupBy("fp").agg(F.min("least").alias("least"), F.collect_set("salt").alias("salts")), "groups")
-    roots = components(links(groups.select("fp"), threshold))
+    with setting(docs.sparkSession, ROWS_KEY, NUMBER_ROWS):
+        roots = components(links(groups.select("fp"), threshold))
     named = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", "salts", F.coalesce("root", "fp").alias("root"))
     # a component has few fingerprints or many; partial minima go first
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -455,7 +457,6 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
         ends = np.array(pairs, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     roots = components(dealt_members.groupBy("x", "y", "i", "j").applyInArrow(meet, "a bigint, b bigint"))
     # equal texts: the smallest id stands for all
     salted = each.groupBy("node", "salt").agg(F.min("doc_id").alias("least"))
