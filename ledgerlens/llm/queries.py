@@ -87,8 +87,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
-    return urlrules.judge(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
+    return urlrules.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -128,4 +127,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_secret_scan": secrets.oracle_sql(),
     "op6_decontaminate": decontam.oracle_sql(),
     "op7_licence_scan": licences.oracle_sql(),
+    "op9_url_filter": urlrules.oracle_sql(),
 }
