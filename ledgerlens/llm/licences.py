@@ -1,29 +1,35 @@
 """Licence scan: Dice coefficient of word bigrams; DataFrame functions only.
 
-Texts are compared with licence templates in units: every line, and the whole
-text where it has several lines with words (for licence files).  A unit is
-normalised (lower case, words of letters and digits) and taken as its set of
-word bigrams; a unit of one word has that word as its only element.  With a, b
-the sizes and s the shared bigrams, Dice is 2 s / (a + b).  As s is at most the
-smaller size, a unit reaches ``least`` only if its size lies within
+Texts are compared with licence templates in units: every line, the whole text
+where it has several lines with words (for licence files), and windows of the
+text's words (for notices inside longer files, wrapped ones and sentences
+within a line).  A window has as many words as a template and is laid so that a
+telling bigram of that template stands at its place in it; it is compared with
+that template only, and ends with the text.
+
+A unit is normalised (lower case, words of letters and digits) and taken as its
+set of word bigrams; a unit of one word has that word as its only element.
+With a, b the sizes and s the shared bigrams, Dice is 2 s / (a + b).  As s is
+at most the smaller size, a unit reaches ``least`` only if its size lies within
 ``b * least / (2 - least)`` and ``b * (2 - least) / least``; only templates
 that pass this bound are compared, and only by units that share a bigram with
 any template.  A match shares ``b * least / (2 - least)`` of a template's
-bigrams at least, so it has one of any larger rest of them: texts without one
-of a few telling bigrams of every template are left before they are cut up.
+bigrams at least, so it has one of any larger rest of them, the template's
+telling bigrams: texts without the longer word of any of these are left before
+they are compared, and every window that could match holds one.
 
-The templates are fixed values in this module, so their broadcast is bounded.
+The templates are fixed values in this module, so what goes to the workers is
+bounded.  Of long licences they hold the heading or the notice.
 
 Defined results: a null text counts as empty; units without words match
-nothing; ties go to the template that comes first; of a document's units the
-best counts, the earliest of several; repeated rows are kept; an empty table
-gives an empty table.
+nothing; ties go to lines and whole texts before windows, then to the earliest
+unit, then to the template that comes first; repeated rows are kept; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +54,17 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
 )
 
 #: Dice in hundredths that a match has to reach.
@@ -66,69 +83,96 @@ def telling_bigrams(grams: list[str], least: int) -> list[str]:
     return sorted(grams, key=lambda g: (-max(map(len, g.split(" "))), -len(g), g))[: len(grams) - shared + 1]
 
 
+def telling_places(text: str, least: int) -> list[tuple[str, int]]:
+    """A template's telling bigrams and the first place of each in it."""
+    words = re.findall(WORD, text.lower())
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    return [(g, pairs.index(g)) for g in telling_bigrams(template_bigrams(text), least)] if pairs else []
+
+
 def template_names(templates=TEMPLATES) -> list[str]:
     """A template's name: its licence and its number in the list."""
     return [f"{licence}#{k}" for k, (licence, _) in enumerate(templates)]
 
 
-def unit_bigrams(unit: Column) -> Column:
-    """The distinct word bigrams; of a single word, that word."""
-    words = F.array_remove(F.split(F.lower(unit), "[^a-z0-9]+"), "")
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
+
+
+def bigrams(words: Column) -> Column:
+    """The pairs of neighbours among some words; of a single word, that word."""
     n = F.size(words)
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.when(n >= 2, pairs).otherwise(words))
+    rest = F.greatest(n - 1, F.lit(0))
+    return F.when(n >= 2, F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda a, b: F.concat_ws(" ", a, b))).otherwise(words)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+UNITS = "array<struct<unit:int,start:int,of:int,grams:array<string>>>"
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id``, ``n_units`` that match, and the best match
-    (``licence``, ``template``, ``unit``, ``shared``, ``dice``; null if none).
+    """Per row: ``doc_id``, ``n_units`` (lines and whole texts) and
+    ``n_windows`` that match, and the best match (``licence``, ``template``,
+    ``unit``, ``start``, ``shared``, ``dice``; null if none).
 
-    ``unit`` numbers the lines from 1; 0 is the whole text.
+    ``unit`` numbers the lines from 1, 0 is the whole text; of a window it is
+    null, and ``start`` is its first word, from 0.
     """
+    sets = [template_bigrams(t) for _, t in templates]
+    places = [(g, k, at, len(re.findall(WORD, text.lower()))) for k, (_, text) in enumerate(templates) for g, at in telling_places(text, least)]
+    low = min(-(-len(g) * least // (200 - least)) for g in sets)
+    high = max(len(g) * (200 - least) // least for g in sets)
+    listed = lambda values: F.array(*map(F.lit, values))
+    any_bigram = listed(sorted(set().union(*sets)))
+    any_word = listed(sorted({max(g.split(" "), key=lambda w: (len(w), w)) for g, *_ in places} | {g for s in sets for g in s if " " not in g}))
+    telling = listed(sorted({g for g, *_ in places}))
+    table = F.array(*[F.struct(F.lit(g).alias("gram"), F.lit(k).alias("of"), F.lit(at).alias("at"), F.lit(n).alias("words")) for g, k, at, n in places])
+    known = F.array(*[F.struct(listed(g).alias("grams"), F.lit(len(g)).alias("b"), F.lit(licence).alias("licence"), F.lit(name).alias("template"), F.lit(k).alias("of")) for k, (g, name, (licence, _)) in enumerate(zip(sets, template_names(templates), templates))])
+
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    grams = [template_bigrams(t) for _, t in templates]
-    names = template_names(templates)
-    every = sorted(set().union(*grams))
-    # all words of the templates' bigrams: a unit that can match has such a pair
-    any_bigram = F.array(*[F.lit(g) for g in every])
-    low = min(-(-len(g) * least // (200 - least)) for g in grams)
-    high = max(len(g) * (200 - least) // least for g in grams)
-
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
-    telling = sorted({t for g in grams for t in telling_bigrams(g, least)})
-    lines = F.split(F.col("text"), "\n", -1)
-    numbered = F.transform(lines, lambda x, k: F.struct((k + 1).alias("unit"), unit_bigrams(x).alias("grams")))
-    with_words = F.filter(numbered, lambda u: F.size(u["grams"]) > 0)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), plain.alias("plain"))
-    maybe = reduce(lambda a, b: a | b, [F.col("plain").contains(f" {t} ") for t in telling], F.lit(False))
-    rows = rows.select("doc_id", F.when(maybe, F.col("text")).otherwise("").alias("text"))
-    rows = rows.select("doc_id", "text", with_words.alias("units"))
-    # the whole text's bigrams are only worth having if it isn't far too long
-    whole = F.when((F.size("units") > 1) & (F.array_max(F.transform("units", lambda u: F.size(u["grams"]))) <= high), F.array(F.struct(F.lit(0).alias("unit"), unit_bigrams(F.col("text")).alias("grams")))).otherwise(F.array().cast("array<struct<unit:int,grams:array<string>>>"))
-    fits = F.filter(F.concat("units", whole), lambda u: (F.size(u["grams"]) >= low) & (F.size(u["grams"]) <= high) & F.arrays_overlap(u["grams"], any_bigram))
-    rows = rows.select("doc_id", fits.alias("units"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), words_of(text).alias("words"))
+    maybe = F.arrays_overlap("words", any_word)
+    rows = rows.select("doc_id", F.when(maybe, F.col("text")).alias("text"), F.when(maybe, F.col("words")).alias("words"))
+
+    unit = lambda number, start, of, grams: F.struct(number.cast("int").alias("unit"), start.cast("int").alias("start"), of.cast("int").alias("of"), F.array_distinct(grams).alias("grams"))
+    null = F.lit(None)
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, k: unit(k + 1, null, null, bigrams(words_of(x)))), lambda u: F.size(u["grams"]) > 0)
+    # the whole text's bigrams are only worth having if no line is far too long
+    whole = lambda found: F.when((F.size(found) > 1) & (F.array_max(F.transform(found, lambda u: F.size(u["grams"]))) <= high), F.array(unit(F.lit(0), null, null, bigrams(F.col("words"))))).otherwise(F.array().cast(UNITS))
+    sized = _let(lines, lambda found: F.filter(F.concat(found, whole(found)), lambda u: (F.size(u["grams"]) >= low) & (F.size(u["grams"]) <= high) & F.arrays_overlap(u["grams"], any_bigram)))
+
+    def windows(grams: Column) -> Column:
+        numbered = F.filter(F.transform(grams, lambda g, p: F.struct(g.alias("gram"), p.alias("p"))), lambda g: F.array_contains(telling, g["gram"]))
+        laid = F.flatten(F.transform(numbered, lambda g: F.transform(F.filter(table, lambda e: e["gram"] == g["gram"]), lambda e: F.struct(e["of"].alias("of"), F.greatest(g["p"] - e["at"], F.lit(0)).alias("from"), (g["p"] - e["at"] + e["words"] - 1).alias("to"), (g["p"] - e["at"]).alias("start")))))
+        return F.transform(F.array_distinct(laid), lambda w: unit(null, w["start"], w["of"], F.slice(grams, w["from"] + 1, w["to"] - w["from"])))
+
+    rows = rows.select("doc_id", F.when(F.col("text").isNotNull(), F.concat(sized, _let(bigrams(F.col("words")), windows))).alias("units"))
 
     def compared(u: Column) -> Column:
         """The unit's best template: highest Dice, then the first."""
         a = F.size(u["grams"])
-        tries = []
-        for k, (g, name, (licence, _)) in enumerate(zip(grams, names, templates)):
-            b = len(g)
-            bound = (a * (200 - least) >= least * b) & (a * least <= (200 - least) * b)
-            shared = F.size(F.array_intersect(u["grams"], F.array(*[F.lit(x) for x in g])))
-            s = F.when(bound, shared).otherwise(F.lit(0))
-            tries.append(F.struct((F.lit(2.0) * s / (a + b)).alias("dice"), (-u["unit"]).alias("before"), F.lit(-k).alias("first"), u["unit"].alias("unit"), s.alias("shared"), F.lit(licence).alias("licence"), F.lit(name).alias("template"), (200 * s >= least * (a + b)).alias("match")))
-        return F.array_max(F.filter(F.array(*tries), lambda t: t["match"]))
-
-    found = F.array_compact(F.transform("units", compared))
-    out = rows.select("doc_id", F.when(F.size("units") > 0, found).alias("found"))
+        bound = lambda t: F.when(u["of"].isNull(), (a * (200 - least) >= least * t["b"]) & (a * least <= (200 - least) * t["b"])).otherwise(t["of"] == u["of"])
+
+        def tried(t: Column) -> Column:
+            return _let(F.size(F.array_intersect(u["grams"], t["grams"])), lambda s: F.struct((F.lit(2.0) * s / (a + t["b"])).alias("dice"), u["unit"].isNotNull().alias("whole"), (-F.coalesce(u["unit"], u["start"])).alias("before"), (-t["of"]).alias("first"), u["unit"].alias("unit"), u["start"].alias("start"), s.alias("shared"), t["licence"].alias("licence"), t["template"].alias("template"), (200 * s >= least * (a + t["b"])).alias("match")))
+
+        return F.array_max(F.filter(F.transform(F.filter(known, bound), tried), lambda t: t["match"]))
+
+    out = rows.select("doc_id", F.when(F.size("units") > 0, F.array_compact(F.transform("units", compared))).alias("found"))
+    number = lambda whole: F.coalesce(F.size(F.filter("found", lambda t: t["whole"] == whole)), F.lit(0)).cast("bigint")
     best = F.array_max("found")
     return out.select(
         "doc_id",
-        F.coalesce(F.size(F.coalesce("found", F.array().cast(out.schema["found"].dataType))), F.lit(0)).cast("bigint").alias("n_units"),
+        F.when(F.col("found").isNull(), F.lit(0).cast("bigint")).otherwise(number(True)).alias("n_units"),
+        F.when(F.col("found").isNull(), F.lit(0).cast("bigint")).otherwise(number(False)).alias("n_windows"),
         best["licence"].alias("licence"),
         best["template"].alias("template"),
         best["unit"].cast("bigint").alias("unit"),
+        best["start"].cast("bigint").alias("start"),
         best["shared"].cast("bigint").alias("shared"),
         best["dice"].alias("dice"),
     )
@@ -136,22 +180,31 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
 
 def oracle_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, least: int = LEAST) -> str:
     """The query's rows in DuckDB SQL, every unit against every template."""
-    rows = []
+    rows, places = [], []
     for k, ((licence, text), name) in enumerate(zip(templates, template_names(templates))):
         g = template_bigrams(text)
         rows += [f"({k}, '{licence}', '{name}', {len(g)}, '{x}')" for x in g]
+        places += [f"({k}, '{x}', {at}, {len(re.findall(WORD, text.lower()))})" for x, at in telling_places(text, least)]
     return f"""
 WITH t(k, licence, template, b, gram) AS (VALUES {', '.join(rows)}),
+place(k, gram, at_, n) AS (VALUES {', '.join(places)}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS unit FROM d),
 w AS (SELECT r, unit, regexp_extract_all(lower(x), '{WORD}') AS words FROM l
     UNION ALL SELECT r, 0, regexp_extract_all(lower(text), '{WORD}') FROM d WHERE r IN (SELECT r FROM l WHERE regexp_matches(lower(x), '{WORD}') GROUP BY r HAVING count(*) > 1)),
 g AS (SELECT r, unit, list_distinct(CASE WHEN len(words) >= 2 THEN list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) ELSE words END) AS grams FROM w WHERE len(words) > 0),
-s AS (SELECT r, unit, k, licence, template, b, len(grams) AS a, count(*) AS shared FROM (SELECT r, unit, grams, unnest(grams) AS gram FROM g) JOIN t USING (gram) GROUP BY ALL),
-m AS (SELECT *, 2.0::DOUBLE * shared / (a + b) AS dice FROM (SELECT r, unit, k, licence, template, b, a, CAST(shared AS DOUBLE) AS shared FROM s) WHERE 200 * shared >= {least} * (a + b)),
-u AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY r, unit ORDER BY dice DESC, k) = 1),
-n AS (SELECT r, count(*) AS n FROM u GROUP BY r),
-best AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY r ORDER BY dice DESC, unit, k) = 1)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_units, licence, template, CAST(unit AS BIGINT) AS unit, CAST(shared AS BIGINT) AS shared, dice
+s AS (SELECT r, unit, NULL::BIGINT AS start, k, licence, template, b, len(grams) AS a, count(*) AS shared FROM (SELECT r, unit, grams, unnest(grams) AS gram FROM g) JOIN t USING (gram) GROUP BY ALL),
+v AS (SELECT r, regexp_extract_all(lower(text), '{WORD}') AS words FROM d),
+p AS (SELECT r, unnest(range(len(words) - 1)) AS p, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS gram FROM v WHERE len(words) > 1),
+x AS (SELECT DISTINCT r, k, p - at_ AS start, n FROM p JOIN place USING (gram)),
+y AS (SELECT x.r, x.k, start, count(DISTINCT gram) AS a FROM x JOIN p ON p.r = x.r AND p.p >= start AND p.p < start + n - 1 GROUP BY ALL),
+z AS (SELECT x.r, x.k, start, licence, template, b, count(DISTINCT p.gram) AS shared FROM x JOIN p ON p.r = x.r AND p.p >= start AND p.p < start + n - 1 JOIN t ON t.k = x.k AND t.gram = p.gram GROUP BY ALL),
+c AS (SELECT r, unit, start, k, licence, template, b, a, shared FROM s UNION ALL SELECT r, NULL, start, k, licence, template, b, a, shared FROM z JOIN y USING (r, k, start)),
+m AS (SELECT *, 2.0::DOUBLE * shared / (a + b) AS dice FROM (SELECT r, unit, start, k, licence, template, b, a, CAST(shared AS DOUBLE) AS shared FROM c) WHERE 200 * shared >= {least} * (a + b)),
+u AS (SELECT * FROM m WHERE unit IS NOT NULL QUALIFY row_number() OVER (PARTITION BY r, unit ORDER BY dice DESC, k) = 1),
+n AS (SELECT r, count(unit) AS n, count(start) AS n_windows FROM (SELECT r, unit, start FROM u UNION ALL SELECT r, unit, start FROM m WHERE start IS NOT NULL) GROUP BY r),
+best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY r ORDER BY dice DESC, unit IS NULL, coalesce(unit, start), k) = 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_units, CAST(coalesce(n_windows, 0) AS BIGINT) AS n_windows, licence, template,
+    CAST(unit AS BIGINT) AS unit, start, CAST(shared AS BIGINT) AS shared, dice
 FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN best ON best.r = d.r
 """

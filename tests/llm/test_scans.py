@@ -84,7 +84,17 @@ def test_licences_against_sql(spark, docs, rows):
     db.register("documents", frame.toPandas().astype({"doc_id": "Int64"}))
     own = sorted(map(tuple, licences.scan(frame).collect()), key=str)
     assert own == sorted(db.execute(licences.oracle_sql()).fetchall(), key=str)
-    assert {r[0]: r[2] for r in own}[9003] == "MIT"
+    assert {r[0]: r[3] for r in own}[9003] == "MIT"
+
+
+def test_notices_inside_longer_texts(spark):
+    notice = next(t for n, t in licences.TEMPLATES if n == "Apache-2.0" and "limitations" in t).split()
+    wrapped = "#!/bin/sh\n" + "\n".join("# " + " ".join(notice[k : k + 9]) for k in range(0, len(notice), 9)) + "\n" + "\n".join(f"x{k} = {k}" for k in range(300))
+    rows = [(1, wrapped), (2, "Summer was long. Released under the MIT License. Please read on, and on, and on, until the end of the page."), (3, "no notice " * 50), (4, "warranty " * 3000)]
+    out = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (out[1].licence, out[1].start, out[1].unit) == ("Apache-2.0", 2, None) and out[1].dice > 0.95
+    assert (out[2].licence, out[2].dice, out[2].start) == ("MIT", 1.0, 3) and out[2].n_windows >= 1
+    assert out[3].licence is None and out[4].licence is None
 
 
 def test_telling_bigrams_miss_no_match():
