@@ -29,7 +29,6 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--actor-list", default=DATA / "actor_list.json")
     p.add_argument("--institution-commitment-date")
     p.add_argument("--llm-endpoint")
-    p.add_argument("--llm-product-id")
     p.add_argument("--llm-model")
     p.add_argument("--env-file", default=".env")
     p.add_argument("--llm-api-key-env", default="LLM_API_KEY")
@@ -46,9 +45,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     try:
         commitment = date.fromisoformat(args.institution_commitment_date) if args.institution_commitment_date else None
         generator = None
-        if args.llm_endpoint or args.llm_product_id:
-            endpoint = args.llm_endpoint or f"https://api.infomaniak.com/1/ai/{args.llm_product_id}/openai/chat/completions"
-            generator = Generator(HttpTransport(Settings.from_env(endpoint, args.llm_model, args.llm_api_key_env, args.env_file)), args.llm_language, max_retries=args.llm_max_retries)
+        if args.llm_endpoint:
+            generator = Generator(HttpTransport(Settings.from_env(args.llm_endpoint, args.llm_model, args.llm_api_key_env, args.env_file)), args.llm_language, max_retries=args.llm_max_retries)
         cfg = load_config(args.onset_table, args.anonymous_patterns, args.aliu_list, args.actor_list, commitment)
         if spark is None:
             from pyspark.sql import SparkSession

@@ -6,6 +6,8 @@ on the derived events directly, with windows and list identities as VALUES.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -532,7 +534,7 @@ def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-NUMBERS = "list_sort(list_distinct(list_transform(list_filter(flatten(list_transform(regexp_extract_all({0}, '[0-9][0-9.,/-]*'), lambda r: regexp_split_to_array(r, '[.,/-]'))), lambda p: p <> ''), lambda p: CASE WHEN ltrim(p, '0') = '' THEN '0' ELSE ltrim(p, '0') END)))"
+NUMBERS = "list_sort(list_distinct(list_transform(regexp_extract_all({0}, '[0-9]+'), lambda p: CASE WHEN ltrim(p, '0') = '' THEN '0' ELSE ltrim(p, '0') END)))"
 
 
 @query("guard_numbers", f"SELECT doc_id, array_to_string(list_filter({NUMBERS.format('text')}, lambda n: NOT list_contains({NUMBERS.format(chr(39) + 'given: 1938-11-04, 0 and 16' + chr(39))}, n)), ',') AS added FROM documents")
@@ -543,7 +545,8 @@ def guard_numbers(spark, sf_dir):
 SHORTS = "|".join(guard.ABBREVIATIONS)
 # no look-behind there, so the character before comes along; neighbours need a second pass
 MASKED = "regexp_replace(regexp_replace({0}, '(^|[^\\p{{L}}\\p{{N}}_])(\\p{{L}})\\.', '\\1\\2~', 'g'), '(^|[^\\p{{L}}\\p{{N}}_])(\\p{{L}})\\.', '\\1\\2~', 'g')"
-SENTENCES = f"len(list_filter(regexp_split_to_array(regexp_replace({MASKED.format('text')}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({SHORTS})\\.', '\\1\\2~', 'g'), '[.!?]+'), lambda s: regexp_matches(s, '[^\\s]')))"
+MASKED_ALL = f"regexp_replace({MASKED}, '(?i)(^|[^\\p{{{{L}}}}\\p{{{{N}}}}_])({SHORTS})\\.', '\\1\\2~', 'g')"
+SENTENCES = f"len(list_filter(regexp_split_to_array({MASKED_ALL.format('text')}, '[.!?]+'), lambda s: regexp_matches(s, '[^\\s]')))"
 
 
 @query("guard_sentences", f"SELECT doc_id, CAST({SENTENCES} AS INT) AS n_sentences FROM documents")
@@ -560,7 +563,7 @@ def guard_length_framing(spark, sf_dir):
 FOUND = "len(regexp_extract_all(text, '{0}'))"
 
 
-@query("secret_scan", f"""SELECT doc_id, CAST({FOUND.format('INFOMANIAK_API_KEY[ ' + chr(92) + 't]*=[ ' + chr(92) + 't]*[^' + chr(92) + 's]+')} + {FOUND.format('INFOMANIAK_PRODUCT_ID[ ' + chr(92) + 't]*=[ ' + chr(92) + 't]*[^' + chr(92) + 's]+')} + {FOUND.format('Bearer' + chr(92) + 's+[A-Za-z0-9._~+/-]{16,}')}
+@query("secret_scan", f"""SELECT doc_id, CAST({FOUND.format('Bearer' + chr(92) + 's+[A-Za-z0-9._~+/-]{16,}')}
   + {FOUND.format('(?i)' + chr(92) + 'b(?:api[_-]?key|secret|token|password)' + chr(92) + 'b' + chr(92) + 's*[:=]' + chr(92) + 's*[' + chr(39) * 2 + '"]?[A-Za-z0-9._~+/-]{16,}')} AS BIGINT) AS n_findings FROM documents""")
 def secret_scan(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.size(hygiene.findings(F.col("text"))).cast("bigint").alias("n_findings"))
@@ -578,6 +581,45 @@ def acceptance_rates(spark, sf_dir):
     return hygiene.acceptance(documents(spark, sf_dir).select((F.col("doc_id") % 2 == 1).alias("adversarial"), (~F.array_contains(kinds, "too_long")).alias("accepted")))
 
 
+GIVEN = {"rule_statement": "Unverified: was the object sold in 1938?", "cited_fields": {"owner_name": "The Almqvist Estate", "date_span": "1938-11-04 (exact)", "location": "Munich, Germany", "n": 16}}
+
+
+def verdicts_sql() -> str:
+    """All English checks over the documents, against the fields in ``GIVEN``."""
+    pack = guard.load_language_pack()
+    given = guard.Given.of(GIVEN, pack.get("en"), pack)
+    of, listed = given.language, lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words)) + "]"
+    word = r"[\p{L}\p{N}_]"
+    whole = lambda phrases, tail="": "(?:^|[^" + word[1:] + f")(?:{'|'.join(re.escape(x) for x in phrases)}){tail}(?:$|[^" + word[1:] + ")"
+    terms = [t for t in pack.terms if not re.search(rf"(?<!\w){re.escape(t)}(?:{'|'.join(guard.TERM_SUFFIXES)})?(?!\w)", given.folded)]
+    quoted = lambda p: p.replace("'", "''")
+    grounded = given.tokens | {w for w, group in pack.groups.items() if given.tokens & set(group)}
+    folded = "replace(lower(strip_accents({0})), 'ß', 'ss')"
+    sentences = SENTENCES.replace("text", "t")
+    names = (
+        f"list_filter(flatten(list_transform(regexp_split_to_array({MASKED_ALL.format('t')}, '[.!?]'), lambda s: list_transform(regexp_extract_all(s, '[\\p{{L}}]+'), lambda w, k: {{'w': w, 'k': k}}))),"
+        f" lambda x: regexp_matches(x.w, '^\\p{{Lu}}') AND length(x.w) >= {guard.SHORTEST_NAME} AND NOT (x.k = 1 AND list_contains({listed(of.positional)}, {folded.format('x.w')}))"
+        f" AND NOT list_contains({listed(of.allowed | grounded)}, {folded.format('x.w')}))"
+    )
+    return f"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents), f AS (SELECT *, {folded.format('t')} AS folded FROM d)
+SELECT doc_id, CASE WHEN t = '' THEN 'empty_output' ELSE array_to_string(list_sort(list_filter([
+    CASE WHEN len(list_filter({NUMBERS.format('t')}, lambda n: NOT list_contains({listed(given.numbers)}, n))) > 0 THEN 'introduced_number' END,
+    CASE WHEN regexp_matches(folded, '{quoted(whole(terms, '(?:' + '|'.join(guard.TERM_SUFFIXES) + ')?'))}') THEN 'introduced_historical_context' END,
+    CASE WHEN regexp_matches(folded, '{quoted(whole(of.assertions))}') THEN 'asserted_a_finding' END,
+    CASE WHEN len({names}) > 0 THEN 'introduced_proper_noun' END,
+    CASE WHEN length(t) > {of.max_characters} OR {sentences} > {of.max_sentences} THEN 'too_long' END,
+    CASE WHEN NOT ({' OR '.join(f"contains(folded, '{quoted(m)}')" for m in of.markers)}) THEN 'not_phrased_as_a_question' END], lambda x: x IS NOT NULL)), ',') END AS kinds FROM f"""
+
+
+@query("guard_verdicts", verdicts_sql())
+def guard_verdicts(spark, sf_dir):
+    """All six checks over every document: the kinds of violations."""
+    verdict = guard.verified(F.col("text"), F.lit(json.dumps(GIVEN)), "en", guard.load_language_pack())
+    checked = documents(spark, sf_dir).select("doc_id", verdict.alias("v"))
+    return checked.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform("v.violations", lambda x: x["kind"]))), ",").alias("kinds"))
+
+
 @query("verify_flag_statements")
 def verify_flag_statements(spark, sf_dir):
     """The verifier over the engine's own statements: what it would reject."""
