@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql.functions import arrow_udf
 from .common import bounded_batches
 
 #: Entries of a generation of a worker's memory of words; of fragments, all.
-CACHE_ENTRIES = 1 << 18
+CACHE_ENTRIES = 1 << 17
 #: Longer fragments are merged over a heap, so that their time isn't square.
 HEAP_SYMBOLS = 48
 #: Longer words and fragments are not remembered.
@@ -50,7 +51,11 @@ def byte_symbols() -> list[str]:
 
 
 class WordBPE:
-    """A word-end BPE vocabulary: normalise, split, cut, merge."""
+    """A word-end BPE vocabulary: normalise, split, cut, merge.
+
+    Symbols are handled as numbers, a token's id or a number beyond all ids for
+    what is no token by itself; a pair is one number, ``left * base + right``.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -58,14 +63,19 @@ class WordBPE:
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {}
-        for rank, pair in enumerate(model["merges"]):
-            left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks[left, right] = rank
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.symbols = byte_symbols()
-        self.to_symbols = {b: s for b, s in enumerate(self.symbols)}
+        self.no_id = max(self.tokens) + 1
+        self.codes = dict(self.vocab)
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        for s in (*self.symbols, *(s + self.end for s in self.symbols), *(part for m in merges for part in (*m, "".join(m)))):
+            self.codes.setdefault(s, self.no_id + len(self.codes))
+        self.base = max(self.codes.values()) + 1
+        self.ranks = {self.codes[left] * self.base + self.codes[right]: rank for rank, (left, right) in enumerate(merges)}
+        self.made = [self.codes["".join(m)] for m in merges]
+        self.inner = [self.codes[s] for s in self.symbols]
+        self.last = [self.codes[s + self.end] for s in self.symbols]
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.space = regex.compile(r"\s+")
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
@@ -73,7 +83,7 @@ class WordBPE:
         self.joined = self._joined_pairs()
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.fragments: dict[tuple[str, ...], tuple[int, ...]] = {}
+        self.fragments: dict[tuple[int, ...], tuple[int, ...]] = {}
 
     def pieces(self, token: str) -> list[str]:
         """The symbols of a token or word; the last carries the word end."""
@@ -82,9 +92,11 @@ class WordBPE:
             return [*body[:-1], body[-1] + self.end]
         return list(token)
 
-    def _joined_pairs(self) -> set[tuple[str, str]]:
+    def _joined_pairs(self) -> set[int]:
         """Pairs that some vocabulary token holds side by side."""
-        return {pair for token in self.vocab for p in [self.pieces(token)] for pair in zip(p, p[1:])}
+        codes, base = self.codes, self.base
+        every = ([codes.get(p) for p in self.pieces(token)] for token in self.vocab)
+        return {a * base + b for own in every for a, b in zip(own, own[1:]) if a is not None and b is not None}
 
     def normalise(self, text: str) -> str:
         if not text.isascii():
@@ -92,59 +104,59 @@ class WordBPE:
             return self.space.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
         return self.space.sub(" ", text).lower()
 
-    def merge(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
-        """Merge a fragment: lowest rank first, then leftmost."""
-        parts = self._merged_long(symbols) if len(symbols) > HEAP_SYMBOLS else self._merged(symbols)
-        return tuple(self.vocab[p] for p in parts if p in self.vocab)
+    def merge(self, codes: tuple[int, ...]) -> tuple[int, ...]:
+        """The ids of a fragment: lowest rank first, then leftmost."""
+        parts = self._merged_long(codes) if len(codes) > HEAP_SYMBOLS else self._merged(codes)
+        return tuple(parts) if max(parts) < self.no_id else tuple(p for p in parts if p < self.no_id)
 
-    def _merged_long(self, symbols: tuple[str, ...]) -> list[str]:
+    def _merged_long(self, codes: tuple[int, ...]) -> list[int]:
         """Parts in a chain; a heap has each pair's rank and place, old ones too."""
-        ranks, parts = self.ranks, list(symbols)
+        ranks, base, parts = self.ranks, self.base, list(codes)
         before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
-        heap = [(r, k) for k, pair in enumerate(zip(parts, parts[1:])) if (r := ranks.get(pair)) is not None]
+        heap = [(r, k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if (r := ranks.get(a * base + b)) is not None]
         heapq.heapify(heap)
         while heap:
             rank, k = heapq.heappop(heap)
             right = after[k]
-            # a part that is gone is empty; a pair that has changed has another rank
-            if not parts[k] or right < 0 or ranks.get((parts[k], parts[right])) != rank:
+            # a part that is gone is -1; a pair that has changed has another rank
+            if parts[k] < 0 or right < 0 or ranks.get(parts[k] * base + parts[right]) != rank:
                 continue
-            parts[k] += parts[right]
-            parts[right] = ""
+            parts[k] = self.made[rank]
+            parts[right] = -1
             after[k] = after[right]
             if after[k] >= 0:
                 before[after[k]] = k
-                if (r := ranks.get((parts[k], parts[after[k]]))) is not None:
+                if (r := ranks.get(parts[k] * base + parts[after[k]])) is not None:
                     heapq.heappush(heap, (r, k))
-            if before[k] >= 0 and (r := ranks.get((parts[before[k]], parts[k]))) is not None:
+            if before[k] >= 0 and (r := ranks.get(parts[before[k]] * base + parts[k])) is not None:
                 heapq.heappush(heap, (r, before[k]))
-        return [p for p in parts if p]
+        return [p for p in parts if p >= 0]
 
-    def _merged(self, symbols: tuple[str, ...]) -> list[str]:
-        parts, ranks, last = list(symbols), self.ranks, len(self.ranks)
-        score = [ranks.get(p, last) for p in zip(parts, parts[1:])]
+    def _merged(self, codes: tuple[int, ...]) -> list[int]:
+        parts, get, base, none = list(codes), self.ranks.get, self.base, len(self.ranks)
+        score = [get(a * base + b, none) for a, b in zip(parts, parts[1:])]
         while score:
             best = min(score)
-            if best == last:
+            if best == none:
                 break
             at = score.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            parts[at : at + 2] = [self.made[best]]
             del score[at]
             if at:
-                score[at - 1] = ranks.get((parts[at - 1], parts[at]), last)
+                score[at - 1] = get(parts[at - 1] * base + parts[at], none)
             if at < len(score):
-                score[at] = ranks.get((parts[at], parts[at + 1]), last)
+                score[at] = get(parts[at] * base + parts[at + 1], none)
         return parts
 
-    def fragment(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
+    def fragment(self, codes: tuple[int, ...]) -> tuple[int, ...]:
         """``merge`` of a part of a word, remembered if it is short."""
-        ids = self.fragments.get(symbols)
+        ids = self.fragments.get(codes)
         if ids is None:
-            ids = self.merge(symbols)
-            if len(symbols) <= CACHE_LENGTH:
+            ids = self.merge(codes)
+            if len(codes) <= CACHE_LENGTH:
                 if len(self.fragments) >= CACHE_ENTRIES:
                     self.fragments.clear()
-                self.fragments[symbols] = ids
+                self.fragments[codes] = ids
         return ids
 
     def word(self, word: str) -> bytes:
@@ -162,20 +174,21 @@ class WordBPE:
             self.words[word] = out
         return out
 
+    def coded(self, word: str) -> list[int]:
+        """The symbols of a word's bytes; the last carries the word end."""
+        data, inner = word.encode(), self.inner
+        codes = [inner[b] for b in data]
+        codes[-1] = self.last[data[-1]]
+        return codes
+
     def _word(self, word: str) -> bytes:
-        if word.isascii():
-            symbols = list(word) if word.isprintable() else [self.symbols[b] for b in word.encode()]
+        codes, joined, base = self.coded(word), self.joined, self.base
+        cuts = [k for k, (a, b) in enumerate(zip(codes, codes[1:]), 1) if a * base + b not in joined]
+        if not cuts:
+            ids = self.merge(tuple(codes))
         else:
-            symbols = [self.symbols[b] for b in word.encode()]
-        symbols[-1] += self.end
-        ids: list[int] = []
-        start, joined = 0, self.joined
-        for k in range(1, len(symbols)):
-            if (symbols[k - 1], symbols[k]) not in joined:
-                ids += self.fragment(tuple(symbols[start:k]))
-                start = k
-        ids += self.fragment(tuple(symbols[start:])) if start else self.merge(tuple(symbols))
-        return np.array(ids, dtype="<u4").tobytes()
+            ids = [i for a, b in zip([0, *cuts], [*cuts, len(codes)]) for i in self.fragment(tuple(codes[a:b]))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text."""
@@ -184,7 +197,7 @@ class WordBPE:
         parts = self.specials.split(text) if any(c in text for c in self.openers) else [text]
         for k, part in enumerate(parts):
             if k % 2:
-                out.append(np.array([self.added[part]], dtype="<u4").tobytes())
+                out.append(struct.pack("<I", self.added[part]))
             elif part:
                 out += [get(w) or word(w) for w in self.split.findall(self.normalise(part))]
         return b"".join(out)

@@ -32,9 +32,7 @@ def test_odd_texts():
 def test_cuts_are_certain():
     own = bpe.WordBPE(PATH)
     for word in ("zqxjk", "hello", "thblentio", "é" * 9):
-        symbols = [own.symbols[b] for b in word.encode()]
-        symbols[-1] += own.end
-        whole = own.merge(tuple(symbols))
+        whole = own.merge(tuple(own.coded(word)))
         assert np.frombuffer(own.word(word), "<u4").tolist() == list(whole)
 
 
@@ -57,7 +55,7 @@ def test_long_words_of_equal_and_mixed_letters():
     for text in ("a" * 3001, "ab" * 999, "".join(rnd.choice("etaoin") for _ in range(4000)), "tionthe" * 400):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
         # both ways of merging agree
-        assert own._merged(tuple(text)) == own._merged_long(tuple(text))
+        assert own._merged(own.coded(text)) == own._merged_long(own.coded(text))
 
 
 def test_a_word_of_a_million_letters_takes_seconds():
