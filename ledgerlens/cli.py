@@ -11,7 +11,7 @@ from pathlib import Path
 from .model import CIRCA_MARGIN
 from .operators.explain import Generator, HttpTransport, Settings
 from .plans.html import render
-from .plans.screening import run
+from .plans.screening import report, screen_file, write
 from .sources.lists import DATA, ListError, load_config
 from .sources.records import InputError
 
@@ -22,6 +22,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--format", choices=("csv", "lido"))
     p.add_argument("--out", help="JSON report")
     p.add_argument("--html", help="HTML report")
+    p.add_argument("--parquet", help="folder for flags, objects, citations and coverage as tables; without --out or --html nothing is collected")
     p.add_argument("--onset-table", default=DATA / "onset_table.json")
     p.add_argument("--circa-margin-years", type=int, default=CIRCA_MARGIN)
     p.add_argument("--anonymous-patterns", default=DATA / "anonymous_patterns.json")
@@ -52,15 +53,20 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             from pyspark.sql import SparkSession
 
             spark = SparkSession.builder.appName("ledgerlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-        report = run(spark, args.input, cfg, args.format, args.circa_margin_years, generator)
+        screening, notes, fmt = screen_file(spark, args.input, cfg, args.format, args.circa_margin_years)
+        if args.parquet:
+            write(screening, args.parquet)
+            if not args.out and not args.html:
+                return 0
+        result = report(screening, cfg, args.input, fmt, notes, args.circa_margin_years, generator)
     except (InputError, ListError, ValueError) as e:
         print(e, file=sys.stderr)
         return 2
-    text = json.dumps(report, indent=2, ensure_ascii=False) + "\n"
+    text = json.dumps(result, indent=2, ensure_ascii=False) + "\n"
     if args.out:
         Path(args.out).write_text(text, encoding="utf-8")
     if args.html:
-        Path(args.html).write_text(render(report), encoding="utf-8")
+        Path(args.html).write_text(render(result), encoding="utf-8")
     if not args.out and not args.html:
         sys.stdout.write(text)
     return 0

@@ -1,14 +1,19 @@
 """The fourteen rules over enriched records.
 
-Each returns flags (and notes where it could not run) as DataFrames of one
-schema; nothing is grouped into Python objects.  A flag asks a question and
-cites the fields it rests on, as JSON in ``cited_fields``.
+Each returns flags (and notes where it could not run); nothing is grouped into
+Python objects.  What a record decides by itself is a Column, null where there
+is nothing to say: all such flags, and all such notes, come from one pass over
+the records, as an array that is exploded once.  Lists of a chain's records
+come from one aggregate for all notes that have them.  The other flags and
+notes are DataFrames of the same columns.  A flag asks a question and cites the
+fields it rests on, as JSON in ``cited_fields``.
 """
 
 from __future__ import annotations
 
 import json
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +25,7 @@ from ..model import (
     ACTOR_WINDOW, CATALOGUE_EARLY, CATALOGUE_LATE, EVIDENCING_STATES, EXPORT_WINDOW, METHODOLOGY, PERSECUTION_STATES, PRE_1945, RULES, STATES,
 )
 from ..sources.lists import Config, NameList
+from ..staging import staged
 from . import tiers
 
 FLAG_COLUMNS = ("object_id", "chain_seq", "axis", "rule_id", "rule_seq", "rec_rn", "sub_seq", "source_ref", "presumption_tier", "rule_statement", "methodology", "cited_fields")
@@ -57,35 +63,76 @@ def cite(*names: str) -> list[tuple[str, Column]]:
 RECORD = ("owner_name", "date_span", "location", "transaction_state")
 
 
-def flag(rows: DataFrame, rule: str, statement: Column, parts: list, tier: Column | str | None = "n/a", sub: Column | int = 0, methodology: str | None = None, of_object: bool = False) -> DataFrame:
+def flag(rows: DataFrame | Column, rule: str, statement: Column, parts: list, tier: Column | str | None = "n/a", sub: Column | int = 0, methodology: str | None = None, of_object: bool = False, place: Column | None = None) -> DataFrame | Column:
+    """Flags of some rows, or of the records for which a condition holds."""
     tier = F.lit(tier) if tier is None or isinstance(tier, str) else tier
     sub = F.lit(sub) if isinstance(sub, int) else sub
-    return rows.select(
-        "object_id", "chain_seq", F.lit(RULES.get(rule, "citation")).alias("axis"), F.lit(rule).alias("rule_id"), F.lit(RULE_SEQ.get(rule, len(RULE_SEQ))).alias("rule_seq"),
-        (F.lit(0) if of_object else F.col("rn")).cast("int").alias("rec_rn"), sub.cast("int").alias("sub_seq"),
+    place = (F.lit(0) if of_object else F.col("rn")) if place is None else place
+    values = [
+        F.lit(RULES.get(rule, "citation")).alias("axis"), F.lit(rule).alias("rule_id"), F.lit(RULE_SEQ.get(rule, len(RULE_SEQ))).alias("rule_seq"), place.cast("int").alias("rec_rn"), sub.cast("int").alias("sub_seq"),
         (F.lit(None) if of_object else F.col("source_ref")).cast("string").alias("source_ref"), tier.cast("string").alias("presumption_tier"),
         statement.alias("rule_statement"), F.lit(METHODOLOGY[methodology or rule]).alias("methodology"), cited(*parts).alias("cited_fields"),
-    )
+    ]
+    return F.when(rows, F.struct(*values)) if isinstance(rows, Column) else rows.select("object_id", "chain_seq", *values)
+
+
+def note(rows: DataFrame | Column, seq: int, text: Column, sub: int | Column = 0) -> DataFrame | Column:
+    values = [F.lit(seq).alias("note_seq"), (F.lit(sub) if isinstance(sub, int) else sub).cast("int").alias("sub_seq"), text.alias("note")]
+    return F.when(rows, F.struct(*values)) if isinstance(rows, Column) else rows.select("object_id", "chain_seq", *values)
+
+
+class Listed(NamedTuple):
+    """A note that lists the chain's records for which a condition holds."""
+
+    where: Column
+    seq: int
+    before: str
+    after: str
+    sub: int = 0
 
 
-def note(rows: DataFrame, seq: int, text: Column, sub: int | Column = 0) -> DataFrame:
-    return rows.select("object_id", "chain_seq", F.lit(seq).alias("note_seq"), (F.lit(sub) if isinstance(sub, int) else sub).cast("int").alias("sub_seq"), text.alias("note"))
+def references(where: Column) -> Column:
+    """An aggregate of a chain: its records' references in order, or null."""
+    found = F.array_sort(F.collect_list(F.when(where, F.struct("rn", "source_ref"))))
+    return F.nullif(F.array_join(F.transform(found, lambda x: x["source_ref"]), ", "), F.lit(""))
 
 
-def listed(rows: DataFrame, value: Column | str = "source_ref") -> DataFrame:
-    """A row for each object with ``refs``: the rows' values in chain order."""
-    value = F.col(value) if isinstance(value, str) else value
-    grouped = rows.groupBy("object_id", "chain_seq").agg(F.array_sort(F.collect_list(F.struct("rn", value.alias("v")))).alias("l"))
-    return grouped.select("object_id", "chain_seq", F.array_join(F.transform("l", lambda x: x["v"]), ", ").alias("refs"))
+def listed(rows: DataFrame, seq: int, rule: str, why: str) -> DataFrame:
+    """The note of rows that are no plain records."""
+    refs = rows.groupBy("object_id", "chain_seq").agg(references(F.lit(True)).alias("refs"))
+    return note(refs, seq, F.concat(F.lit(f"{rule} not evaluated for "), F.col("refs"), F.lit(f": {why}")))
 
 
-def not_evaluated(rows: DataFrame, seq: int, sub: int, rule: str, why: str, value: Column | str = "source_ref") -> DataFrame:
-    return note(listed(rows, value), seq, F.concat(F.lit(f"{rule} not evaluated for "), F.col("refs"), F.lit(f": {why}")), sub)
+def not_evaluated(where: Column, seq: int, sub: int, rule: str, why: str) -> Listed:
+    return Listed(where, seq, f"{rule} not evaluated for ", f": {why}", sub)
+
+
+def together(records: DataFrame, found: list[DataFrame | Column | Listed]) -> DataFrame:
+    """Flags, or notes, of all kinds as one frame."""
+    frames = [f for f in found if isinstance(f, DataFrame)]
+
+    def exploded(rows: DataFrame, columns: list[Column]) -> DataFrame:
+        return rows.select("object_id", "chain_seq", F.explode(F.array_compact(F.array(*columns))).alias("f")).select("object_id", "chain_seq", "f.*")
+
+    if columns := [f for f in found if isinstance(f, Column)]:
+        frames.append(exploded(records, columns))
+    if lists := [f for f in found if isinstance(f, Listed)]:
+        chains = records.groupBy("object_id", "chain_seq").agg(*[references(x.where).alias(f"refs{k}") for k, x in enumerate(lists)])
+        frames.append(exploded(chains, [note(F.col(f"refs{k}").isNotNull(), x.seq, F.concat(F.lit(x.before), F.col(f"refs{k}"), F.lit(x.after)), x.sub) for k, x in enumerate(lists)]))
+    return reduce(DataFrame.unionByName, frames)
+
+
+#: The first record of each chain, which carries the chain's aggregates.
+FIRST = "rn = 1"
 
 
 def objects(records: DataFrame) -> DataFrame:
-    """The first record of each chain, which carries the chain's aggregates."""
-    return records.where("rn = 1")
+    return records.where(FIRST)
+
+
+def of_chain(condition: str) -> Column:
+    """A condition on the chain, asked once for each."""
+    return F.expr(f"{FIRST} and ({condition})")
 
 
 def pc001(records: DataFrame) -> tuple[list, list]:
@@ -104,14 +151,14 @@ def pc001(records: DataFrame) -> tuple[list, list]:
     ]
     statement = F.concat(F.lit("Unverified: is any ownership before 1945 documented? At its stated precision no record of the chain is dated before 1 January 1945."), why)
     late = F.concat(F.lit("PC-001 not applicable: the object's creation is recorded as "), F.col("created_text"), F.lit(f", on or after {PRE_1945}, so earlier provenance cannot exist; nothing is said about its documentation."))
-    return [flag(open_, "PC-001", statement, parts, of_object=True)], [note(rows.where("created_after"), 1, late)]
+    return [flag(open_, "PC-001", statement, parts, of_object=True)], [note(of_chain("not possibly_pre_1945 and created_after"), 1, late)]
 
 
 def pc002(records: DataFrame) -> tuple[list, list]:
     """The chain begins at the institution's own acquisition."""
-    never = note(objects(records).where("acquisition_never_set"), 2, F.lit("PC-002 skipped: no record sets `is_institution_acquisition`, so the institution's accession cannot be told in the chain."))
+    never = note(of_chain("acquisition_never_set"), 2, F.lit("PC-002 skipped: no record sets `is_institution_acquisition`, so the institution's accession cannot be told in the chain."))
     first = objects(records).where(F.coalesce("is_institution_acquisition", F.lit(False)))
-    later = listed(records.where("rn > 1 and not is_dated")).drop("chain_seq")
+    later = records.where("rn > 1 and not is_dated").groupBy("object_id").agg(references(F.lit(True)).alias("refs"))
     joined = first.join(later, "object_id", "left")
     unclear = note(joined.where("refs is not null"), 2, F.concat(F.lit("PC-002 skipped: undated records ("), F.col("refs"), F.lit(") may precede the accession, so chain order is not established.")))
     parts = [*cite("owner_name", "date_span", "transaction_state", "is_institution_acquisition"), ("records_earlier_in_chain", F.lit(0)), ("records_in_chain", F.col("n_records"))]
@@ -133,6 +180,12 @@ def window_hits(records: DataFrame, cfg: Config) -> DataFrame:
     return rows.withColumn("certainty", overlap_certainty(F.col("span"), F.col("w.earliest"), F.col("w.ends"))).where("certainty is not null")
 
 
+def meets_a_window(cfg: Config) -> Column:
+    """Whether the record's date meets a window of any of its territories."""
+    every = [F.struct(F.lit(t.index).alias("territory"), F.lit(w.earliest).cast("date").alias("earliest"), F.lit(w.ends).cast("date").alias("ends")) for t in cfg.onset.territories for w in t.windows]
+    return F.col("is_dated") & F.exists(F.array(*every), lambda w: F.array_contains("territories", w["territory"]) & overlap_certainty(F.col("span"), w["earliest"], w["ends"]).isNotNull())
+
+
 def gloss(state: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for p in STATES.items() for x in p]), state)
 
@@ -152,22 +205,21 @@ def pc003(records: DataFrame, cfg: Config) -> tuple[list, list]:
     how = F.when(F.col("certainty") == "certain", "overlaps").otherwise("may overlap, which its precision leaves open,")
     statement = F.concat(F.lit("Unverified: did a persecuted person make this transfer, at a fair price and free to use the proceeds? Its recorded date "), how, F.lit(" the persecution window of "), w["name"], F.lit(" (from "), w["label"], F.lit(" to "), w["ends"].cast("string"), F.lit("). The record says nothing either way."))
     by_window = flag(hits, "PC-003", statement, parts, tier, F.col("territory") * 1000 + w["window_seq"])
-    in_window = hits.select("object_id", "source_order").distinct()
-    by_state = records.where(~F.col("resolved") & F.col("transaction_state").isin(*PERSECUTION_STATES)).join(in_window, ["object_id", "source_order"], "left_anti")
+    by_state = ~F.col("resolved") & F.col("transaction_state").isin(*PERSECUTION_STATES) & ~F.coalesce(meets_a_window(cfg), F.lit(False))
     tier, basis = tiers.from_state(F.col("span"), F.col("transaction_state"), cfg.onset)
     parts = [*cite(*RECORD), ("presumption_tier_basis", basis), ("transaction_state_gloss", gloss(F.col("transaction_state"))), ("basis", F.lit("the record's own transaction_state; its place is outside the table, or not recorded, or no window is met"))]
     statement = F.concat(F.lit("Unverified: was a fair price received, and was the transferor free to use it? The record itself gives the transfer as "), quoted(F.col("transaction_state")), F.lit(" ("), gloss(F.col("transaction_state")), F.lit("). It says nothing further either way."))
     own_state = flag(by_state, "PC-003", statement, parts, tier, 1_000_000, "PC-003-state")
     return [by_window, own_state], [
-        not_evaluated(records.where("resolved"), 3, 0, "PC-003", "the record is itself a restitution or settlement."),
-        not_evaluated(records.where("not resolved and not is_dated and location is not null"), 3, 1, "PC-003", "the record has a location but no date to compare."),
-        not_evaluated(records.where("not resolved and is_dated and location is null"), 3, 2, "PC-003", "the record has no `location`, which the table of onsets goes by."),
+        not_evaluated(F.expr("resolved"), 3, 0, "PC-003", "the record is itself a restitution or settlement."),
+        not_evaluated(F.expr("not resolved and not is_dated and location is not null"), 3, 1, "PC-003", "the record has a location but no date to compare."),
+        not_evaluated(F.expr("not resolved and is_dated and location is null"), 3, 2, "PC-003", "the record has no `location`, which the table of onsets goes by."),
     ]
 
 
 def pc010(records: DataFrame) -> tuple[list, list]:
     """A sale abroad in flight."""
-    rows = records.where("transaction_state = 'fluchtgut'")
+    rows = F.expr("transaction_state = 'fluchtgut'")
     parts = [*cite(*RECORD), ("transaction_state_gloss", gloss(F.col("transaction_state"))), ("category_status", F.lit("contested: whether such sales count as losses by persecution is open in law and research"))]
     statement = F.lit("Unverified: under what pressure was this sale made, and what became of the proceeds? The record gives it as a sale abroad in flight, a contested category on which it offers no evidence.")
     return [flag(rows, "PC-010", statement, parts)], []
@@ -191,13 +243,13 @@ def pc004(records: DataFrame, cfg: Config) -> tuple[list, list]:
     common = [("object_class", F.col("class")), ("object_class_rule_group", F.col("class_group")), ("screening_band", F.lit(f"{start} to {end}")), ("basis", F.lit("class and date alone; neither a chain nor a matched place is asked for"))]
     statement = F.concat(F.lit("Unverified: by what channel did the object come here? It is recorded as "), quoted(F.col("class")), F.lit(", a class that often passed through confiscation without a chain, and this record falls in the screening band. The record says nothing about its channel."))
     by_record = flag(placed, "PC-004", statement, [*cite(*RECORD), *common, ("overlap_certainty", F.col("certainty")), ("presumption_tier_basis", basis)], tier)
-    one = objects(rows).where("not certainly_pre_1945")
+    one = "class_group is not null and not certainly_pre_1945"
     parts = [*common, ("records_in_chain", F.col("n_records")), ("certainly_dated_before_1945", F.lit(False)), ("object_date", F.col("created_text"))]
     statement = F.concat(F.lit("Unverified: where was the object before 1945? It is recorded as "), quoted(F.col("class")), F.lit(", a class for which a missing chain is what confiscation would leave. No record is certainly dated before 1945."))
-    absent = flag(one.where("not created_after"), "PC-004", statement, parts, sub=1, of_object=True).withColumn("rec_rn", F.lit(2**31 - 1))
+    absent = flag(of_chain(f"{one} and not created_after"), "PC-004", statement, parts, sub=1, of_object=True, place=F.lit(2**31 - 1))
     return [by_record, absent], [
-        note(objects(records).where("class is null"), 4, F.lit("PC-004 skipped: no `object_class` is recorded.")),
-        note(one.where("created_after"), 4, F.concat(F.lit("PC-004 absent-chain limb not applicable: the object's creation is recorded as "), F.col("created_text"), F.lit(f", on or after {PRE_1945}."))),
+        note(of_chain("class is null"), 4, F.lit("PC-004 skipped: no `object_class` is recorded.")),
+        note(of_chain(f"{one} and created_after"), 4, F.concat(F.lit("PC-004 absent-chain limb not applicable: the object's creation is recorded as "), F.col("created_text"), F.lit(f", on or after {PRE_1945}."))),
     ]
 
 
@@ -209,11 +261,12 @@ def list_hits(records: DataFrame, names: NameList) -> DataFrame:
     """
     each = records.select("*", F.posexplode("names").alias("name_pos", "name"))
     found = match_names(records.select(F.explode("names").alias("name")), names.matching).select("name", F.explode("hits").alias("hit"))
-    first = Window.partitionBy("object_id", "source_order", "hit.index").orderBy("name_pos")
+    first = Window.partitionBy("object_id", "rn", "hit.index").orderBy("name_pos")
     hits = each.join(found, "name").withColumn("nth", F.row_number().over(first)).where("nth = 1")
     entries = records.sparkSession.createDataFrame(entry_rows(names), ENTRY_SCHEMA)
     hits = hits.join(F.broadcast(entries.select("index", F.struct(*[c for c in entries.columns if c != "index"]).alias("entry"))), F.col("hit.index") == F.col("index"))
-    return hits.withColumn("hit_seq", F.col("name_pos") * 100_000 + F.col("hit.index"))
+    # flags, notes and citations read it
+    return staged(hits.withColumn("hit_seq", F.col("name_pos") * 100_000 + F.col("hit.index")), "hits")
 
 
 #: The values of a list entry that rules cite; nested ones as JSON.
@@ -248,11 +301,11 @@ def match_parts() -> list:
 def pc005(records: DataFrame, cfg: Config) -> tuple[list, list]:
     """A party matches a documented actor."""
     if cfg.actors is None:
-        return [], [note(objects(records), 5, F.lit(f"PC-005 skipped: {cfg.unavailable.get('PC-005', 'the list is not available')}"))]
+        return [], [note(F.expr(FIRST), 5, F.lit(f"PC-005 skipped: {cfg.unavailable.get('PC-005', 'the list is not available')}"))]
     actors = cfg.actors
     start, end = ACTOR_WINDOW
     hits = list_hits(records.where("not resolved"), actors)
-    undated = hits.where("not is_dated").dropDuplicates(["object_id", "source_order"])
+    undated = hits.where("not is_dated").dropDuplicates(["object_id", "rn"])
     rows = hits.where("is_dated").withColumn("certainty", overlap_certainty(F.col("span"), start, end)).where("certainty is not null")
     implies = F.col("entry.implies")
     evidence = F.coalesce(F.col("transaction_state").isin(*EVIDENCING_STATES), F.lit(False))
@@ -276,23 +329,23 @@ def pc005(records: DataFrame, cfg: Config) -> tuple[list, list]:
         .otherwise(F.concat(F.lit("For context only: a party matches the entry for "), name, F.lit(". On the cited basis this does NOT indicate persecution of a former owner, and nothing else in the record suggests it. What does that basis cover?")))
     )
     statement = F.concat(statement, F.when(F.col("hit.confirmed"), "").otherwise(" IDENTITY NOT ESTABLISHED: a surname without a given name fits a different individual equally well."))
-    return [flag(rows, "PC-005", statement, parts, tier, F.col("hit_seq"))], [not_evaluated(undated, 5, 0, "PC-005", f"a party matches the list, but the record has no date to compare with {start.year}-{end.year}.")]
+    return [flag(rows, "PC-005", statement, parts, tier, F.col("hit_seq"))], [listed(undated, 5, "PC-005", f"a party matches the list, but the record has no date to compare with {start.year}-{end.year}.")]
 
 
 def pc006(records: DataFrame, cfg: Config) -> tuple[list, list]:
     """An anonymous or generic owner."""
     if cfg.patterns is None:
-        return [], [note(objects(records), 6, F.lit(f"PC-006 skipped: {cfg.unavailable.get('PC-006', 'the list is not available')}"))]
+        return [], [note(F.expr(FIRST), 6, F.lit(f"PC-006 skipped: {cfg.unavailable.get('PC-006', 'the list is not available')}"))]
     start, end = cfg.patterns.band
-    hits = records.where("not resolved and anonymous is not null")
-    rows = hits.where("is_dated").withColumn("certainty", overlap_certainty(F.col("span"), start, end)).where("certainty is not null")
+    certainty = overlap_certainty(F.col("span"), start, end)
+    rows = F.expr("not resolved and anonymous is not null and is_dated") & certainty.isNotNull()
     tier, basis = tiers.by_threshold(F.col("span"), start, end, cfg.onset)
     parts = [
         *cite("owner_name", "owner_name_variants", "date_span", "location"), ("matched_pattern", F.col("anonymous.pattern")), ("matched_on", F.col("anonymous.name")), ("band", F.lit(f"{start} to {end}")),
-        ("band_source", F.lit(cfg.patterns.source)), ("pattern_list_version", F.lit(cfg.patterns.version)), ("overlap_certainty", F.col("certainty")), ("presumption_tier_basis", basis),
+        ("band_source", F.lit(cfg.patterns.source)), ("pattern_list_version", F.lit(cfg.patterns.version)), ("overlap_certainty", certainty), ("presumption_tier_basis", basis),
     ]
     statement = F.concat(F.lit("Unverified: who held the object at this point? The owner entry "), quoted(F.col("anonymous.name")), F.lit(" is generic (it matches "), quoted(F.col("anonymous.pattern")), F.lit(f") and falls in {start.year}-{end.year}. The record names no party."))
-    return [flag(rows, "PC-006", statement, parts, tier)], [not_evaluated(hits.where("not is_dated"), 6, 0, "PC-006", f"the owner entry is generic, but the record has no date to compare with {start.year}-{end.year}.")]
+    return [flag(rows, "PC-006", statement, parts, tier)], [not_evaluated(F.expr("not resolved and anonymous is not null and not is_dated"), 6, 0, "PC-006", f"the owner entry is generic, but the record has no date to compare with {start.year}-{end.year}.")]
 
 
 def pc007(records: DataFrame) -> tuple[list, list]:
@@ -331,11 +384,10 @@ def pc007(records: DataFrame) -> tuple[list, list]:
 
 def pc008(records: DataFrame) -> tuple[list, list]:
     """A settlement with a state, not with heirs."""
-    rows = records.where("resolved")
     statement = F.lit("Unverified: did the dispossessed persons or their heirs ever receive the object or its value? The settlement was made with a state or an institution; the record does not show what followed.")
     told = F.when(F.col("restitution_recipient_type").isNull(), F.concat(F.lit("PC-008 skipped for "), F.col("source_ref"), F.lit(": a restitution or settlement without `restitution_recipient_type`."))).otherwise(F.concat(F.lit("PC-008 not determinable for "), F.col("source_ref"), F.lit(": the recipient is recorded as unknown.")))
-    return [flag(rows.where("restitution_recipient_type = 'state_or_institution'"), "PC-008", statement, cite(*RECORD, "restitution_recipient_type"))], [
-        note(rows.where("restitution_recipient_type is null or restitution_recipient_type = 'unknown'"), 8, told, F.col("rn"))
+    return [flag(F.expr("resolved and restitution_recipient_type = 'state_or_institution'"), "PC-008", statement, cite(*RECORD, "restitution_recipient_type"))], [
+        note(F.expr("resolved and (restitution_recipient_type is null or restitution_recipient_type = 'unknown')"), 8, told, F.col("rn"))
     ]
 
 
@@ -355,18 +407,18 @@ def pc009(records: DataFrame, cfg: Config) -> tuple[list, list]:
         ("export_licence_state", F.when(F.col("export_licence_present").isNull(), "not recorded either way").otherwise("recorded as absent")), ("presumption_tier_basis", basis),
     ]
     statement = F.concat(F.lit("Unverified: on what authority did the object cross a border? The chain moves from "), origin, F.lit(" to "), here, F.lit(f" within {start.year}-{end.year}, and no export licence is recorded."))
-    pair = F.concat(F.col("before.source_ref"), F.lit(" -> "), F.col("source_ref"))
-    return [flag(rows, "PC-009", statement, parts, tier)], [not_evaluated(unlocated, 9, 0, "PC-009", "`location` is missing on one side of the movement.", pair)]
+    pair = unlocated.withColumn("source_ref", F.concat(F.col("before.source_ref"), F.lit(" -> "), F.col("source_ref")))
+    return [flag(rows, "PC-009", statement, parts, tier)], [listed(pair, 9, "PC-009", "`location` is missing on one side of the movement.")]
 
 
 def nm001(records: DataFrame, cfg: Config) -> tuple[list, list, list]:
     """A name of the historical list; exonerating entries are citations."""
     if cfg.names is None:
-        return [], [note(objects(records), 10, F.lit(f"NM-001 skipped: {cfg.unavailable.get('NM-001', 'the list is not available')}"))], []
+        return [], [note(F.expr(FIRST), 10, F.lit(f"NM-001 skipped: {cfg.unavailable.get('NM-001', 'the list is not available')}"))], []
     names = cfg.names
     start, end = cfg.onset.band
     hits = list_hits(records, names)
-    undated = hits.where("not is_dated").dropDuplicates(["object_id", "source_order"])
+    undated = hits.where("not is_dated").dropDuplicates(["object_id", "rn"])
     rows = hits.where("is_dated").withColumn("certainty", overlap_certainty(F.col("span"), start, end)).where("certainty is not null")
     value = lambda key: F.col(f"entry.{key}")
     parts = [
@@ -384,34 +436,31 @@ def nm001(records: DataFrame, cfg: Config) -> tuple[list, list, list]:
 
 def dq001(records: DataFrame) -> tuple[list, list]:
     """No source is cited."""
-    rows = records.where("source_citation is null")
-    return [flag(rows, "DQ-001", F.lit("Unverified: on what source does this record rest? It cites none."), cite("owner_name", "date_span", "transaction_state", "source_citation"), None)], []
+    return [flag(F.col("source_citation").isNull(), "DQ-001", F.lit("Unverified: on what source does this record rest? It cites none."), cite("owner_name", "date_span", "transaction_state", "source_citation"), None)], []
 
 
 def dq002(records: DataFrame, cfg: Config) -> tuple[list, list]:
     """Acquired after the commitment date without certain earlier records."""
-    bought = records.where(F.coalesce("is_institution_acquisition", F.lit(False)))
-    rows = bought.where(F.coalesce(F.col("span.earliest") > F.lit(cfg.commitment_date), F.lit(False)) & ~F.col("certainly_pre_1945"))
+    bought = F.coalesce("is_institution_acquisition", F.lit(False))
+    rows = bought & F.coalesce(F.col("span.earliest") > F.lit(cfg.commitment_date), F.lit(False)) & ~F.col("certainly_pre_1945")
     parts = [
         *cite("owner_name", "date_span", "transaction_state"), ("commitment_date_applied", F.lit(str(cfg.commitment_date))), ("commitment_date_source", F.lit(cfg.commitment_source)),
         ("commitment_date_is_default", F.lit(cfg.commitment_is_default)), ("certainly_dated_before_1945", F.lit(False)), ("records_in_chain", F.col("n_records")),
     ]
     statement = F.lit(f"Unverified: what provenance before 1945 was established when the object was acquired? The acquisition is dated after {cfg.commitment_date}, and no record is certainly dated before 1945. The question is about the acquisition, not the object's past.")
     return [flag(rows, "DQ-002", statement, parts, None)], [
-        note(objects(records).where("acquisition_never_set"), 11, F.lit("DQ-002 skipped: no record sets `is_institution_acquisition`, so the date of acquisition is not known.")),
-        not_evaluated(bought.where("not is_dated"), 11, 1, "DQ-002", "the acquisition has no date to compare with the commitment date."),
+        note(of_chain("acquisition_never_set"), 11, F.lit("DQ-002 skipped: no record sets `is_institution_acquisition`, so the date of acquisition is not known.")),
+        not_evaluated(bought & ~F.col("is_dated"), 11, 1, "DQ-002", "the acquisition has no date to compare with the commitment date."),
     ]
 
 
-def general_notes(records: DataFrame, cfg: Config) -> list:
+def general_notes(cfg: Config) -> list:
     """What every object's coverage says beyond single rules."""
-    one = objects(records)
-    resolved = listed(records.where("resolved"))
-    undated = listed(records.where("not is_dated"))
+    one = F.expr(FIRST)
     out = [
-        note(one.where("possibly_pre_1945 and not certainly_pre_1945"), 12, F.lit("PC-001 did not trigger, but only imprecisely dated records reach before 1945; none is certainly dated before it.")),
-        note(resolved, 13, F.concat(F.lit("The chain records a restitution or settlement at "), F.col("refs"), F.lit(": the object counts as previously resolved and is held out of the active queue; its flags do not reopen a settled matter."))),
-        note(undated, 14, F.concat(F.lit("Undated records in chain ("), F.col("refs"), F.lit("): date-based criteria were skipped for them."))),
+        note(of_chain("possibly_pre_1945 and not certainly_pre_1945"), 12, F.lit("PC-001 did not trigger, but only imprecisely dated records reach before 1945; none is certainly dated before it.")),
+        Listed(F.col("resolved"), 13, "The chain records a restitution or settlement at ", ": the object counts as previously resolved and is held out of the active queue; its flags do not reopen a settled matter."),
+        Listed(~F.col("is_dated"), 14, "Undated records in chain (", "): date-based criteria were skipped for them."),
     ]
     for rule, names, sub in (("NM-001", cfg.names, 0), ("PC-005", cfg.actors, 1)):
         if names and names.is_seed:
@@ -420,10 +469,6 @@ def general_notes(records: DataFrame, cfg: Config) -> list:
     return out
 
 
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def all_rules(records: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(flags, notes, citations or None) of enriched records."""
     flags, notes = [], []
@@ -431,4 +476,4 @@ def all_rules(records: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, Da
         flags += found
         notes += said
     named, said, citations = nm001(records, cfg)
-    return union(flags + named), union(notes + said + general_notes(records, cfg)), union(citations) if citations else None
+    return together(records, flags + named), together(records, notes + said + general_notes(cfg)), together(records, citations) if citations else None

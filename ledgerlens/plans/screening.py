@@ -110,8 +110,14 @@ def report(screening: Screening, cfg: Config, input_file: str, input_format: str
     }
 
 
+def screen_file(spark: SparkSession, path: str, cfg: Config, input_format: str | None = None, margin: int = CIRCA_MARGIN) -> tuple[Screening, list[dict], str]:
+    """(frames, ingest notes, format): read, validate (the whole input or nothing), screen."""
+    records, notes, fmt = load_input(spark, path, input_format, margin)
+    return screen(records, cfg), notes, fmt
+
+
 def run(spark: SparkSession, path: str, cfg: Config | None = None, input_format: str | None = None, margin: int = CIRCA_MARGIN, generator=None) -> dict:
-    """Read, validate (the whole file or nothing), screen and assemble."""
+    """The report of one input; everything is collected, so it is for one collection."""
     cfg = cfg or load_config()
-    records, notes, fmt = load_input(spark, path, input_format, margin)
-    return report(screen(records, cfg), cfg, path, fmt, notes, margin, generator)
+    screening, notes, fmt = screen_file(spark, path, cfg, input_format, margin)
+    return report(screening, cfg, path, fmt, notes, margin, generator)

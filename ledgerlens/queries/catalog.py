@@ -110,9 +110,16 @@ PAIRS = """pr AS (SELECT *, lag(location) OVER (PARTITION BY object_id ORDER BY
 COUNTRY = "trim(list_last(string_split({0}, ',')))"
 
 
-def flags_of(frames: list[DataFrame]) -> DataFrame:
+def found_by(spark, sf_dir, rule, which=slice(None), channel: int = 0) -> DataFrame:
+    """A rule's flags (or what else it returns) over the derived records."""
+    rows = rich(spark, sf_dir)
+    given = (rows, CFG)[: rule.__code__.co_argcount]
+    return rules.together(rows, rule(*given)[channel][which])
+
+
+def flags_of(spark, sf_dir, rule, which=slice(None)) -> DataFrame:
     """Object, record, tier and a count: records may have several flags."""
-    return rules.union(frames).groupBy("object_id", "source_ref", F.col("presumption_tier").alias("tier")).agg(F.count("*").alias("n"))
+    return found_by(spark, sf_dir, rule, which).groupBy("object_id", "source_ref", F.col("presumption_tier").alias("tier")).agg(F.count("*").alias("n"))
 
 
 def flag_sql(body: str) -> str:
@@ -308,12 +315,12 @@ def tier_from_state(spark, sf_dir):
 
 @query("pc001_no_early_record", flag_sql(f"{OBJECT_FLAG} WHERE NOT possibly AND NOT created_after"))
 def pc001(spark, sf_dir):
-    return flags_of(rules.pc001(rich(spark, sf_dir))[0])
+    return flags_of(spark, sf_dir, rules.pc001)
 
 
 @query("pc002_begins_at_acquisition", flag_sql("SELECT object_id, source_ref, 'n/a' AS tier FROM ch WHERE rn = 1 AND is_institution_acquisition AND NOT EXISTS (SELECT 1 FROM ch o WHERE o.object_id = ch.object_id AND o.rn > 1 AND o.date_precision IS NULL)"))
 def pc002(spark, sf_dir):
-    return flags_of(rules.pc002(rich(spark, sf_dir))[0])
+    return flags_of(spark, sf_dir, rules.pc002)
 
 
 @query("pc003_window", f"{CHAIN} {PC003_WINDOW}")
@@ -328,17 +335,17 @@ PC003_STATE = f"SELECT object_id, source_ref, {STATE_TIER} AS tier FROM ch WHERE
 
 @query("pc003_persecution", flag_sql(f"SELECT object_id, source_ref, tier FROM ({PC003_WINDOW}) UNION ALL {PC003_STATE}"))
 def pc003(spark, sf_dir):
-    return flags_of(rules.pc003(rich(spark, sf_dir), CFG)[0])
+    return flags_of(spark, sf_dir, rules.pc003)
 
 
 @query("pc003_state", flag_sql(PC003_STATE))
 def pc003_state(spark, sf_dir):
-    return flags_of(rules.pc003(rich(spark, sf_dir), CFG)[0][1:])
+    return flags_of(spark, sf_dir, rules.pc003, slice(1, None))
 
 
 @query("pc010_flight", flag_sql("SELECT object_id, source_ref, 'n/a' AS tier FROM ch WHERE transaction_state = 'fluchtgut'"))
 def pc010(spark, sf_dir):
-    return flags_of(rules.pc010(rich(spark, sf_dir))[0])
+    return flags_of(spark, sf_dir, rules.pc010)
 
 
 # every derived place matches one territory at most; Italy alone has two windows
@@ -350,7 +357,7 @@ PC004_TIER = f"""CASE WHEN territory IS NULL THEN {threshold_tier(*BAND)} ELSE c
 @query("pc004_object_class", flag_sql(f"""SELECT object_id, source_ref, {PC004_TIER} AS tier FROM (SELECT ch.*, hit.territory FROM ch LEFT JOIN hit ON hit.source_ref = ch.source_ref) x WHERE {CLASS} IS NOT NULL AND {OPEN} AND {meets(*BAND)}
   UNION ALL {OBJECT_FLAG} WHERE {CLASS} IS NOT NULL AND NOT certainly AND NOT created_after"""))
 def pc004(spark, sf_dir):
-    return flags_of(rules.pc004(rich(spark, sf_dir), CFG)[0])
+    return flags_of(spark, sf_dir, rules.pc004)
 
 
 EVIDENCE = "coalesce(transaction_state IN ('entziehung', 'zwangsverkauf', 'vermutung_der_entziehung', 'verschaerfte_vermutung', 'fluchtgut'), false)"
@@ -358,12 +365,12 @@ EVIDENCE = "coalesce(transaction_state IN ('entziehung', 'zwangsverkauf', 'vermu
 
 @query("pc005_actors", flag_sql(f"SELECT object_id, source_ref, CASE WHEN entry <> 1 OR {EVIDENCE} THEN {threshold_tier(*ACTOR)} ELSE 'n/a' END AS tier FROM ch JOIN ac USING (owner_name) WHERE {OPEN} AND {meets(*ACTOR)}"))
 def pc005(spark, sf_dir):
-    return flags_of(rules.pc005(rich(spark, sf_dir), CFG)[0])
+    return flags_of(spark, sf_dir, rules.pc005)
 
 
 @query("pc006_anonymous", flag_sql(f"SELECT object_id, source_ref, {threshold_tier(*PATTERN)} AS tier FROM ch JOIN an USING (owner_name) WHERE {OPEN} AND {meets(*PATTERN)}"))
 def pc006(spark, sf_dir):
-    return flags_of(rules.pc006(rich(spark, sf_dir), CFG)[0])
+    return flags_of(spark, sf_dir, rules.pc006)
 
 
 @query("pc007_deleted_owner", f"{CHAIN}, {CATALOGUE} SELECT object_id, n_missing > 0 AS compared FROM cat WHERE n_early > 0 AND (n_missing > 0 OR n_late = 0)")
@@ -374,33 +381,57 @@ def pc007(spark, sf_dir):
 
 @query("pc008_settlement", flag_sql("SELECT object_id, source_ref, 'n/a' AS tier FROM ch WHERE transaction_state = 'restitution_erfolgt_or_vergleich' AND restitution_recipient_type = 'state_or_institution'"))
 def pc008(spark, sf_dir):
-    return flags_of(rules.pc008(rich(spark, sf_dir))[0])
+    return flags_of(spark, sf_dir, rules.pc008)
 
 
 @query("pc009_export", f"""{CHAIN}, {PAIRS} SELECT object_id, source_ref, tier, count(*) AS n FROM (SELECT object_id, source_ref, {threshold_tier(*EXPORT)} AS tier FROM pr WHERE k > 1 AND {OPEN} AND before IS NOT NULL AND location IS NOT NULL
   AND lower(strip_accents({COUNTRY.format('before')})) <> lower(strip_accents({COUNTRY.format('location')})) AND {meets(*EXPORT)} AND NOT coalesce(export_licence_present, false)) GROUP BY ALL""")
 def pc009(spark, sf_dir):
-    return flags_of(rules.pc009(rich(spark, sf_dir), CFG)[0])
+    return flags_of(spark, sf_dir, rules.pc009)
 
 
 @query("nm001_names", flag_sql(f"SELECT object_id, source_ref, 'n/a' AS tier FROM ch JOIN nm USING (owner_name) WHERE entry <> 2 AND {meets(*BAND)}"))
 def nm001(spark, sf_dir):
-    return flags_of(rules.nm001(rich(spark, sf_dir), CFG)[0])
+    return flags_of(spark, sf_dir, rules.nm001)
 
 
 @query("nm002_citations", f"{CHAIN} SELECT object_id, source_ref FROM ch JOIN nm USING (owner_name) WHERE entry = 2 AND {meets(*BAND)}")
 def nm002(spark, sf_dir):
-    return rules.union(rules.nm001(rich(spark, sf_dir), CFG)[2]).select("object_id", "source_ref")
+    return found_by(spark, sf_dir, rules.nm001, channel=2).select("object_id", "source_ref")
 
 
 @query("dq001_no_source", f"{CHAIN} SELECT object_id, source_ref FROM ch WHERE source_citation IS NULL")
 def dq001(spark, sf_dir):
-    return rules.dq001(rich(spark, sf_dir))[0][0].select("object_id", "source_ref")
+    return found_by(spark, sf_dir, rules.dq001).select("object_id", "source_ref")
 
 
 @query("dq002_late_acquisition", f"{CHAIN} SELECT ch.object_id, source_ref FROM ch JOIN ob USING (object_id) WHERE is_institution_acquisition AND e > DATE '1998-12-03' AND NOT certainly")
 def dq002(spark, sf_dir):
-    return rules.dq002(rich(spark, sf_dir), CFG)[0][0].select("object_id", "source_ref")
+    return found_by(spark, sf_dir, rules.dq002).select("object_id", "source_ref")
+
+
+# --- what flags say and cite ------------------------------------------------
+
+RECORD_KEYS = ",".join(("source_ref", *rules.RECORD))
+GLOSS = "CASE transaction_state " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in STATES.items()) + " END"
+TEXTS = f"""{CHAIN}, {PAIRS}, tx AS (
+  SELECT object_id, source_ref, owner_name, 'DQ-001' AS rule_id, 'Unverified: on what source does this record rest? It cites none.' AS rule_statement, 'source_ref,owner_name,date_span,transaction_state,source_citation' AS keys FROM ch WHERE source_citation IS NULL
+  UNION ALL SELECT object_id, source_ref, owner_name, 'PC-010', 'Unverified: under what pressure was this sale made, and what became of the proceeds? The record gives it as a sale abroad in flight, a contested category on which it offers no evidence.', '{RECORD_KEYS},transaction_state_gloss,category_status' FROM ch WHERE transaction_state = 'fluchtgut'
+  UNION ALL SELECT object_id, source_ref, owner_name, 'PC-008', 'Unverified: did the dispossessed persons or their heirs ever receive the object or its value? The settlement was made with a state or an institution; the record does not show what followed.', '{RECORD_KEYS},restitution_recipient_type' FROM ch WHERE transaction_state = 'restitution_erfolgt_or_vergleich' AND restitution_recipient_type = 'state_or_institution'
+  UNION ALL SELECT object_id, source_ref, owner_name, 'PC-006', 'Unverified: who held the object at this point? The owner entry ''' || owner_name || ''' is generic (it matches ''' || pattern || ''') and falls in 1933-1950. The record names no party.', 'source_ref,owner_name,owner_name_variants,date_span,location,matched_pattern,matched_on,band,band_source,pattern_list_version,overlap_certainty,presumption_tier_basis' FROM ch JOIN an USING (owner_name) WHERE {OPEN} AND {meets(*PATTERN)}
+  UNION ALL SELECT object_id, source_ref, owner_name, 'PC-009', 'Unverified: on what authority did the object cross a border? The chain moves from ' || {COUNTRY.format('before')} || ' to ' || {COUNTRY.format('location')} || ' within 1933-1945, and no export licence is recorded.', '{RECORD_KEYS},export_licence_present,moved_from,moved_from_source_ref,origin_country,destination_country,country_derivation,window,overlap_certainty,export_licence_state,presumption_tier_basis' FROM pr WHERE k > 1 AND {OPEN} AND before IS NOT NULL AND location IS NOT NULL
+    AND lower(strip_accents({COUNTRY.format('before')})) <> lower(strip_accents({COUNTRY.format('location')})) AND {meets(*EXPORT)} AND NOT coalesce(export_licence_present, false)
+  UNION ALL SELECT object_id, source_ref, owner_name, 'PC-003', 'Unverified: was a fair price received, and was the transferor free to use it? The record itself gives the transfer as ''' || transaction_state || ''' (' || {GLOSS} || '). It says nothing further either way.', '{RECORD_KEYS},presumption_tier_basis,transaction_state_gloss,basis' FROM ch WHERE source_ref IN (SELECT source_ref FROM ({PC003_STATE})))
+SELECT object_id, source_ref, owner_name, rule_id, rule_statement, keys FROM tx"""
+
+
+@query("flag_texts", TEXTS)
+def flag_texts(spark, sf_dir):
+    """Statements, the owner cited and the names of all cited fields, of rules on single records."""
+    rows = rich(spark, sf_dir)
+    found = [f for rule in (rules.dq001, rules.pc010, rules.pc008) for f in rule(rows)[0]] + [f for rule in (rules.pc006, rules.pc009) for f in rule(rows, CFG)[0]] + rules.pc003(rows, CFG)[0][1:]
+    keys = F.array_join(F.json_object_keys("cited_fields"), ",")
+    return rules.together(rows, found).select("object_id", "source_ref", F.get_json_object("cited_fields", "$.owner_name").alias("owner_name"), "rule_id", "rule_statement", keys.alias("keys"))
 
 
 # --- assembly --------------------------------------------------------------

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -29,11 +27,12 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     problems += [f"{path}: column {n!r} is missing" for n in REQUIRED if n not in names]
     if problems:
         raise InputError(problems)
-    file = os.path.basename(str(path))
-    # the reader drops empty lines; rows of empty cells count but are skipped
-    numbered = frame.toDF(*names).withColumn("source_order", F.monotonically_increasing_id())
+    # rows are numbered inside their file, which one task reads in order; the
+    # reader drops empty lines, and rows of empty cells count but are skipped
+    numbered = frame.toDF(*names).withColumns({"file": F.col("_metadata.file_path"), "name": F.col("_metadata.file_name"), "source_order": F.monotonically_increasing_id()})
     given = [F.col(n) if n in names else F.lit(None).cast("string").alias(n) for n in FIELDS]
-    rows = numbered.select(*given, "source_order", F.concat(F.lit(f"{file}:row "), (F.col("source_order") + 2).cast("string")).alias("source_ref"))
+    row = F.col("source_order") - F.min("source_order").over(Window.partitionBy("file")) + 2
+    rows = numbered.select(*given, "source_order", F.concat(F.url_decode("name"), F.lit(":row "), row.cast("string")).alias("source_ref"))
     return rows.where(F.coalesce(*[strip(F.col(n)) for n in FIELDS]).isNotNull())
 
 

@@ -13,14 +13,14 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_text
 from ..model import CIRCA_MARGIN, FIELDS
 from .lists import EventTypes, load_event_types
 from ..staging import staged
-from .records import InputError, typed, valid
+from .records import typed, valid
 
 #: Marks a line that gives a field: capitals and this ending.
 EXTENSION = re.compile("[A-Z]+_EXT:")
@@ -217,31 +217,38 @@ def parse(content: bytes, file: str, types: EventTypes) -> Iterator[dict]:
         yield {"kind": "problem", "detail": f"{file}: no events"}
 
 
-SCHEMA = "kind string, detail string, source_ref string, source_order bigint, " + ", ".join(f"{f} string" for f in FIELDS)
-COLUMNS = ["kind", "detail", "source_ref", "source_order", *FIELDS]
+SCHEMA = "path string, kind string, detail string, source_ref string, source_order bigint, " + ", ".join(f"{f} string" for f in FIELDS)
+COLUMNS = ["path", "kind", "detail", "source_ref", "source_order", *FIELDS]
+#: Events that a file may have before the order of files and events mixes.
+FILE_EVENTS = 1 << 32
 
 
 def read_events(spark: SparkSession, path: str, types: EventTypes) -> DataFrame:
+    """Rows, problems and notes of all files; ``source_order`` counts inside one."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"]):
                 rows = list(parse(bytes(content), os.path.basename(file), types))
                 if rows:
-                    yield pd.DataFrame(rows).reindex(columns=COLUMNS).astype(object).where(lambda d: d.notna(), None)
+                    yield pd.DataFrame(rows).assign(path=file).reindex(columns=COLUMNS).astype(object).where(lambda d: d.notna(), None)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def in_file_order(events: DataFrame) -> DataFrame:
+    """``source_order`` over all files, which count by path; only paths are sorted."""
+    files = events.select("path").distinct().withColumn("file", F.row_number().over(Window.orderBy("path")) - 1)
+    return events.join(files, "path").withColumn("source_order", F.col("file") * F.lit(FILE_EVENTS) + F.col("source_order")).drop("path", "file")
+
+
 def load_records(spark: SparkSession, path: str, margin: int = CIRCA_MARGIN, types: EventTypes | None = None) -> tuple[DataFrame, list[dict]]:
     """(typed records, ingest notes); the whole input is rejected on problems."""
-    events = staged(read_events(spark, path, types or load_event_types()), "events")
-    problems = [r.detail for r in events.where("kind = 'problem'").select("detail").collect()]
-    checked = staged(typed(events.where("kind = 'row'").drop("kind", "detail"), margin), "typed")
-    try:
-        records = valid(checked)
-    except InputError as e:
-        raise InputError(problems + e.problems) from e
-    if problems:
-        raise InputError(problems)
+    read = staged(read_events(spark, path, types or load_event_types()), "events")
+    events = in_file_order(read)
+    typed_rows = staged(typed(events.where("kind = 'row'").drop("kind", "detail"), margin), "typed")
+    # a file that can't be read as a whole has no place in the order
+    unread = read.where("kind = 'problem'").select(F.lit(-1).cast("bigint").alias("source_order"), F.col("detail").alias("problem"))
+    records = valid(typed_rows, unread)
     notes = events.where("kind not in ('row', 'problem')").orderBy("source_order", F.col("kind")).select("source_ref", "kind", "detail").collect()
     return records, [r.asDict() for r in notes]

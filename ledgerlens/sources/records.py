@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.dates import with_span
 from ..functions.text import strip
 from ..model import CIRCA_MARGIN, FIELDS, RECIPIENTS, RESOLVED, STATES
+from ..staging import new_path
+
+
+#: Problems that an error lists itself; all of them are in its table.
+LISTED_PROBLEMS = 10_000
 
 
 class InputError(ValueError):
-    """A rejected input file; ``problems`` lists all there is to mend."""
+    """A rejected input file; ``problems`` lists what there is to mend.
+
+    Beyond ``LISTED_PROBLEMS`` the message says how many there are and names
+    ``table``, the Parquet folder that has them all.
+    """
 
-    def __init__(self, problems: list[str]):
-        super().__init__("\n".join(problems))
-        self.problems = problems
+    def __init__(self, problems: list[str], total: int | None = None, table: str | None = None):
+        rest = [] if total is None or total <= len(problems) else [f"{total - len(problems)} more problems; all {total} are in {table}"]
+        super().__init__("\n".join([*problems, *rest]))
+        self.problems, self.total, self.table = problems, len(problems) if total is None else total, table
 
 
 TRUE, FALSE = ("true", "yes", "y", "1"), ("false", "no", "n", "0")
@@ -69,14 +79,20 @@ def typed(raw: DataFrame, margin: int = CIRCA_MARGIN) -> DataFrame:
     )
 
 
-#: Problems that an error lists; the input is rejected either way.
-LISTED_PROBLEMS = 10_000
-
-
-def valid(records: DataFrame) -> DataFrame:
-    """The records without the ``problems`` column, or ``InputError``."""
-    bad = records.where(F.size("problems") > 0).select("source_order", "source_ref", F.posexplode("problems").alias("k", "problem"))
-    found = bad.orderBy("source_order", "k").limit(LISTED_PROBLEMS).collect()
-    if found:
-        raise InputError([f"{r.source_ref}: {r.problem}" for r in found])
+def valid(records: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """The records without the ``problems`` column, or ``InputError``.
+
+    ``others`` has further problems (``source_order``, ``problem``).
+    """
+    bad = records.where(F.size("problems") > 0).select("source_order", F.posexplode("problems").alias("k", "text"), "source_ref")
+    found = bad.select("source_order", "k", F.concat("source_ref", F.lit(": "), "text").alias("problem"))
+    if others is not None:
+        found = found.unionAll(others.select("source_order", F.lit(0).alias("k"), "problem"))
+    if not found.isEmpty():
+        spark = records.sparkSession
+        path = new_path(spark, "problems")
+        found.orderBy("source_order", "k").write.parquet(path)
+        every = spark.read.schema(found.schema).parquet(path)
+        first = every.orderBy("source_order", "k", "problem").limit(LISTED_PROBLEMS).collect()
+        raise InputError([r.problem for r in first], every.count(), path)
     return records.drop("problems")

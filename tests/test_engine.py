@@ -303,6 +303,29 @@ def test_report_files_and_cli(spark, tmp_path, collection):
         dispatch.detect_format("a.txt")
 
 
+def test_csv_of_several_files_and_parquet_output(spark, tmp_path):
+    lines = [HEAD.strip(), "o1,A,year,1938,", "o2,B,year,1950,"]
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name, rows in (("a.csv", lines[1:]), ("b 1.csv", lines[1:2])):
+        (folder / name).write_text("\n".join([lines[0], *rows]) + "\n", encoding="utf-8")
+    refs = sorted(r.source_ref for r in csv.load_records(spark, str(folder)).collect())
+    assert refs == ["a.csv:row 2", "a.csv:row 3", "b 1.csv:row 2"]
+    assert cli.main([str(folder), "--format", "csv", "--parquet", str(tmp_path / "out")], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "out" / "objects")).count() == 2
+
+
+def test_every_problem_is_kept(spark, tmp_path, monkeypatch):
+    from ledgerlens.sources import records as module
+
+    monkeypatch.setattr(module, "LISTED_PROBLEMS", 3)
+    (tmp_path / "bad.csv").write_text(HEAD + "".join(f"o{k},A,decade,1938,\n" for k in range(8)))
+    with pytest.raises(InputError) as e:
+        csv.load_records(spark, str(tmp_path / "bad.csv"))
+    assert len(e.value.problems) == 3 and e.value.total == 8 and "5 more problems" in str(e.value)
+    assert {r.problem.split(": ")[0] for r in spark.read.parquet(e.value.table).collect()} == {f"bad.csv:row {k + 2}" for k in range(8)}
+
+
 def test_lists_are_checked(tmp_path):
     assert load_event_types().lookup(["lido01016"], "Gift")[0] == "purchase"
     for load_, text in ((load_name_list, '{"entries": []}'), (load_name_list, '{"entries": [{"name": "x"}]}'), (load_actor_list, '{"actors": [{"name": "x", "documented_basis": {"summary": "s", "sources": ["u"]}}]}'), (load_actor_list, "{")):

@@ -1,6 +1,8 @@
 import pytest
 
 from ledgerlens.sources import dispatch, lido
+from ledgerlens.plans.screening import screen
+from ledgerlens.sources.lists import load_config
 from ledgerlens.sources.records import InputError
 
 ACTOR = "<eventActor><actorInRole><actor><nameActorSet><appellationValue pref='alternate'>{1}</appellationValue><appellationValue pref='preferred'>{0}</appellationValue></nameActorSet></actor><roleActor><term>{2}</term></roleActor></actorInRole></eventActor>"
@@ -77,3 +79,15 @@ def test_coarsen(span, want):
 def test_single_record_and_recordid(spark, tmp_path):
     one = record(event(), ident="").replace("</lido>", "<administrativeMetadata><recordWrap><recordID>R9</recordID></recordWrap></administrativeMetadata></lido>")
     assert load(spark, tmp_path, one, wrap=False)[0].first().object_id == "R9"
+
+
+def test_an_object_in_two_files(spark, tmp_path):
+    """Records of one object keep apart, in the order of files."""
+    forced = event(kind="<conceptID>x</conceptID><term>Sale</term>", more="<eventDescriptionSet><descriptiveNoteValue>RECORD_EXT:transaction_state=zwangsverkauf\nRECORD_EXT:location=Oslo, Norway</descriptiveNoteValue></eventDescriptionSet>")
+    for name, part in (("a.xml", record(event())), ("b.xml", record(forced, event()))):
+        (tmp_path / name).write_text(f'<lidoWrap xmlns="http://www.lido-schema.org">{part}</lidoWrap>', encoding="utf-8")
+    records, _ = lido.load_records(spark, str(tmp_path))
+    rows = records.orderBy("source_order").collect()
+    assert [r.source_ref for r in rows] == ["a.xml:L1 event 1", "b.xml:L1 event 1", "b.xml:L1 event 2"] and len({r.source_order for r in rows}) == 3
+    flags = screen(records, load_config()).flags.where("rule_id = 'PC-003'").collect()
+    assert {f.source_ref for f in flags} >= {"a.xml:L1 event 1", "b.xml:L1 event 2", "b.xml:L1 event 1"}
