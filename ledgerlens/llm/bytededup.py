@@ -14,18 +14,23 @@ bucket can still decide something:
    block's first start, q bytes on, and q bytes before its last window's end,
    which spell out the block.  Equal blocks beyond the smallest document are
    repeats as a whole.
-3. *Second refinement.*  Where a bucket still holds different blocks, and only
-   there, the smallest document of each block hands in its single starts, as
-   the block's bytes.  A start is sorted by the identifier of the q-gram there
-   and, reusing the same identifiers, by that q bytes on: together the window.  The smallest document
-   of each window decides.
+3. *Recursive refinement.*  Where a bucket still holds different blocks, and
+   only there, the smallest document of each block hands in its single starts,
+   as the block's bytes.  Their buckets start from the first seven bytes and are
+   sorted by the bucket pointers seven bytes on, the refined ones by those
+   fourteen bytes on, and so on until they span the window; a start that is
+   alone in its bucket drops out.  The smallest document of each window decides.
 
 Documents are hashed into chunks.  A chunk hands in each bucket or block once,
 so that a string in a third of all documents costs one entry for each chunk,
 and gets its answers back; nothing is gathered by string beyond that.  Entries
 travel as packed arrays by ranges of their bucket, a bounded number to a task.
-Identifiers are 64-bit hashes, compared in pairs (128 bits) wherever a match
-removes something.
+Identifiers are 64-bit hashes, compared in pairs (128 bits) wherever a block
+removes something; the recursive refinement compares the bytes themselves.
+
+A bucket's different blocks meet in one task, as entries of 28 bytes, and the
+bytes of single starts beside them; copies of one block don't add to that, but
+a phrase of q bytes in very many contexts does.
 
 Defined results: a null text counts as empty; texts shorter than ``length``
 lose nothing; rows of one id don't count against each other; a row without id
@@ -49,6 +54,8 @@ CHUNK_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
 #: Bytes that are hashed at once.
 STRIP_BYTES = 1 << 20
+#: Bytes of the initial buckets of the recursive refinement.
+FIRST_BYTES = 7
 #: Entries that a task gathers before it hands them on.
 HELD_ENTRIES = 1 << 22
 
@@ -90,6 +97,48 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
+def refined(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket pointers of the strings of ``length`` bytes at all places, and
+    whether a string stands at another place too.
+
+    A pointer is the place of its bucket's first member in the order of all
+    places.  The initial buckets are the first bytes themselves.  Each round
+    sorts the members of a bucket by the pointers at a later offset, which the
+    last round has refined; a bucket's parts get pointers of their own, and
+    places that are alone in theirs drop out.  Places whose strings run over
+    the end compare as if zeros followed.
+    """
+    n, width = len(data), min(FIRST_BYTES, length)
+    padded = np.concatenate([data, np.zeros(length, np.uint8)]).astype(np.uint64)
+    gram = np.zeros(n, np.uint64)
+    for k in range(width):
+        gram = (gram << _U(8)) | padded[k : k + n]
+    pointer = np.zeros(n + length, np.int64) - 1  # beyond the end: -1
+
+    def settle(places: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+        """Give places, sorted by their keys, the pointers of their parts; the ones that aren't alone."""
+        index = np.arange(len(places))
+        opens = lambda *columns: np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)] if len(places) else np.zeros(0, bool)
+        new = opens(*keys)
+        first = np.maximum.accumulate(np.where(new, index, 0)) if len(places) else index
+        bucket = np.maximum.accumulate(np.where(opens(keys[0]), index, 0)) if len(keys) > 1 and len(places) else np.zeros(len(places), np.int64)
+        pointer[places] = (keys[0] if len(keys) > 1 else 0) + first - bucket
+        alone = new & np.r_[new[1:], True] if len(places) else new
+        return places[~alone]
+
+    order = np.argsort(gram, kind="stable")
+    left = settle(order, gram[order])
+    while width < length and len(left):
+        step = min(width, length - width)
+        here, later = pointer[left], pointer[left + step]
+        order = np.lexsort((later, here))
+        left = settle(left[order], here[order], later[order])
+        width += step
+    shared = np.zeros(n, dtype=bool)
+    shared[left] = True
+    return pointer[:n], shared
+
+
 class Strip:
     """Blocks of the windows of some whole documents.
 
@@ -381,20 +430,20 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             return _packed_table([])
         body = np.frombuffer(b"".join(table["body"].to_pylist()), dtype=np.uint8)
         n = h["n"].astype(np.int64)
-        size = n + length - 1
-        q = length // 2
-        grams, p = gram_ids(body, q), _runs(np.cumsum(size) - size, n)
-        which = np.repeat(np.arange(len(h)), n)
-        one, two = grams[p], grams[p + length - q]
+        begin = np.cumsum(n + length - 1) - (n + length - 1)
+        pointer, shared = refined(body, length)
+        which, p = np.repeat(np.arange(len(h)), n), _runs(begin, n)
+        again = shared[p]
+        which, p = which[again], p[again]
         doc = h["doc"][which]
-        order = np.lexsort((doc, two, one))
-        one, two, doc, which, p = one[order], two[order], doc[order], which[order], p[order]
-        new = np.ones(len(one), dtype=bool)
-        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        late = doc[new][np.cumsum(new) - 1] < doc
+        order = np.lexsort((doc, pointer[p]))
+        which, p, doc = which[order], p[order], doc[order]
+        new = np.ones(len(p), dtype=bool)
+        new[1:] = pointer[p[1:]] != pointer[p[:-1]]
+        late = doc[new][np.cumsum(new) - 1] < doc if len(p) else new
         which, p = which[late], p[late]
         c = np.zeros(len(p), COVER)
-        c["mark"], c["at"], c["size"] = h["mark"][which], h["at"][which] + p - (np.cumsum(size) - size)[which], length
+        c["mark"], c["at"], c["size"] = h["mark"][which], h["at"][which] + p - begin[which], length
         chunk = h["chunk"][which].astype(np.int64)
         order = np.lexsort((c["at"], c["mark"], chunk))
         c, first = _joined(c[order], chunk[order])

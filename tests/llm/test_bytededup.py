@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -58,3 +59,16 @@ def test_grams_do_not_depend_on_their_place():
     data = np.frombuffer(b"xx" + b"the same twenty-five byte" + b"-and-" + b"the same twenty-five byte", np.uint8)
     g = bytededup.gram_ids(data, 25)
     assert g[2] == g[32] and len(set(g.tolist())) == len(g) - 1
+
+
+def test_pointers_order_and_group_all_strings():
+    rnd = random.Random(8)
+    for length, text in ((50, "".join(rnd.choice("ab") for _ in range(300)) * 2), (12, "".join(rnd.choice("abc") for _ in range(2000))), (50, "x" * 400), (8, ""), (4, "abcabcab"), (50, "short")):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        pointer, shared = bytededup.refined(data, length)
+        strings = [text[k : k + length].ljust(length, "\0") for k in range(len(text))]
+        assert shared.tolist() == [strings.count(x) > 1 for x in strings]
+        ranks = {}
+        for p, x in zip(pointer.tolist(), strings):
+            assert ranks.setdefault(p, x) == x
+        assert [x for _, x in sorted(ranks.items())] == sorted(set(strings))
