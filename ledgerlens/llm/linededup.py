@@ -125,7 +125,7 @@ def maximal_copies(levels: list[tuple[int, DataFrame]], min_lines: int) -> DataF
         there = ranks.select(F.col("row").alias("from_row"), F.col("at").alias("q"), F.col("rank").alias("there"))
         tried = found.withColumns({"p": F.col("at") + F.col("lines"), "q": F.col("from_at") + F.col("lines")}).join(here, ["row", "p"], "left").join(there, ["from_row", "q"], "left")
         same = F.coalesce(F.col("here") == F.col("there"), F.lit(False))
-        found = written(tried.select("row", "at", "from_row", "from_at", F.when(same, F.col("lines") + h).otherwise(F.col("lines")).alias("lines")), "copies")
+        found = tried.select("row", "at", "from_row", "from_at", F.when(same, F.col("lines") + h).otherwise(F.col("lines")).alias("lines"))
     return found.select("row", "at", "lines")
 
 
