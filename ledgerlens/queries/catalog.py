@@ -10,20 +10,20 @@ import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.dates import Partial, certainly_before, clipped_end, clipped_start, describe, overlap_certainty
 from ..functions.names import candidate_forms, match_names, parse_person
 from ..functions.text import fold, normalise
-from ..model import CIRCA_MARGIN, STATES
-from ..operators import assemble, chains, guard, hygiene, rules, tiers
+from ..model import CIRCA_MARGIN, FIELDS, STATES
+from ..operators import assemble, chains, explain, guard, hygiene, rules, tiers
 from ..plans.screening import screen
-from ..sources import lido
+from ..sources import csv, lido
 from ..sources.lists import load_config, load_event_types
 from ..sources.records import country_of, parse_bool, parse_enum, split_list, typed
-from ..staging import staged
+from ..staging import new_path, staged
 from .derived import ORACLE_EVENTS, events, raw_rows, records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -410,6 +410,80 @@ def dq002(spark, sf_dir):
     return found_by(spark, sf_dir, rules.dq002).select("object_id", "source_ref")
 
 
+# --- files, written from the derived events and read back ---------------------
+
+
+@query("csv_read", f"{EV} SELECT object_id, owner_name, CAST(e AS VARCHAR) AS earliest, CAST(l AS VARCHAR) AS latest, date_precision, transaction_state, location, {COUNTRY.format('location')} AS country, object_class, source_citation, is_institution_acquisition, export_licence_present, restitution_recipient_type FROM ev")
+def csv_read(spark, sf_dir):
+    folder = new_path(spark, "csv")
+    raw_rows(spark, sf_dir).select(*FIELDS).write.option("header", True).option("escape", '"').csv(folder)
+    span = F.col("span")
+    return csv.load_records(spark, folder).select(
+        "object_id", "owner_name", span["earliest"].cast("string").alias("earliest"), span["latest"].cast("string").alias("latest"), span["precision"].alias("date_precision"), "transaction_state", "location", "country",
+        "object_class", "source_citation", "is_institution_acquisition", "export_licence_present", "restitution_recipient_type",
+    )
+
+
+#: Objects in a file.
+LIDO_OBJECTS = 200
+
+
+def lido_files(spark: SparkSession, sf_dir: str) -> str:
+    """The derived events as LIDO files: preferred and other names, two parties,
+    nested places, whole months and years as ranges, types by concept or extension."""
+    tag = lambda name, *inner: F.concat(F.lit(f"<{name}>"), *[F.lit(x) if isinstance(x, str) else F.coalesce(x, F.lit("")) for x in inner], F.lit(f"</{name.split(' ')[0]}>"))
+    name = lambda value, more="": tag("nameActorSet", more, tag("appellationValue pref='preferred'", value))
+    actor = lambda role, value, more="": tag("eventActor", tag("actorInRole", tag("actor", name(value, more)), tag("roleActor", tag("term", role))))
+    place = F.split("location", ", ")
+    named = lambda k: tag("namePlaceSet", tag("appellationValue", F.get(place, F.lit(k))))
+    whole = F.col("date_precision").isin("exact", "month", "year")
+    own = F.col("transaction_state").isNotNull() & (F.col("transaction_state") != "purchase")
+    notes = tag("eventDescriptionSet", tag("descriptiveNoteValue", "A note. &amp; more", F.when(own, F.concat(F.lit("\nRECORD_EXT:transaction_state="), F.col("transaction_state")))), F.when(F.col("source_citation").isNotNull(), tag("sourceDescriptiveNote", F.col("source_citation"))))
+    event = tag(
+        "eventSet",
+        tag(
+            "event",
+            tag("eventType", F.when(F.col("transaction_state") == "purchase", F.lit("<conceptID>http://terminology.lido-schema.org/lido01016</conceptID>")), "<term>nothing that is mapped</term>"),
+            actor("Verkäufer", F.lit("Somebody Else")),
+            actor("Käufer", F.col("owner_name"), "<appellationValue pref='alternate'>Other name</appellationValue>"),
+            F.when(whole, tag("eventDate", tag("date", tag("earliestDate", F.col("n_from").cast("string")), tag("latestDate", F.col("n_to").cast("string"))))).otherwise(tag("eventDate", "<displayDate>some time</displayDate>")),
+            F.when(F.col("location").isNotNull(), tag("eventPlace", tag("place", named(0), tag("partOfPlace", named(1))))),
+            notes,
+        ),
+    )
+    rows = events(spark, sf_dir).select("object_id", "object_class", "source_order", event.alias("event"))
+    inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_order", "event"))), lambda x: x["event"]), "")
+    kind = F.when(F.first("object_class").isNotNull(), tag("objectClassificationWrap", tag("objectWorkTypeWrap", tag("objectWorkType", tag("term", F.first("object_class"))))))
+    record = rows.groupBy("object_id").agg(tag("lido", tag("lidoRecID", F.col("object_id")), tag("descriptiveMetadata", kind, tag("eventWrap", inner))).alias("record"))
+    files = max(1, -(-record.count() // LIDO_OBJECTS))
+    folder = new_path(spark, "lido")
+    by_file = record.groupBy(F.pmod(F.xxhash64("object_id"), F.lit(files)).alias("file")).agg(F.concat(F.lit("<lidoWrap xmlns='http://www.lido-schema.org'>"), F.array_join(F.collect_list("record"), ""), F.lit("</lidoWrap>")).alias("value"))
+    by_file.write.partitionBy("file").text(folder)
+    return folder
+
+
+WHOLE = "CASE WHEN date_precision IN ('exact', 'month', 'year') THEN {0} END"
+
+
+@query("lido_read", f"""{EV} SELECT object_id, row_number() OVER (PARTITION BY object_id ORDER BY source_order) AS place, owner_name, 'Other name' AS variants, CAST({WHOLE.format('n_from')} AS VARCHAR) AS earliest, CAST({WHOLE.format('n_to')} AS VARCHAR) AS latest,
+  {WHOLE.format('date_precision')} AS date_precision, transaction_state, location, {COUNTRY.format('location')} AS country, object_class, source_citation, 'A note. & more' AS notes FROM ev""")
+def lido_read(spark, sf_dir):
+    records, _ = lido.load_records(spark, lido_files(spark, sf_dir))
+    span = F.col("span")
+    return records.select(
+        "object_id", F.row_number().over(Window.partitionBy("object_id").orderBy("source_order")).cast("bigint").alias("place"), "owner_name", F.array_join("owner_name_variants", "|").alias("variants"), span["earliest"].cast("string").alias("earliest"),
+        span["latest"].cast("string").alias("latest"), span["precision"].alias("date_precision"), "transaction_state", "location", "country", "object_class", "source_citation", "notes",
+    )
+
+
+@query("lido_notes", f"""{EV} SELECT object_id, kind, count(*) AS n FROM (SELECT object_id, 'display_date_not_parsed' AS kind FROM ev WHERE date_precision IS NULL OR date_precision NOT IN ('exact', 'month', 'year')
+  UNION ALL SELECT object_id, 'event_type_not_mapped' FROM ev WHERE transaction_state IS NULL) GROUP BY ALL""")
+def lido_notes(spark, sf_dir):
+    """What reading says beside the records, by object."""
+    notes = lido.in_file_order(lido.read_events(spark, lido_files(spark, sf_dir), load_event_types())).where("kind not in ('row', 'problem')")
+    return notes.groupBy(F.regexp_extract("source_ref", ":(.*) event [0-9]+$", 1).alias("object_id"), "kind").agg(F.count("*").alias("n"))
+
+
 # --- what flags say and cite ------------------------------------------------
 
 RECORD_KEYS = ",".join(("source_ref", *rules.RECORD))
@@ -651,6 +725,24 @@ def guard_verdicts(spark, sf_dir):
     return checked.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform("v.violations", lambda x: x["kind"]))), ",").alias("kinds"))
 
 
+class Answer:
+    """A transport that gives the same answer always."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    def complete(self, system: str, user: str) -> str:
+        return self.text
+
+
+@query("explanations", f"""{CHAIN}, x AS (SELECT object_id, source_ref, list_contains({NUMBERS.format("source_ref || ' ' || coalesce(date_text, '')")}, '1938') AS given FROM ch WHERE transaction_state = 'fluchtgut')
+  SELECT object_id, source_ref, CASE WHEN given THEN 'Was this sale made in 1938?' END AS llm_explanation, CASE WHEN given THEN 'generated_and_verified' ELSE 'withheld: ''1938'' is not in the cited fields' END AS llm_explanation_status FROM x""")
+def explanations(spark, sf_dir):
+    """The explanation step over one rule's flags: an answer stands where the fields have its number."""
+    flags = found_by(spark, sf_dir, rules.pc010)
+    return explain.explain_flags(flags, explain.Generator(Answer("Was this sale made in 1938?"))).select("object_id", "source_ref", "llm_explanation", "llm_explanation_status")
+
+
 @query("verify_flag_statements")
 def verify_flag_statements(spark, sf_dir):
     """The verifier over the engine's own statements: what it would reject."""

@@ -8,12 +8,16 @@ the whole chains of the objects in the batch.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.screening import screen
 from ..sources.lists import Config
 from ..sources.records import typed
 
+#: Parts of the record table by object; a batch reads those that it touches.
+BUCKETS = 256
+
 
 def rescreen_batch(batch: DataFrame, batch_id: int, table: str, out: str, cfg: Config) -> None:
     """Idempotent by batch: a batch that runs again replaces its own output."""
@@ -21,9 +25,14 @@ def rescreen_batch(batch: DataFrame, batch_id: int, table: str, out: str, cfg: C
     rows = typed(batch)
     # a bad row is set aside with its problems; it doesn't stop the stream
     rows.where("size(problems) > 0").select("source_ref", "problems").write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
-    rows.where("size(problems) = 0").drop("problems").write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-    touched = spark.read.parquet(f"{table}/batch={batch_id}").select("object_id").distinct()
-    chains = spark.read.parquet(table).drop("batch").join(touched, "object_id", "left_semi")
+    bucket = F.pmod(F.xxhash64("object_id"), F.lit(BUCKETS)).cast("int")
+    good = rows.where("size(problems) = 0").drop("problems").withColumn("bucket", bucket)
+    good.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={batch_id}")
+    batch_rows = spark.read.schema(good.schema).parquet(f"{table}/batch={batch_id}")
+    buckets = [r.bucket for r in batch_rows.select("bucket").distinct().collect()]
+    touched = batch_rows.select("object_id").distinct()
+    # only the files of these buckets are read
+    chains = spark.read.parquet(table).where(F.col("bucket").isin(buckets)).drop("batch", "bucket").join(touched, "object_id", "left_semi")
     result = screen(chains, cfg)
     result.flags.drop("chain_seq").write.mode("overwrite").parquet(f"{out}/flags/batch={batch_id}")
     result.objects.select("object_id", "screening_statement", "resolved_status", "coverage_note").write.mode("overwrite").parquet(f"{out}/objects/batch={batch_id}")
