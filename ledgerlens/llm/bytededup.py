@@ -284,7 +284,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     n_chunks = min(max(6, total // CHUNK_BYTES), (1 << CHUNK_BITS) - 1)
     n_ranges = max(6, total // RANGE_BYTES)
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8").alias("text"))
-    rows = rows.withColumn("mark", F.xxhash64("doc_id", "text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int"))
+    # by id and text, so that neither rows without id nor texts of one id crowd a chunk
+    rows = rows.withColumn("mark", F.xxhash64("doc_id", "text")).withColumn("chunk", F.pmod("mark", F.lit(n_chunks)).cast("int"))
 
     def buckets_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = [], 0
