@@ -22,8 +22,13 @@ class Partial:
     """``YYYY[-M[M][-D[D]]]`` in a string column."""
 
     def __init__(self, c: Column):
-        part = lambda k: F.when(c.rlike(PARTIAL), F.nullif(F.regexp_extract(c, PARTIAL, k), F.lit(""))).cast("int")
-        self._set(c, part(1), part(2), part(3))
+        parts = self.split(c)
+        self._set(c, *[F.get(parts, F.lit(k)) for k in range(3)])
+
+    @staticmethod
+    def split(c: Column) -> Column:
+        """Year, month and day as far as they are written; null for anything else."""
+        return F.when(c.rlike(PARTIAL), F.transform(F.split(c, "-"), lambda x: x.cast("int")))
 
     def _set(self, c: Column, year: Column, month: Column, day: Column) -> None:
         self.given = c.isNotNull()
@@ -51,7 +56,8 @@ class Partial:
         own, which keeps the expressions that use them small."""
         own = cls(F.col(name))
         col = lambda k: F.col(f"_{name}_{k}")
-        df = df.withColumns({f"_{name}_year": own.year, f"_{name}_month": own.month, f"_{name}_day": own.day})
+        df = df.withColumn(f"_{name}_parts", cls.split(F.col(name)))
+        df = df.withColumns({f"_{name}_{k}": F.get(col("parts"), F.lit(i)) for i, k in enumerate(("year", "month", "day"))})
         own._set(F.col(name), col("year"), col("month"), col("day"))
         df = df.withColumn(f"_{name}_valid", own.valid)
         own._bounds(col("valid"))
@@ -61,52 +67,78 @@ class Partial:
 
 
 def with_span(df: DataFrame, date_from: str, date_to: str, precision: str, out: str, margin: int = CIRCA_MARGIN, what: str = "date") -> DataFrame:
-    """``df`` with the span in ``out`` and its problems in ``out`` + ``_problems``."""
+    """``df`` with the span in ``out`` and its problems in ``out`` + ``_problems``.
+
+    What both are made of has columns of its own, so that it is computed once.
+    """
     df, a = Partial.added(df, date_from)
     df, b = Partial.added(df, date_to)
-    span, problems = build_span(F.col(date_from), F.col(date_to), F.col(precision), margin, what, a, b)
-    return df.withColumn(f"{out}_problems", problems).withColumn(out, F.when(F.size(f"{out}_problems") == 0, span))
-
-
-def build_span(date_from: Column, date_to: Column, precision: Column, margin: int = CIRCA_MARGIN, what: str = "date", a: Partial | None = None, b: Partial | None = None) -> tuple[Column, Column]:
-    """(span or null where unsound, array of problems) of trimmed strings."""
-    a, b = a or Partial(date_from), b or Partial(date_to)
-    any_date, p = a.given | b.given, F.lower(precision)
-    known = p.isin(*PRECISIONS)
-    bad = lambda x: x.given & ~x.valid
-    coarse = lambda x: F.when(p == "exact", x.given & x.day.isNull()).when(p == "month", x.given & x.month.isNull()).otherwise(F.lit(False))
-    sound = any_date & F.coalesce(known, F.lit(False)) & ~bad(a) & ~bad(b)
-    start, end = F.coalesce(a.start, b.start), F.coalesce(b.end, a.end)
-    one_sided = p.isin("before", "after")
-    n_from = F.when(p == "before", F.lit(None).cast("date")).otherwise(start)
-    n_to = F.when(p == "after", F.lit(None).cast("date")).otherwise(end)
-    reversed_ = sound & ~one_sided & (start > end)
-    low_ok = (p != "circa") | (F.year(start) > margin)
-    high_ok = (p != "circa") | (F.year(end) + margin <= 9999)
-    off = sound & (p == "circa") & ~(low_ok & high_ok)
-    # add_months clamps 29 February like the calendar does
-    shift = lambda d, years, ok: F.when((p == "circa") & ok, F.add_months(d, 12 * years)).otherwise(d)
-    problems = F.array_compact(
-        F.array(
-            F.when(~any_date & precision.isNotNull(), F.lit(f"{what}: a precision is given without a date")),
-            F.when(any_date & precision.isNull(), F.lit(f"{what}: a date is given without a precision")),
-            F.when(any_date & precision.isNotNull() & ~known, F.concat(F.lit(f"{what}: unknown precision "), precision)),
-            F.when(bad(a), F.concat(F.lit(f"{what}: not a valid date: "), date_from)),
-            F.when(bad(b), F.concat(F.lit(f"{what}: not a valid date: "), date_to)),
-            F.when(sound & (coarse(a) | coarse(b)), F.concat(F.lit(f"{what}: the value is coarser than the precision "), p)),
-            F.when(reversed_, F.lit(f"{what}: the range is reversed")),
-            F.when(off, F.lit(f"{what}: the margin leaves the calendar")),
+    parts = SpanParts(F.col(date_from), F.col(date_to), F.col(precision), margin, a, b)
+    for names in (("any_date", "p", "start", "end"), ("known", "bad_from", "bad_to", "coarse"), ("sound",), ("reversed", "low_ok", "high_ok"), ("off",)):
+        df = df.withColumns({f"_{out}_{k}": parts.columns[k] for k in names})
+        parts = parts.read_from({k: F.col(f"_{out}_{k}") for k in names})
+    span, problems = parts.span_and_problems(margin, what)
+    return df.withColumns({f"{out}_problems": problems, out: span})
+
+
+class SpanParts:
+    """What a span and its problems are made of, as Columns by name."""
+
+    def __init__(self, date_from: Column, date_to: Column, precision: Column, margin: int, a: Partial, b: Partial, given: dict[str, Column] | None = None):
+        self.inputs = date_from, date_to, precision, margin, a, b
+        self.given = given or {}
+        self.columns = c = dict(self.given)
+        new = lambda name, value: c.setdefault(name, value)
+        any_date, p = new("any_date", a.given | b.given), new("p", F.lower(precision))
+        start, end = new("start", F.coalesce(a.start, b.start)), new("end", F.coalesce(b.end, a.end))
+        known = new("known", F.coalesce(p.isin(*PRECISIONS), F.lit(False)))
+        bad_from, bad_to = new("bad_from", a.given & ~a.valid), new("bad_to", b.given & ~b.valid)
+        too_coarse = lambda x: F.when(p == "exact", x.given & x.day.isNull()).when(p == "month", x.given & x.month.isNull()).otherwise(F.lit(False))
+        new("coarse", too_coarse(a) | too_coarse(b))
+        sound = new("sound", any_date & known & ~bad_from & ~bad_to)
+        new("reversed", F.coalesce(sound & ~p.isin("before", "after") & (start > end), F.lit(False)))
+        low_ok, high_ok = new("low_ok", F.coalesce((p != "circa") | (F.year(start) > margin), F.lit(True))), new("high_ok", F.coalesce((p != "circa") | (F.year(end) + margin <= 9999), F.lit(True)))
+        new("off", F.coalesce(sound & (p == "circa") & ~(low_ok & high_ok), F.lit(False)))
+
+    def read_from(self, given: dict[str, Column]) -> SpanParts:
+        """The same, with some parts read from columns."""
+        return SpanParts(*self.inputs, self.given | given)
+
+    def span_and_problems(self, margin: int, what: str) -> tuple[Column, Column]:
+        """(span or null where unsound, array of problems)."""
+        c = self.columns
+        date_from, date_to, precision = self.inputs[:3]
+        p, sound, any_date = c["p"], c["sound"], c["any_date"]
+        n_from = F.when(p == "before", F.lit(None).cast("date")).otherwise(c["start"])
+        n_to = F.when(p == "after", F.lit(None).cast("date")).otherwise(c["end"])
+        # add_months clamps 29 February like the calendar does
+        shift = lambda d, years, ok: F.when((p == "circa") & ok, F.add_months(d, 12 * years)).otherwise(d)
+        problems = F.array_compact(
+            F.array(
+                F.when(~any_date & precision.isNotNull(), F.lit(f"{what}: a precision is given without a date")),
+                F.when(any_date & precision.isNull(), F.lit(f"{what}: a date is given without a precision")),
+                F.when(any_date & precision.isNotNull() & ~c["known"], F.concat(F.lit(f"{what}: unknown precision "), precision)),
+                F.when(c["bad_from"], F.concat(F.lit(f"{what}: not a valid date: "), date_from)),
+                F.when(c["bad_to"], F.concat(F.lit(f"{what}: not a valid date: "), date_to)),
+                F.when(sound & c["coarse"], F.concat(F.lit(f"{what}: the value is coarser than the precision "), p)),
+                F.when(c["reversed"], F.lit(f"{what}: the range is reversed")),
+                F.when(c["off"], F.lit(f"{what}: the margin leaves the calendar")),
+            )
         )
-    )
-    span = F.when(
-        F.coalesce(sound & ~(coarse(a) | coarse(b)) & ~F.coalesce(reversed_, F.lit(False)) & ~F.coalesce(off, F.lit(False)), F.lit(False)),
-        F.struct(
-            p.alias("precision"), n_from.alias("nominal_earliest"), n_to.alias("nominal_latest"),
-            shift(n_from, -margin, low_ok).alias("earliest"), shift(n_to, margin, high_ok).alias("latest"),
-            date_from.alias("raw_from"), date_to.alias("raw_to"),
-        ),
-    )
-    return span.cast(SPAN), problems
+        span = F.when(
+            F.coalesce(sound & ~c["coarse"] & ~c["reversed"] & ~c["off"], F.lit(False)),
+            F.struct(
+                p.alias("precision"), n_from.alias("nominal_earliest"), n_to.alias("nominal_latest"),
+                shift(n_from, -margin, c["low_ok"]).alias("earliest"), shift(n_to, margin, c["high_ok"]).alias("latest"),
+                date_from.alias("raw_from"), date_to.alias("raw_to"),
+            ),
+        )
+        return span.cast(SPAN), problems
+
+
+def build_span(date_from: Column, date_to: Column, precision: Column, margin: int = CIRCA_MARGIN, what: str = "date") -> tuple[Column, Column]:
+    """(span or null where unsound, array of problems) of trimmed strings."""
+    return SpanParts(date_from, date_to, precision, margin, Partial(date_from), Partial(date_to)).span_and_problems(margin, what)
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
