@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -35,11 +36,18 @@ def scan_text(label: str, text: str, allow_placeholders: bool = False, known_saf
     return [f"{label}: possible {kind} ({m if len(m) <= EXCERPT else m[:EXCERPT] + '…'})" for kind, m in kept]
 
 
-def findings(text: Column, patterns=PATTERNS) -> Column:
-    """(label, excerpt) of every match, in the order of the patterns."""
+def findings(text: Column, patterns=PATTERNS, allow_placeholders: bool = False, place: Column | None = None, known_safe: frozenset[tuple[str, str]] = frozenset()) -> Column:
+    """(label, excerpt) of every match, in the order of the patterns, with the
+    exemptions of ``scan_text``; ``place`` says where a text stands."""
+    place = F.lit("") if place is None else place
+    exempt = [lambda m, p=p, v=v: (place == p) & m.contains(v) for p, v in sorted(known_safe)]
+    if allow_placeholders:
+        # nothing but quotes after the first equals sign, or no such sign
+        exempt.append(lambda m: F.regexp_extract(m, "(?s)^[^=]*=(.*)$", 1).rlike("^['\" \t\r\n]*$"))
+    kept = lambda m: ~reduce(lambda a, b: a | b, [e(m) for e in exempt], F.lit(False))
     # a lambda of two parameters would get the index as its second
     labelled = lambda name: lambda m: F.struct(F.lit(name).alias("label"), F.substring(m, 1, EXCERPT).alias("excerpt"))
-    each = [F.transform(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)), labelled(name)) for name, p in patterns]
+    each = [F.transform(F.filter(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)), kept), labelled(name)) for name, p in patterns]
     return F.concat(*each)
 
 

@@ -30,6 +30,26 @@ CASES = [
 ]
 
 
+def test_months_that_are_spelt_out_ground_their_names():
+    given = {"cited_fields": {"notes": "sold in November"}}
+    names = lambda text, code: [t for k, _, t in guard.verify(text, given, PACK.get(code), PACK) if k == "introduced_proper_noun"]
+    assert names("Was it sold in Novembre?", "en") == [] and names("Was it sold in Juni?", "en") == ["Juni"]
+
+
+def test_months_of_dates():
+    assert guard.months_in("1938-11-04, 1938-02 and (1940-12)") == {11, 2, 12}
+    assert guard.months_in("2026-08-09b 38-11 1938-13 11938-04 1938-04-1 x1938-05 1938") == set()
+
+
+def test_scans_share_their_exemptions(spark):
+    safe = frozenset({("a", "abcdef0123456789")})
+    texts = [("a", "api_key = abcdef0123456789abcdef"), ("b", "api_key = abcdef0123456789abcdef"), ("a", "token: ZZZZZZZZZZZZZZZZZZZZ=''"), ("c", "Bearer abcdefghijklmnop=")]
+    frame = spark.createDataFrame(texts, "p string, t string")
+    for placeholders in (False, True):
+        own = frame.select(F.size(hygiene.findings(F.col("t"), allow_placeholders=placeholders, place=F.col("p"), known_safe=safe)).alias("n")).collect()
+        assert [r.n for r in own] == [len(hygiene.scan_text(p, t, placeholders, safe)) for p, t in texts]
+
+
 @pytest.mark.parametrize("code,text,kinds", CASES)
 def test_verdicts(code, text, kinds):
     assert sorted({k for k, _, _ in guard.verify(text, FLAG, PACK.get(code), PACK)}) == kinds
