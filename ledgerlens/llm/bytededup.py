@@ -126,12 +126,12 @@ def refined(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         alone = new & np.r_[new[1:], True] if len(places) else new
         return places[~alone]
 
-    order = np.argsort(gram, kind="stable")
+    order = np.argsort(gram)
     left = settle(order, gram[order])
     while width < length and len(left):
         step = min(width, length - width)
         here, later = pointer[left], pointer[left + step]
-        order = np.lexsort((later, here))
+        order = np.argsort(here * np.int64(n + 1) + later + 1)  # both in one number
         left = settle(left[order], here[order], later[order])
         width += step
     shared = np.zeros(n, dtype=bool)
