@@ -79,6 +79,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a few numbers that a join sends to every executor (some 50 MB).
+BROADCAST_ROWS = 1 << 20
+
+
+def small(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of a few numbers a row, to be broadcast if it is small enough.
+
+    It has to be a written one, as it is counted; beyond the limit the join
+    shuffles.
+    """
+    return F.broadcast(table) if table.count() <= limit else table
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of frames that are out of use."""
     gc.collect()

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import ROWS_KEY, bounded_batches, hashed_sample, setting, written
+from .common import ROWS_KEY, bounded_batches, hashed_sample, setting, small, written
 
 BITS = 64
 #: Fingerprints sampled for bit correlations and candidate estimates.
@@ -433,8 +433,9 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     prefixes = written(ranked.where("place <= room + n").select("shingle", "node"), "prefixes")
     ends = prefixes.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("shingle", "first")
     clusters = components(prefixes.join(ends, "shingle").select(F.col("node").alias("a"), F.col("first").alias("b")))
-    clusters = clusters.unionAll(clusters.select(F.col("root").alias("node"), "root")).distinct()
-    members = written(rows.select(node.alias("node"), "text").join(clusters, "node").groupBy("node", "root").agg(F.min("text").alias("text")), "members")
+    clusters = written(clusters.unionAll(clusters.select(F.col("root").alias("node"), "root")).distinct(), "clusters")
+    # few texts are in any cluster; while their list is short the others needn't move
+    members = written(rows.select(node.alias("node"), "text").join(small(clusters), "node").groupBy("node", "root").agg(F.min("text").alias("text")), "members")
     # every text of a large cluster goes to one row and one column of blocks
     sizes = members.groupBy("root").agg(F.sum(F.octet_length("text")).alias("bytes"))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
