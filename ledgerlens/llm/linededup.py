@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 #: A repeated line of more words is a passage, not boilerplate.
 PASSAGE_WORDS = 50
@@ -58,13 +58,14 @@ def ranked(pairs: DataFrame) -> DataFrame:
     """``row``, ``id``, ``at`` and ``rank`` of the pairs (x, y) that stand twice or more.
 
     Ranks ascend in the order of the pairs.  Pairs are counted with partial
-    sums and sorted once each; the join has no grouping by pair above it, so
-    Spark splits frequent ones.
+    sums and sorted once each; a short list of them goes to the suffixes, and a
+    longer one meets them in a join without grouping above it, so that Spark
+    splits frequent pairs.
     """
     often = pairs.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
     # after a sort this number ascends from partition to partition
     order = written(often.orderBy("x", "y").withColumn("rank", F.monotonically_increasing_id()), "order")
-    return written(pairs.join(order, ["x", "y"]).select("row", "id", "at", "rank"), "ranks")
+    return written(pairs.join(small(order), ["x", "y"]).select("row", "id", "at", "rank"), "ranks")
 
 
 def doubled(ranks: DataFrame, h: int) -> DataFrame:
@@ -104,8 +105,8 @@ def _place() -> Column:
 
 def later_places(members: DataFrame, *interval: str) -> DataFrame:
     """``row``, ``at`` and the ``first`` place of the interval, of all but that."""
-    least = members.groupBy(*interval).agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return members.join(least, list(interval)).where(_place() > F.col("first")).select("row", "at", "first")
+    least = written(members.groupBy(*interval).agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
+    return members.join(small(least), list(interval)).where(_place() > F.col("first")).select("row", "at", "first")
 
 
 def maximal_copies(levels: list[tuple[int, DataFrame]], min_lines: int) -> DataFrame | None:
