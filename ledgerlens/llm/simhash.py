@@ -307,6 +307,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = 3, id_col:
 SLICE = 26
 #: Postings that a chunk holds before it is handed on, and about what a bucket gets.
 POSTINGS = 1 << 20
+#: Texts of a large cluster that all its others meet first, about.
+LEADERS = 16
 #: Bytes of text on either side of a meeting, and in a bundle of small clusters.
 MEET_BYTES = 8 << 20
 
@@ -353,6 +355,41 @@ def _alike(sets: list[np.ndarray], sides: np.ndarray | None, similarity: float)
     return out
 
 
+def led_by_few(members: DataFrame, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(``node`` and ``core`` of the texts that need no meeting among themselves,
+    links ``a``, ``b`` that join them).
+
+    In a cluster of more than ``MEET_BYTES`` every text first meets about
+    ``LEADERS`` of its texts, chosen by hash.  The largest group that these links
+    join is the cluster's core if it holds over half of the bytes.  So a family of
+    near copies costs a pass over its texts, not a meeting of all pairs of blocks.
+    """
+    spark = members.sparkSession
+    node, none = "node bigint, core boolean", "a bigint, b bigint"
+    sizes = members.groupBy("root").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n"))
+    large = written(sizes.where(F.col("bytes") > MEET_BYTES), "large")
+    if large.isEmpty():
+        return spark.createDataFrame([], node), spark.createDataFrame([], none)
+    parts = F.ceil(F.col("bytes") / MEET_BYTES).cast("int")
+    own = written(members.join(small(large), "root").select("root", "node", "text", "bytes", "n", parts.alias("parts")), "large_members")
+    leaders = own.where(F.pmod(F.xxhash64("node", F.lit(11)), F.col("n")) < LEADERS).select("root", "node", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("leads"))
+    dealt = own.select("root", "node", "text", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("leads")).unionAll(leaders)
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        nodes, leads = table["node"].to_numpy(), table["leads"].to_numpy(zero_copy_only=False)
+        sets = [hashed_set(t.as_py(), size) for t in table["text"]]
+        pairs = [(nodes[x], nodes[y]) for x, y in _alike(sets, leads, similarity)]
+        ends = np.array([p for p in pairs if p[0] != p[1]], dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+    links_ = written(dealt.groupBy("root", "part").applyInArrow(meet, none), "led")
+    joined = components(links_).withColumnRenamed("root", "group")
+    joined = written(joined.unionAll(joined.select(F.col("group").alias("node"), "group")).distinct(), "joined")
+    each = written(own.select("root", "node", "bytes", F.octet_length("text").alias("own")).join(small(joined), "node"), "grouped")
+    heavy = each.groupBy("root", "group", "bytes").agg(F.sum("own").alias("held")).where(2 * F.col("held") > F.col("bytes")).select("root", "group")
+    return written(each.join(small(written(heavy, "heavy")), ["root", "group"]).select("node", F.lit(True).alias("core")), "core"), links_
+
+
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``component_id`` where links are Jaccard similarities.
 
@@ -363,8 +400,9 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     before frequent; then the others.  So only the shingles below the cut have
     to be counted, and of the others a text hands in what its prefix still
     lacks.  Texts that share a shingle of their prefixes form clusters; all
-    pairs of a cluster meet, block by block, and each meeting returns a
-    spanning forest of the links.  Texts that are equal count as one; texts
+    pairs of a cluster meet that aren't linked through its leaders already
+    (``led_by_few``), block by block, and each meeting returns a spanning forest
+    of the links.  Texts that are equal count as one; texts
     without words are equal to each other.
     """
     spark = docs.sparkSession
@@ -436,14 +474,19 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     clusters = written(clusters.unionAll(clusters.select(F.col("root").alias("node"), "root")).distinct(), "clusters")
     # few texts are in any cluster; while their list is short the others needn't move
     members = written(rows.select(node.alias("node"), "text").join(small(clusters), "node").groupBy("node", "root").agg(F.min("text").alias("text")), "members")
-    # every text of a large cluster goes to one row and one column of blocks
-    sizes = members.groupBy("root").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("bytes") / MEET_BYTES)).cast("int")
-    block = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
-    places = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j")))
-    bundle = F.when(blocks > 1, F.struct(F.lit(1).alias("x"), F.col("root").alias("y"))).otherwise(F.struct(F.lit(0).alias("x"), F.pmod(F.xxhash64("root"), F.lit(max(16, total // MEET_BYTES))).alias("y")))
-    dealt_members = members.join(sizes, "root").select("root", "node", "text", block.alias("block"), bundle.alias("bundle"), F.explode(places).alias("at")).select("bundle.x", "bundle.y", "at.i", "at.j", "root", "block", "node", "text")
+    core, led = led_by_few(members, size, similarity)
+    members = members.join(small(core), "node", "left").withColumn("core", F.col("core").isNotNull())
+    # core texts of a cluster are linked already: they only meet the rest of it
+    rest = F.sum(F.when(~F.col("core"), F.octet_length("text")).otherwise(0))
+    sizes = written(members.groupBy("root").agg(rest.alias("rest"), (F.sum(F.octet_length("text")) - rest).alias("bytes")), "sizes")
+    total = sizes.agg(F.sum(F.col("rest") + F.col("bytes"))).first()[0] or 0
+    blocks = lambda n: F.ceil(F.col(n) / MEET_BYTES).cast("int")
+    r, c = blocks("rest"), blocks("bytes")
+    block = F.when(F.col("core"), r + F.pmod(F.xxhash64("node", F.lit(7)), F.greatest(c, F.lit(1)))).otherwise(F.pmod(F.xxhash64("node", F.lit(7)), F.greatest(r, F.lit(1)))).cast("int")
+    others = F.when(F.col("core"), r).otherwise(r + c)
+    places = F.when(others > 0, F.transform(F.sequence(F.lit(0), F.greatest(others - 1, F.lit(0))), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j"))))
+    bundle = F.when(r + c > 1, F.struct(F.lit(1).alias("x"), F.col("root").alias("y"))).otherwise(F.struct(F.lit(0).alias("x"), F.pmod(F.xxhash64("root"), F.lit(max(16, total // MEET_BYTES))).alias("y")))
+    dealt_members = members.join(small(sizes), "root").select("root", "node", "text", block.alias("block"), bundle.alias("bundle"), F.explode(places).alias("at")).select("bundle.x", "bundle.y", "at.i", "at.j", "root", "block", "node", "text")
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         across = key[2].as_py() != key[3].as_py()
@@ -458,7 +501,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
         ends = np.array(pairs, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
-    roots = components(dealt_members.groupBy("x", "y", "i", "j").applyInArrow(meet, "a bigint, b bigint"))
+    roots = components(dealt_members.groupBy("x", "y", "i", "j").applyInArrow(meet, "a bigint, b bigint").unionAll(led))
     # equal texts: the smallest id stands for all
     salted = each.groupBy("node", "salt").agg(F.min("doc_id").alias("least"))
     equal = salted.groupBy("node").agg(F.min("least").alias("least"), F.collect_set("salt").alias("salts"))

@@ -105,6 +105,36 @@ def test_no_link_of_a_template_family_is_lost(spark, meet_bytes, monkeypatch):
     assert {r.doc_id: r.component_id for r in out.collect()} == {k: least[r] for k, r in enumerate(root)}
 
 
+@pytest.mark.parametrize("leaders", [1, 4, 16])
+def test_a_family_led_by_few_keeps_all_links(spark, leaders, monkeypatch):
+    """Near copies that any leader joins, and texts that only one of them is like."""
+    monkeypatch.setattr(simhash, "MEET_BYTES", 4000)
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
+    rnd = np.random.default_rng(9)
+    base = [f"t{k}" for k in range(300)]
+
+    def changed(words, n, tag):
+        out = list(words)
+        for at in rnd.choice(300, n, replace=False):
+            out[at] = f"{tag}x{at}"
+        return out
+
+    family = [changed(base, 2, f"f{k}") for k in range(40)]
+    near = [changed(family[k], 6, f"n{k}") for k in range(10)]  # like their own, hardly like the others
+    far = [changed(near[k], 6, f"m{k}") for k in range(5)]
+    alone = [changed(base, 40, f"a{k}") for k in range(5)]
+    texts = [" ".join(w) for w in (*family, *near, *far, *alone)]
+    texts = [texts[k] for k in rnd.permutation(len(texts))]
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    root = groups(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    least = {}
+    for k, r in enumerate(root):
+        least[r] = min(k, least.get(r, k))
+    assert 1 < len(least) < 20
+    out = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in out.collect()} == {k: least[r] for k, r in enumerate(root)}
+
+
 def test_empty_tables(none):
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.similar_groups(none).count() == 0
