@@ -12,6 +12,7 @@ from .model import CIRCA_MARGIN
 from .operators.explain import Generator, HttpTransport, Settings
 from .plans.html import render
 from .plans.screening import report, screen_file, write
+from .sources.lido import listed_notes
 from .sources.lists import DATA, ListError, load_config
 from .sources.records import InputError
 
@@ -55,10 +56,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             spark = SparkSession.builder.appName("ledgerlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
         screening, notes, fmt = screen_file(spark, args.input, cfg, args.format, args.circa_margin_years)
         if args.parquet:
-            write(screening, args.parquet)
+            write(screening, args.parquet, notes)
             if not args.out and not args.html:
                 return 0
-        result = report(screening, cfg, args.input, fmt, notes, args.circa_margin_years, generator)
+        result = report(screening, cfg, args.input, fmt, listed_notes(notes), args.circa_margin_years, generator)
     except (InputError, ListError, ValueError) as e:
         print(e, file=sys.stderr)
         return 2

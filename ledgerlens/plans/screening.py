@@ -13,7 +13,8 @@ from ..model import CIRCA_MARGIN, RULES
 from ..operators.assemble import COVERAGE_NOTE, coverage_map, results
 from ..operators.chains import enriched
 from ..operators.rules import all_rules
-from ..sources.dispatch import load_input
+from ..sources.dispatch import load_frames
+from ..sources.lido import listed_notes
 from ..sources.lists import Config, load_config
 from ..staging import staged
 
@@ -40,8 +41,10 @@ def screen(records: DataFrame, cfg: Config, resolved_override: DataFrame | None
     return Screening(rich, flags, notes, citations, results(rich, flags, notes, citations, cfg, resolved_override), coverage_map(rich, flags))
 
 
-def write(screening: Screening, folder: str) -> None:
-    """The scalable sink: flags by rule, citations and objects as Parquet."""
+def write(screening: Screening, folder: str, notes: DataFrame | None = None) -> None:
+    """The scalable sink: flags by rule, citations, objects and ingest notes as Parquet."""
+    if notes is not None:
+        notes.write.mode("overwrite").parquet(f"{folder}/ingest_notes")
     screening.flags.drop("chain_seq").write.partitionBy("rule_id").mode("overwrite").parquet(f"{folder}/flags")
     screening.objects.drop("chain_seq").write.mode("overwrite").parquet(f"{folder}/objects")
     screening.coverage.write.mode("overwrite").parquet(f"{folder}/coverage")
@@ -110,9 +113,9 @@ def report(screening: Screening, cfg: Config, input_file: str, input_format: str
     }
 
 
-def screen_file(spark: SparkSession, path: str, cfg: Config, input_format: str | None = None, margin: int = CIRCA_MARGIN) -> tuple[Screening, list[dict], str]:
+def screen_file(spark: SparkSession, path: str, cfg: Config, input_format: str | None = None, margin: int = CIRCA_MARGIN) -> tuple[Screening, DataFrame, str]:
     """(frames, ingest notes, format): read, validate (the whole input or nothing), screen."""
-    records, notes, fmt = load_input(spark, path, input_format, margin)
+    records, notes, fmt = load_frames(spark, path, input_format, margin)
     return screen(records, cfg), notes, fmt
 
 
@@ -120,4 +123,4 @@ def run(spark: SparkSession, path: str, cfg: Config | None = None, input_format:
     """The report of one input; everything is collected, so it is for one collection."""
     cfg = cfg or load_config()
     screening, notes, fmt = screen_file(spark, path, cfg, input_format, margin)
-    return report(screening, cfg, path, fmt, notes, margin, generator)
+    return report(screening, cfg, path, fmt, listed_notes(notes), margin, generator)

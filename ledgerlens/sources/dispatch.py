@@ -20,12 +20,17 @@ def detect_format(path) -> str:
     return FORMATS[ending]
 
 
-def load_input(spark: SparkSession, path, input_format: str | None = None, margin: int = CIRCA_MARGIN) -> tuple[DataFrame, list[dict], str]:
-    """(typed records, ingest notes, format)."""
+def load_frames(spark: SparkSession, path, input_format: str | None = None, margin: int = CIRCA_MARGIN) -> tuple[DataFrame, DataFrame, str]:
+    """(typed records, ingest notes, format); nothing is collected."""
     fmt = input_format or detect_format(path)
     if fmt == "csv":
-        return csv.load_records(spark, str(path), margin), [], fmt
+        return csv.load_records(spark, str(path), margin), spark.createDataFrame([], lido.NOTES), fmt
     if fmt != "lido":
         raise InputError([f"unknown format {fmt!r}"])
-    records, notes = lido.load_records(spark, str(path), margin)
-    return records, notes, fmt
+    return *lido.load_frames(spark, str(path), margin), fmt
+
+
+def load_input(spark: SparkSession, path, input_format: str | None = None, margin: int = CIRCA_MARGIN) -> tuple[DataFrame, list[dict], str]:
+    """(typed records, ingest notes as a list, format)."""
+    records, notes, fmt = load_frames(spark, path, input_format, margin)
+    return records, lido.listed_notes(notes) if fmt == "lido" else [], fmt

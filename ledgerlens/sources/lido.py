@@ -242,7 +242,10 @@ def in_file_order(events: DataFrame) -> DataFrame:
     return events.join(files, "path").withColumn("source_order", F.col("file") * F.lit(FILE_EVENTS) + F.col("source_order")).drop("path", "file")
 
 
-def load_records(spark: SparkSession, path: str, margin: int = CIRCA_MARGIN, types: EventTypes | None = None) -> tuple[DataFrame, list[dict]]:
+NOTES = "source_order bigint, source_ref string, kind string, detail string"
+
+
+def load_frames(spark: SparkSession, path: str, margin: int = CIRCA_MARGIN, types: EventTypes | None = None) -> tuple[DataFrame, DataFrame]:
     """(typed records, ingest notes); the whole input is rejected on problems."""
     read = staged(read_events(spark, path, types or load_event_types()), "events")
     events = in_file_order(read)
@@ -250,5 +253,15 @@ def load_records(spark: SparkSession, path: str, margin: int = CIRCA_MARGIN, typ
     # a file that can't be read as a whole has no place in the order
     unread = read.where("kind = 'problem'").select(F.lit(-1).cast("bigint").alias("source_order"), F.col("detail").alias("problem"))
     records = valid(typed_rows, unread)
-    notes = events.where("kind not in ('row', 'problem')").orderBy("source_order", F.col("kind")).select("source_ref", "kind", "detail").collect()
-    return records, [r.asDict() for r in notes]
+    return records, events.where("kind not in ('row', 'problem')").select("source_order", "source_ref", "kind", "detail")
+
+
+def listed_notes(notes: DataFrame) -> list[dict]:
+    """The notes of one collection, for its report."""
+    return [r.asDict() for r in notes.orderBy("source_order", "kind").select("source_ref", "kind", "detail").collect()]
+
+
+def load_records(spark: SparkSession, path: str, margin: int = CIRCA_MARGIN, types: EventTypes | None = None) -> tuple[DataFrame, list[dict]]:
+    """(typed records, ingest notes as a list)."""
+    records, notes = load_frames(spark, path, margin, types)
+    return records, listed_notes(notes)
