@@ -28,9 +28,9 @@ travel as packed arrays by ranges of their bucket, a bounded number to a task.
 Identifiers are 64-bit hashes, compared in pairs (128 bits) wherever a block
 removes something; the recursive refinement compares the bytes themselves.
 
-A bucket's different blocks meet in one task, as entries of 28 bytes, and the
-bytes of single starts beside them; copies of one block don't add to that, but
-a phrase of q bytes in very many contexts does.
+A bucket that very many chunks have (a phrase of q bytes in many contexts) is
+taken to be mixed without asking: its blocks are dealt by bucket and block, and
+its starts one by one, by a hash of their windows, so that no task gathers it.
 
 Defined results: a null text counts as empty; texts shorter than ``length``
 lose nothing; rows of one id don't count against each other; a row without id
@@ -51,9 +51,12 @@ from .common import bounded_batches, free_shuffles, text_bytes, written
 #: UTF-8 bytes of text that a chunk holds on average.
 CHUNK_BYTES = 8 << 20
 #: UTF-8 bytes whose windows meet in one range of buckets, on average.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 #: Bytes that are hashed at once.
 STRIP_BYTES = 1 << 20
+#: A bucket that more chunks have is split: its blocks meet by themselves, and
+#: its single starts by their windows.
+HOT_CHUNKS = 1024
 #: Bytes of the initial buckets of the recursive refinement.
 FIRST_BYTES = 7
 #: Entries that a task gathers before it hands them on.
@@ -109,29 +112,32 @@ def refined(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     the end compare as if zeros followed.
     """
     n, width = len(data), min(FIRST_BYTES, length)
-    padded = np.concatenate([data, np.zeros(length, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(length, np.uint8)])
     gram = np.zeros(n, np.uint64)
     for k in range(width):
-        gram = (gram << _U(8)) | padded[k : k + n]
-    pointer = np.zeros(n + length, np.int64) - 1  # beyond the end: -1
+        gram <<= _U(8)
+        gram |= padded[k : k + n]
+    pointer = np.full(n + length, -1, np.int32)  # beyond the end: -1
 
     def settle(places: np.ndarray, *keys: np.ndarray) -> np.ndarray:
         """Give places, sorted by their keys, the pointers of their parts; the ones that aren't alone."""
-        index = np.arange(len(places))
+        index = np.arange(len(places), dtype=np.int32)
         opens = lambda *columns: np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)] if len(places) else np.zeros(0, bool)
         new = opens(*keys)
-        first = np.maximum.accumulate(np.where(new, index, 0)) if len(places) else index
-        bucket = np.maximum.accumulate(np.where(opens(keys[0]), index, 0)) if len(keys) > 1 and len(places) else np.zeros(len(places), np.int64)
-        pointer[places] = (keys[0] if len(keys) > 1 else 0) + first - bucket
+        first = np.maximum.accumulate(np.where(new, index, np.int32(0))) if len(places) else index
+        if len(keys) > 1 and len(places):
+            first += keys[0] - np.maximum.accumulate(np.where(opens(keys[0]), index, np.int32(0)))
+        pointer[places] = first
         alone = new & np.r_[new[1:], True] if len(places) else new
         return places[~alone]
 
-    order = np.argsort(gram)
+    order = np.argsort(gram).astype(np.int32)
     left = settle(order, gram[order])
+    del gram, order
     while width < length and len(left):
         step = min(width, length - width)
         here, later = pointer[left], pointer[left + step]
-        order = np.argsort(here * np.int64(n + 1) + later + 1)  # both in one number
+        order = np.argsort(here.astype(np.int64) * (n + 1) + later + 1)  # both in one number
         left = settle(left[order], here[order], later[order])
         width += step
     shared = np.zeros(n, dtype=bool)
@@ -244,6 +250,8 @@ def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 #: Beyond its range 40 bits of a bucket, and 24 of its chunk, in one number;
 #: buckets that agree by chance stay in and are told apart by the next step.
 SHORT, CHUNK_BITS = _U(24), 24
+#: Marks a bucket that is split, in what chunks are told.
+HOT = _U(1 << 40)
 BLOCK = np.dtype([("bucket", "<u8"), ("block", "<u8"), ("doc", "<i8"), ("chunk", "<u4")])
 ANSWER = np.dtype([("bucket", "<u8"), ("block", "<u8"), ("doc", "<i8"), ("mixed", "u1")])
 #: A block that hands in its ``n`` starts; its bytes travel beside it.
@@ -320,8 +328,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         new[1:] = bucket[1:] != bucket[:-1]
         alone = new & np.r_[new[1:], True]
         seen = np.unique(seen[~alone])
-        chunk = (seen & _U((1 << CHUNK_BITS) - 1)).astype(np.int64)
-        return _packed_table(list(_packed(chunk, seen >> SHORT)))
+        chunk, bucket = (seen & _U((1 << CHUNK_BITS) - 1)).astype(np.int64), seen >> SHORT
+        _, which, n = np.unique(bucket, return_inverse=True, return_counts=True)
+        return _packed_table(list(_packed(chunk, np.where(n[which] > HOT_CHUNKS, bucket | HOT, bucket) if len(bucket) else bucket)))
 
     seen = rows.mapInArrow(buckets_seen, PACKED)
     repeated = written(seen.groupBy("target").applyInArrow(repeated_buckets, PACKED), "buckets")
@@ -329,27 +338,34 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     free_shuffles(spark)
 
     def blocks(docs_: pa.Table, answers: pa.Table) -> pa.Table:
-        known = np.sort(_unpacked(answers, np.dtype("<u8")))
+        told = _unpacked(answers, np.dtype("<u8"))
+        told = told[np.argsort(told & ~HOT)]
+        known, split = told & ~HOT, told & HOT > 0
         if not len(known) or not docs_.num_rows:
             return _packed_table([])
         ids, chunk = docs_["doc_id"].to_pylist(), docs_["chunk"][0].as_py()
-        found = []
+        found, hot = [], []
         for own, strip in strips(ids, docs_["text"].to_pylist(), length):
             short = _mix_again(strip.bucket) >> SHORT
             j = np.minimum(np.searchsorted(known, short), len(known) - 1)
             hit = np.flatnonzero(known[j] == short)
+            hot.append(split[j[hit]])
             b = np.zeros(len(hit), BLOCK)
             b["bucket"], b["block"] = strip.bucket[hit], strip.block[hit]
             b["doc"] = np.array([ids[k] for k in own], dtype=np.int64)[strip.doc[hit]]
             b["chunk"] = chunk
             found.append(b)
         b = np.concatenate(found) if found else np.zeros(0, BLOCK)
-        b = b[np.lexsort((b["doc"], b["block"], b["bucket"]))]
+        order = np.lexsort((b["doc"], b["block"], b["bucket"]))
+        b, hot = b[order], (np.concatenate(hot) if hot else np.zeros(0, bool))[order]
         # Once for each chunk, by its smallest document; a second document must be told apart.
         new = _first_of(b, "bucket", "block")
         second = np.zeros(len(b), dtype=bool)
         second[1:] = new[:-1] & ~new[1:]
-        return _packed_table(list(_packed(_range(b["bucket"], n_ranges)[new | second], b[new | second])))
+        b, hot = b[new | second], hot[new | second]
+        with np.errstate(over="ignore"):
+            apart = _range(b["bucket"] + _mix(b["block"]), n_ranges) + _U(n_ranges)
+        return _packed_table(list(_packed(np.where(hot, apart, _range(b["bucket"], n_ranges)), b)))
 
     def least_blocks(table: pa.Table) -> pa.Table:
         b = _unpacked(table, BLOCK)
@@ -360,10 +376,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         of_bucket, of_block = np.cumsum(new_bucket) - 1, np.cumsum(new) - 1
         kinds = np.bincount(of_bucket[new], minlength=of_bucket[-1] + 1)
         size = np.bincount(of_block)
-        mixed = kinds[of_bucket] > 1
+        # ranges beyond the first ones have split buckets, of which a task sees a part
+        mixed = np.full(len(b), 2) if table["target"][0].as_py() >= n_ranges else (kinds[of_bucket] > 1).astype(np.int64)
         least = b["doc"][new][of_block]
         # an answer is due where something is covered or single starts are asked for
-        due = mixed | (size[of_block] > 1)
+        due = (mixed > 0) | (size[of_block] > 1)
         a = np.zeros(int(due.sum()), ANSWER)
         a["bucket"], a["block"], a["doc"], a["mixed"] = b["bucket"][due], b["block"][due], least[due], mixed[due]
         chunk = b["chunk"][due].astype(np.int64)
@@ -391,7 +408,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         a, a_key = a[order], a_key[order]
         ids, chunk = docs_["doc_id"].to_pylist(), docs_["chunk"][0].as_py()
         marks = docs_["mark"].to_numpy()
-        covers, heads, bodies = [], [], []
+        covers, heads, keys, bodies = [], [], [], []
         for own, strip in strips(ids, docs_["text"].to_pylist(), length):
             with np.errstate(over="ignore"):
                 k = key(strip.bucket, strip.block)
@@ -406,18 +423,26 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             c = np.zeros(int(done.sum()), COVER)
             c["mark"], c["at"], c["size"] = mark[done], at[done], (last - first)[done] + length
             covers.append(_joined(c, c["mark"])[0])
-            ask = np.flatnonzero(~done & (a["mixed"][j] == 1))
-            h = np.zeros(len(ask), HEAD)
-            h["bucket"], h["doc"], h["mark"], h["at"] = strip.bucket[hit[ask]], doc[ask], mark[ask], at[ask]
-            h["n"], h["chunk"] = (last - first)[ask] + 1, chunk
-            heads.append(h)
-            bodies.append(strip.data[_runs(first[ask], h["n"] + length - 1)])
+            for split in (False, True):
+                ask = np.flatnonzero(~done & (a["mixed"][j] == 1 + split))
+                n = ((last - first)[ask] + 1).astype(np.int64)
+                begin, moved = first[ask], at[ask]
+                if split:  # every start by itself
+                    moved, begin, ask = _runs(moved, n), _runs(begin, n), np.repeat(ask, n)
+                    n = np.ones(len(ask), np.int64)
+                h = np.zeros(len(ask), HEAD)
+                h["bucket"], h["doc"], h["mark"], h["at"] = strip.bucket[hit[ask]], doc[ask], mark[ask], moved
+                h["n"], h["chunk"] = n, chunk
+                heads.append(h)
+                with np.errstate(over="ignore"):
+                    keys.append(_mix(strip.grams[begin] * _U(3) + strip.grams[begin + length - strip.q]) if split else h["bucket"])
+                bodies.append(strip.data[_runs(begin, n + length - 1)])
         c = np.concatenate(covers) if covers else np.zeros(0, COVER)
         out = [(-1 - chunk, c.tobytes(), b"")] if len(c) else []
         h = np.concatenate(heads) if heads else np.zeros(0, HEAD)
         if len(h):
             body, size = np.concatenate(bodies), h["n"].astype(np.int64) + length - 1
-            offset, ranges = np.cumsum(size) - size, _range(h["bucket"], n_ranges).astype(np.int64)
+            offset, ranges = np.cumsum(size) - size, _range(np.concatenate(keys), n_ranges).astype(np.int64)
             order = np.argsort(ranges, kind="stable")
             cuts = np.flatnonzero(np.r_[True, np.diff(ranges[order]) > 0, True])
             for x, y in zip(cuts[:-1], cuts[1:]):

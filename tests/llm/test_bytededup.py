@@ -33,8 +33,10 @@ def got(frame, length):
     return sorted(map(tuple, out.collect()), key=str)
 
 
-@pytest.mark.parametrize("length", [50, 20])
-def test_against_every_substring(docs, rows, length, monkeypatch):
+@pytest.mark.parametrize("length,hot", [(50, 1024), (20, 1024), (50, 0), (20, 2)])
+def test_against_every_substring(docs, rows, length, hot, monkeypatch):
+    """Without split buckets, with nothing else, and with some."""
+    monkeypatch.setattr(bytededup, "HOT_CHUNKS", hot)
     monkeypatch.setattr(bytededup, "CHUNK_BYTES", 40_000)
     monkeypatch.setattr(bytededup, "RANGE_BYTES", 60_000)
     monkeypatch.setattr(bytededup, "STRIP_BYTES", 5_000)
