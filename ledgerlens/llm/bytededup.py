@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_shuffles, text_bytes, written
+from .common import bounded_batches, free_shuffles, given_back, text_bytes, written
 
 #: UTF-8 bytes of text that a chunk holds on average.
 CHUNK_BYTES = 8 << 20
@@ -320,6 +320,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 yield from handed()
                 seen, held = [], 0
         yield from handed()
+        given_back(None)
 
     def repeated_buckets(table: pa.Table) -> pa.Table:
         seen = np.sort(_unpacked(table, np.dtype("<u8")))
@@ -330,7 +331,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         seen = np.unique(seen[~alone])
         chunk, bucket = (seen & _U((1 << CHUNK_BITS) - 1)).astype(np.int64), seen >> SHORT
         _, which, n = np.unique(bucket, return_inverse=True, return_counts=True)
-        return _packed_table(list(_packed(chunk, np.where(n[which] > HOT_CHUNKS, bucket | HOT, bucket) if len(bucket) else bucket)))
+        return given_back(_packed_table(list(_packed(chunk, np.where(n[which] > HOT_CHUNKS, bucket | HOT, bucket) if len(bucket) else bucket))))
 
     seen = rows.mapInArrow(buckets_seen, PACKED)
     repeated = written(seen.groupBy("target").applyInArrow(repeated_buckets, PACKED), "buckets")
@@ -365,7 +366,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         b, hot = b[new | second], hot[new | second]
         with np.errstate(over="ignore"):
             apart = _range(b["bucket"] + _mix(b["block"]), n_ranges) + _U(n_ranges)
-        return _packed_table(list(_packed(np.where(hot, apart, _range(b["bucket"], n_ranges)), b)))
+        return given_back(_packed_table(list(_packed(np.where(hot, apart, _range(b["bucket"], n_ranges)), b))))
 
     def least_blocks(table: pa.Table) -> pa.Table:
         b = _unpacked(table, BLOCK)
@@ -388,7 +389,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         a, chunk = a[order], chunk[order]
         once = _first_of(a, "bucket", "block")
         once[1:] |= chunk[1:] != chunk[:-1]
-        return _packed_table(list(_packed(chunk[once], a[once])))
+        return given_back(_packed_table(list(_packed(chunk[once], a[once]))))
 
     by_chunk = lambda frame: rows.groupBy("chunk").cogroup(frame.groupBy("target"))
     handed = by_chunk(repeated).applyInArrow(blocks, PACKED)
@@ -448,7 +449,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             for x, y in zip(cuts[:-1], cuts[1:]):
                 own = order[x:y]
                 out.append((int(ranges[own[0]]), h[own].tobytes(), body[_runs(offset[own], size[own])].tobytes()))
-        return _with_bytes(out)
+        return given_back(_with_bytes(out))
 
     def least_starts(table: pa.Table) -> pa.Table:
         h = _unpacked(table, HEAD)
@@ -473,7 +474,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         chunk = h["chunk"][which].astype(np.int64)
         order = np.lexsort((c["at"], c["mark"], chunk))
         c, first = _joined(c[order], chunk[order])
-        return _packed_table(list(_packed(first, c)))
+        return given_back(_packed_table(list(_packed(first, c))))
 
     mixed = written(by_chunk(answers).applyInArrow(covers_and_starts, WITH_BYTES), "starts")
     free_shuffles(spark)
@@ -511,7 +512,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             kept.append(text[end:])
             for k, v in zip(out, (i, len(text), sum(y - x for x, y in spans), len(spans), [{"start": x, "end": y} for x, y in spans], b"".join(kept))):
                 out[k].append(v)
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "n_spans": pa.array(out["n_spans"], pa.int64()), "spans": pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "kept": pa.array(out["kept"], pa.binary())})
+        return given_back(pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "n_spans": pa.array(out["n_spans"], pa.int64()), "spans": pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "kept": pa.array(out["kept"], pa.binary())}))
 
     return rows.groupBy("chunk").cogroup(covers.groupBy("target")).applyInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:int,end:int>>, kept binary")
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 from collections.abc import Iterator
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +94,17 @@ def small(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= limit else table
 
 
+def given_back(result):
+    """``result``, after the process has returned its free memory to the system.
+
+    For the end of a task's call: idle Python workers keep it otherwise.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+    return result
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of frames that are out of use."""
     gc.collect()
