@@ -1,11 +1,14 @@
 """Identity of names: the rules by which an owner entry meets a list entry.
 
 The rules are applied to distinct names only (``match_names``), so the Python
-part sees each name once however many records carry it.
+part sees each name once however many records carry it, and only to entries that
+share a key of an inverted index with the name.
 """
 
 from __future__ import annotations
 
+import functools
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import GENERIC_TOKENS
+from ..staging import staged
 from .text import contains_term_text, normalise_text
 
 SHORT_FORM_LENGTH = 4
@@ -79,6 +83,7 @@ class Entry:
 
     index: int
     name: str
+    variants: tuple[str, ...]
     kind: str
     terms: tuple[Term, ...]
     persons: tuple[Person, ...]
@@ -86,7 +91,7 @@ class Entry:
     @classmethod
     def of(cls, index: int, name: str, variants: tuple[str, ...], kind: str) -> Entry:
         persons = tuple(p for raw in (name, *variants) if (p := parse_person(raw)))
-        return cls(index, name, kind, build_terms(name, variants), persons)
+        return cls(index, name, variants, kind, build_terms(name, variants), persons)
 
 
 @dataclass(frozen=True)
@@ -133,18 +138,145 @@ def match_name(raw: str, entry: Entry) -> Match | None:
     return None
 
 
-HITS = "array<struct<index:int,basis:string,kind:string,confirmed:boolean,note:string>>"
+# --- the inverted index ------------------------------------------------------
+#
+# An entry is filed under keys, a name asks for keys, and the rules of
+# ``match_name`` see only pairs that share one.  No rule can hold without a key:
+#
+#   S  the whole name is the surname of one of the entry's persons
+#   P  both read as persons of one surname and the same first letter given
+#   T  a term stands in a form of the name: the term's rarest token does
+#   A  a form of the name stands in a term: the form's rarest token does
+#
+# Which token counts as the rarest only decides how many pairs are looked at.
+# So what is known of frequencies may be partial: ``common`` has the tokens of
+# many entries, and any other is rarer.
 
 
-def match_names(names: DataFrame, entries: tuple[Entry, ...]) -> DataFrame:
-    """``name`` and ``hits`` for the distinct values of column ``name``."""
+def _rarest(tokens: list[str], common: dict[str, int]) -> str:
+    return min(tokens, key=lambda t: (common.get(t, 0), -len(t), t))
+
+
+def _person_keys(person: Person) -> str:
+    return f"P{person.surname}|{person.given[0][0]}"
+
+
+def entry_keys(entry: Entry, common: dict[str, int]) -> set[str]:
+    """Where an entry is filed."""
+    keys = {f"S{p.surname}" for p in entry.persons} | {_person_keys(p) for p in entry.persons if p.given}
+    for term in entry.terms:
+        tokens = term.text.split()
+        keys |= {f"T{_rarest(tokens, common)}"} | {f"A{t}" for t in tokens}
+    return keys
+
+
+def name_keys(raw: str, common: dict[str, int]) -> set[str]:
+    """What a name asks for."""
+    keys = {f"S{normalise_text(raw)}"}
+    if person := parse_person(raw):  # matched as one or not at all
+        return keys | {_person_keys(person)} if person.given else keys
+    for form in candidate_forms(raw):
+        tokens = form.split()
+        keys |= {f"T{t}" for t in tokens} | {f"A{_rarest(tokens, common)}"}
+    return keys
+
+
+#: Lists of more entries are joined; a smaller list's index goes to every task.
+INDEX_ENTRIES = 5_000
+#: Most tokens whose frequency in a list is told to every task.
+COMMON_TOKENS = 10_000
+
+ENTRIES = "index int, name string, variants array<string>, kind string"
+HIT = "index int, basis string, kind string, confirmed boolean, note string"
+HITS = f"name string, {HIT}"
+
+
+def _hit(index: int, m: Match) -> tuple:
+    return (index, m.basis, m.kind, m.confirmed, m.note)
+
+
+def _common(counts) -> dict[str, int]:
+    return {token: n for token, n in counts if n > 1}
+
+
+def _indexed(names: DataFrame, entries: tuple[Entry, ...]) -> DataFrame:
+    """Hits by an index that every task holds."""
+    counts = Counter(t for e in entries for t in {t for term in e.terms for t in term.text.split()})
+    common, filed = _common(counts.most_common(COMMON_TOKENS)), defaultdict(list)
+    for at, e in enumerate(entries):
+        for key in entry_keys(e, common):
+            filed[key].append(at)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hits = []
             for name in batch["name"]:
-                found = [(e.index, m) for e in entries if name and (m := match_name(name, e))]
-                hits.append([{"index": k, "basis": m.basis, "kind": m.kind, "confirmed": m.confirmed, "note": m.note} for k, m in found])
-            yield pd.DataFrame({"name": batch["name"], "hits": hits})
+                for at in sorted({at for key in name_keys(name, common) for at in filed.get(key, ())}):
+                    if m := match_name(name, entries[at]):
+                        hits.append((name, *_hit(entries[at].index, m)))
+            yield pd.DataFrame(hits, columns=["name", "index", "basis", "kind", "confirmed", "note"])
+
+    return names.mapInPandas(run, HITS)
+
+
+@functools.lru_cache(50_000)
+def _made(index: int, name: str, variants: tuple[str, ...], kind: str) -> Entry:
+    return Entry.of(index, name, variants, kind)
+
+
+def _entry(row) -> Entry:
+    return _made(row.index, row.name, tuple(row.variants if row.variants is not None else ()), row.kind)
+
+
+def candidates(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """``asked`` and ``index`` of the pairs that share a key, by a join of the
+    keys; neither side is held by one process."""
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"token": [t for row in _rows(batch) for t in {t for term in _entry(row).terms for t in term.text.split()}]}, dtype=object)
+
+    counted = entries.mapInPandas(tokens, "token string").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    common = _common((r.token, r.n) for r in counted.orderBy(F.desc("n"), "token").limit(COMMON_TOKENS).collect())
+
+    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(key, row.index) for row in _rows(batch) for key in entry_keys(_entry(row), common)], columns=["key", "index"])
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(key, name) for name in batch["name"] for key in name_keys(name, common)], columns=["key", "asked"])
+
+    pairs = names.mapInPandas(ask, "key string, asked string").join(entries.mapInPandas(file, "key string, index int"), "key")
+    return pairs.select("asked", "index").distinct()
+
+
+def _joined(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """Hits among the candidates."""
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(row.asked, *_hit(row.index, m)) for row in _rows(batch) if (m := match_name(row.asked, _entry(row)))]
+            yield pd.DataFrame(found, columns=["name", "index", "basis", "kind", "confirmed", "note"])
+
+    return candidates(names, entries).join(entries, "index").select("asked", "index", "name", "variants", "kind").mapInPandas(judge, HITS)
+
+
+def _rows(batch: pd.DataFrame):
+    return batch.itertuples(index=False, name="Row")
+
+
+def match_names(names: DataFrame, entries: tuple[Entry, ...] | DataFrame, index_entries: int = INDEX_ENTRIES) -> DataFrame:
+    """A row for each distinct value of column ``name`` and entry that it matches:
+    ``name``, ``index`` and what the match rests on.
 
-    return names.select("name").distinct().mapInPandas(run, f"name string, hits {HITS}").where(F.size("hits") > 0)
+    Entries come as the driver's list or as a frame (``ENTRIES``).  The rules
+    see the pairs that share a key of the inverted index, never all pairs.
+    """
+    names = names.select("name").where("name is not null").distinct()
+    if isinstance(entries, DataFrame):
+        return _joined(names, entries)
+    if len(entries) <= index_entries:
+        return _indexed(names, entries)
+    rows = [(e.index, e.name, list(e.variants), e.kind) for e in entries]
+    return _joined(names, staged(names.sparkSession.createDataFrame(rows, ENTRIES), "entries"))

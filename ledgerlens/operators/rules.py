@@ -25,7 +25,7 @@ from ..model import (
     ACTOR_WINDOW, CATALOGUE_EARLY, CATALOGUE_LATE, EVIDENCING_STATES, EXPORT_WINDOW, METHODOLOGY, PERSECUTION_STATES, PRE_1945, RULES, STATES,
 )
 from ..sources.lists import Config, NameList
-from ..staging import staged
+from ..staging import broadcast_if_small, staged
 from . import tiers
 
 FLAG_COLUMNS = ("object_id", "chain_seq", "axis", "rule_id", "rule_seq", "rec_rn", "sub_seq", "source_ref", "presumption_tier", "rule_statement", "methodology", "cited_fields")
@@ -253,22 +253,32 @@ def pc004(records: DataFrame, cfg: Config) -> tuple[list, list]:
     ]
 
 
+#: What the rules of both lists read of a record.
+HIT_RECORD = ("object_id", "chain_seq", "rn", "source_ref", "owner_name", "owner_name_variants", "span", "is_dated", "location", "transaction_state")
+
+
 def list_hits(records: DataFrame, names: NameList) -> DataFrame:
     """A row for each (record, entry): the first of the record's names that
     matches, with ``hit`` and ``hit_seq`` in the order of names and entries.
 
-    Matching sees distinct names; the answer joins back by name.
+    Matching sees distinct names; the answer joins back by name, and the record's
+    values are only read for records that have one.  Flags, notes and citations
+    read the result.
     """
-    each = records.select("*", F.posexplode("names").alias("name_pos", "name"))
-    found = match_names(records.select(F.explode("names").alias("name")), names.matching).select("name", F.explode("hits").alias("hit"))
-    first = Window.partitionBy("object_id", "rn", "hit.index").orderBy("name_pos")
-    hits = each.join(found, "name").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    read = staged(records.select(*HIT_RECORD, "names"), "named_records")
+    found = staged(match_names(read.select(F.explode("names").alias("name")), names.matching), "matched_names")
+    found = broadcast_if_small(found.select("name", F.struct("index", "basis", "kind", "confirmed", "note").alias("hit")))
+    each = read.select(*HIT_RECORD, F.posexplode("names").alias("name_pos", "name"))
+    first = F.min(F.struct("name_pos", "name", "hit")).alias("first")
+    hits = each.join(found, "name").groupBy(*HIT_RECORD, "hit.index").agg(first).select(*HIT_RECORD, "index", "first.*")
     entries = records.sparkSession.createDataFrame(entry_rows(names), ENTRY_SCHEMA)
-    hits = hits.join(F.broadcast(entries.select("index", F.struct(*[c for c in entries.columns if c != "index"]).alias("entry"))), F.col("hit.index") == F.col("index"))
-    # flags, notes and citations read it
-    return staged(hits.withColumn("hit_seq", F.col("name_pos") * 100_000 + F.col("hit.index")), "hits")
+    entries = entries.select("index", F.struct(*[c for c in entries.columns if c != "index"]).alias("entry"))
+    hits = hits.join(F.broadcast(entries) if len(names.entries) <= BROADCAST_ENTRIES else entries, "index")
+    return staged(hits.withColumn("hit_seq", F.col("name_pos") * 1_000_000 + F.col("index")), "hits")
 
 
+#: Lists of more entries are joined by shuffle.
+BROADCAST_ENTRIES = 5_000
 #: The values of a list entry that rules cite; nested ones as JSON.
 ENTRY_TEXTS = ("name", "location", "active_period", "verification_note", "entry_type", "annotation", "source_url")
 ENTRY_SCHEMA = "index int, " + ", ".join(f"{t} string" for t in ENTRY_TEXTS) + ", bases string, cross_references string, implies boolean, exonerating boolean"

@@ -235,8 +235,8 @@ def match_anonymous(spark, sf_dir):
 
 
 def list_matches(spark, sf_dir, names):
-    found = match_names(records(spark, sf_dir).select(F.col("owner_name").alias("name")), names.matching).select("name", F.explode("hits").alias("h"))
-    return records(spark, sf_dir).join(found, F.col("owner_name") == F.col("name")).select("source_ref", F.col("h.index").alias("entry"), F.col("h.basis").alias("basis"), F.col("h.confirmed").alias("confirmed"))
+    found = match_names(records(spark, sf_dir).select(F.col("owner_name").alias("name")), names.matching)
+    return records(spark, sf_dir).join(found, F.col("owner_name") == F.col("name")).select("source_ref", F.col("index").alias("entry"), "basis", "confirmed")
 
 
 @query("match_aliu", f"{CHAIN} SELECT source_ref, entry, basis, confirmed FROM ev JOIN nm USING (owner_name)")
@@ -249,6 +249,28 @@ def match_actors(spark, sf_dir):
     return list_matches(spark, sf_dir, CFG.actors)
 
 
+# A list made from suppliers, persons and firms in turn, and names that may meet it.
+SPELT = "translate(CAST({} AS STRING), '0123456789', 'bcdfghjklm')"
+LISTED = f"""SELECT CAST(s_suppkey AS INT) AS index, s_suppkey % 2 = 0 AS person, concat('Zor', {SPELT.format('s_suppkey % 60')}) AS surname,
+  CASE s_suppkey % 3 WHEN 0 THEN 'Anna' WHEN 1 THEN 'A.' ELSE 'Berta' END AS given, concat('Hax', {SPELT.format('s_suppkey % 50')}) AS firm FROM {{supplier}}"""
+ASKED = f"""SELECT DISTINCT o_orderkey % 7 AS form, surname, given, firm, CASE o_orderkey % 7 WHEN 0 THEN concat(surname, ', ', given) WHEN 1 THEN concat(given, ' ', upper(surname)) WHEN 2 THEN surname
+  WHEN 3 THEN concat('Sammlung ', surname, ' und Erben') WHEN 4 THEN concat('KUNSTHAUS ', firm, ' Veit AG') WHEN 5 THEN firm ELSE concat('Veit ', firm) END AS name
+  FROM (SELECT o_orderkey, concat('Zor', {SPELT.format('o_custkey % 75')}) AS surname, CASE o_custkey % 4 WHEN 0 THEN 'Anna' WHEN 1 THEN 'A.' WHEN 2 THEN 'Amalia' ELSE 'Berta Maria' END AS given, concat('Hax', {SPELT.format('o_custkey % 65')}) AS firm FROM {{orders}})"""
+
+
+@query("match_long_list", f"""WITH e AS ({LISTED.format(supplier='supplier')}), a AS ({ASKED.format(orders='orders')}),
+p AS (SELECT name, index, CASE WHEN form IN (2, 3) THEN 'surname_only' ELSE 'given_name_compatible' END AS basis, form < 2 AS confirmed FROM a JOIN e USING (surname) WHERE person AND (form IN (2, 3) OR form = 0 AND
+  (split_part(a.given, ' ', 1) = e.given OR a.given = 'A.' AND e.given LIKE 'A%' OR e.given = 'A.' AND a.given LIKE 'A%') OR form = 1 AND (a.given = e.given OR a.given = 'A.' AND e.given LIKE 'A%' OR e.given = 'A.' AND a.given LIKE 'A%'))),
+s AS (SELECT name, index, 'surname_only' AS basis, false AS confirmed FROM a JOIN e USING (surname) WHERE person AND form = 1 AND a.given = 'Berta Maria'),
+f AS (SELECT name, index, CASE form WHEN 4 THEN 'full_name' ELSE 'organisation_name' END AS basis, true AS confirmed FROM a JOIN e USING (firm) WHERE NOT person AND form IN (4, 5))
+SELECT * FROM p UNION SELECT * FROM s UNION SELECT * FROM f""")
+def match_long_list(spark, sf_dir):
+    listed = spark.sql(LISTED, supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    entries = listed.select("index", F.when(F.col("person"), F.concat_ws(", ", "surname", "given")).otherwise(F.concat_ws(" ", F.lit("Kunsthaus"), "firm", F.lit("Veit"))).alias("name"), F.array().cast("array<string>").alias("variants"), F.when(F.col("person"), "person").otherwise("organisation").alias("kind"))
+    asked = spark.sql(ASKED, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return match_names(asked, entries).select("name", "index", "basis", "confirmed")
+
+
 @query("consecutive_records", f"{CHAIN}, {PAIRS} SELECT source_ref, before_ref FROM pr WHERE k > 1")
 def consecutive(spark, sf_dir):
     from pyspark.sql import Window

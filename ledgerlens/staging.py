@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,3 +44,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Most rows of a small table that a join sends to every executor.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table, to be broadcast if a count says that it is small."""
+    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
