@@ -1,12 +1,20 @@
 """LIDO-XML: events of museum records to raw rows, with notes on the way.
 
-Files are parsed whole (a file is valid or rejected as one), each by one task,
-many side by side.  A task gives rows, problems and notes in one pass.
+Files are split at the ends of records, so that one large file is read by many
+tasks; a task holds one record at a time as a tree.  It gives rows, problems and
+notes in one pass, numbered inside its split, and the sizes of the splits before
+it make them numbers of the file.
+
+What stands outside the records (the wrapping element, the prolog) is looked at
+for each file by itself.  A file that is not just a wrap of records in UTF-8,
+or of which any record doesn't parse alone, is read whole by one task instead,
+and that reading's rows and problems count.
 """
 
 from __future__ import annotations
 
 import calendar
+import itertools
 import os
 import re
 import xml.etree.ElementTree as ET
@@ -18,8 +26,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold_text
 from ..model import CIRCA_MARGIN, FIELDS
+from ..numbering import numbered
+from ..staging import broadcast_if_small, staged
 from .lists import EventTypes, load_event_types
-from ..staging import staged
 from .records import typed, valid
 
 #: Marks a line that gives a field: capitals and this ending.
@@ -184,8 +193,26 @@ def object_fields(record, ref: str) -> dict:
     }
 
 
+def record_rows(record, file: str, label: str, types: EventTypes, order: int) -> Iterator[dict]:
+    """Rows, problems and notes of one record, each with its ``kind``; events
+    are numbered from ``order``.  A record without id has problems only."""
+    fields = object_fields(record, f"{file}: {label}")
+    sets = kids(record, "descriptiveMetadata", "eventWrap", "eventSet")
+    for pos, event in enumerate((e for s in sets if (e := kid(s, "event")) is not None), 1):
+        ref, notes = f"{file}:{fields['object_id']} event {pos}", []
+        try:
+            row = event_row(event, fields, ref, types, lambda kind, detail: notes.append((kind, detail)))  # noqa: B023
+            yield row | {"kind": "row", "source_ref": ref, "source_order": order}
+        except RowError as e:
+            yield {"kind": "problem", "detail": str(e)}
+        order += 1
+        for kind, detail in notes:
+            yield {"kind": kind, "source_ref": ref, "detail": detail, "source_order": order}
+    yield {"kind": "end", "source_order": order}
+
+
 def parse(content: bytes, file: str, types: EventTypes) -> Iterator[dict]:
-    """Rows, problems and notes of one file, each with its ``kind``."""
+    """Rows, problems and notes of one whole file."""
     try:
         root = ET.fromstring(content)
     except ET.ParseError as e:
@@ -194,26 +221,17 @@ def parse(content: bytes, file: str, types: EventTypes) -> Iterator[dict]:
     records = [root] if local(root.tag) == "lido" else [k for k in root if local(k.tag) == "lido"]
     if not records:
         yield {"kind": "problem", "detail": f"{file}: no lido elements"}
-    order = events = 0
+    order = 0
     for n, record in enumerate(records, 1):
         try:
-            fields = object_fields(record, f"{file}: record {n}")
+            for row in record_rows(record, file, f"record {n}", types, order):
+                if row["kind"] == "end":
+                    order = row["source_order"]
+                else:
+                    yield row
         except RowError as e:
             yield {"kind": "problem", "detail": str(e)}
-            continue
-        sets = kids(record, "descriptiveMetadata", "eventWrap", "eventSet")
-        for pos, event in enumerate((e for s in sets if (e := kid(s, "event")) is not None), 1):
-            events += 1
-            ref, notes = f"{file}:{fields['object_id']} event {pos}", []
-            try:
-                row = event_row(event, fields, ref, types, lambda kind, detail: notes.append((kind, detail)))  # noqa: B023
-                yield row | {"kind": "row", "source_ref": ref, "source_order": order}
-            except RowError as e:
-                yield {"kind": "problem", "detail": str(e)}
-            order += 1
-            for kind, detail in notes:
-                yield {"kind": kind, "source_ref": ref, "detail": detail, "source_order": order}
-    if records and not events:
+    if records and not order:
         yield {"kind": "problem", "detail": f"{file}: no events"}
 
 
@@ -223,23 +241,174 @@ COLUMNS = ["path", "kind", "detail", "source_ref", "source_order", *FIELDS]
 FILE_EVENTS = 1 << 32
 
 
-def read_events(spark: SparkSession, path: str, types: EventTypes) -> DataFrame:
-    """Rows, problems and notes of all files; ``source_order`` counts inside one."""
+def frame_of(rows: list[dict], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows).reindex(columns=columns).astype(object).where(lambda d: d.notna(), None)
+
+
+def read_whole(spark: SparkSession, paths: list[str], types: EventTypes) -> DataFrame:
+    """Files that are parsed whole, each by one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"]):
-                rows = list(parse(bytes(content), os.path.basename(file), types))
+                rows = [r | {"path": file} for r in parse(bytes(content), os.path.basename(file), types)]
                 if rows:
-                    yield pd.DataFrame(rows).assign(path=file).reindex(columns=COLUMNS).astype(object).where(lambda d: d.notna(), None)
+                    yield frame_of(rows, COLUMNS)
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, SCHEMA)
+
+
+# --- reading by records ------------------------------------------------------
+
+#: What start tags without attributes and end tags of records have in common.
+MARK = "lido>"
+#: What bytes become that are not UTF-8.
+BAD = "\ufffd"
+ENDED, BEGUN = re.compile(r"</(?:[\w.-]+:)?$"), re.compile(r"<(?:[\w.-]+:)?$")
+SILENT = re.compile(r"<!--(?:(?!--).)*-->|\s+", re.DOTALL)
+PREFIX = re.compile(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]")
+DECLARED = re.compile(r"xmlns:([\w.-]+)\s*=")
+ENCODING = re.compile(r"<\?xml[^>]*encoding\s*=\s*[\"']([^\"']+)")
+
+PIECE_COLUMNS = ["path", "block", "record", "kind", "detail", "source_ref", "source_order", *FIELDS]
+PIECE_SCHEMA = "path string, block bigint, record bigint, kind string, detail string, source_ref string, source_order bigint, " + ", ".join(f"{f} string" for f in FIELDS)
+
+
+def record_of(piece: str) -> tuple[str, str | None, set[str]]:
+    """(what stands before a record, the record or None, prefixes from outside).
+
+    A piece is what lies between two marks.  If an end tag stands at its end it
+    holds a record, whose start tag the mark before has taken unless it has
+    attributes.
+    """
+    if not (end := ENDED.search(piece)):
+        begun = BEGUN.search(piece)
+        return (piece[: begun.start()] if begun else piece), None, set()
+    prefix = end.group()[2:]
+    start = re.search(rf"<{re.escape(prefix)}lido(?=\s)", piece)
+    before, body = (piece[: start.start()], piece[start.start() :]) if start else ("", f"<{prefix}{MARK}{piece}")
+    used = set(PREFIX.findall(body)) - {"xml", "xmlns"}
+    return before, body + MARK, used - set(DECLARED.findall(body))
+
+
+def tree_of(record: str, prefixes: set[str]):
+    """The record as a tree; only local names are read, so any namespace will do."""
+    return ET.fromstring("<r" + "".join(f' xmlns:{p}="{p}"' for p in sorted(prefixes)) + f">{record}</r>")[0]
+
+
+def read_pieces(spark: SparkSession, path: str, types: EventTypes) -> DataFrame:
+    """Rows, problems and notes of every split's records; besides, for each split,
+    ``count`` (records and events), ``outside`` (what stands there), ``prefix``
+    (declared outside) and ``odd`` (a piece that isn't a record by itself)."""
+
+    def split(file: str, block: int, pieces: Iterator[str]) -> Iterator[dict]:
+        name, n, order, prefixes = os.path.basename(file), 0, 0, set()
+        for piece in pieces:
+            before, record, needed = record_of(piece)
+            if SILENT.sub("", before) or BAD in before:
+                yield {"kind": "outside", "detail": before, "record": n}
+            if record is None:
+                continue
+            n += 1
+            try:
+                if BAD in record:
+                    raise ET.ParseError("bytes that are not UTF-8")
+                for row in record_rows(tree_of(record, needed), name, "record", types, order):
+                    if row["kind"] == "end":
+                        order = row["source_order"]
+                    else:
+                        yield row | {"record": n}
+            except ET.ParseError:
+                yield {"kind": "odd", "record": n}
+            except RowError as e:
+                yield {"kind": "problem", "detail": str(e), "record": n, "source_order": -1}
+            for p in needed - prefixes:
+                yield {"kind": "prefix", "detail": p}
+            prefixes |= needed
+        yield {"kind": "count", "record": n, "source_order": order}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces = ((p, b, v) for batch in batches for p, b, v in zip(batch["path"], batch["block"], batch["value"]))
+        rows: list[dict] = []
+        for (file, block), group in itertools.groupby(pieces, key=lambda x: x[:2]):
+            for row in split(file, block, (v for _, _, v in group)):
+                rows.append(row | {"path": file, "block": block})
+                if len(rows) >= 5_000:
+                    yield frame_of(rows, PIECE_COLUMNS)
+                    rows = []
+        if rows:
+            yield frame_of(rows, PIECE_COLUMNS)
+
+    decoded = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    pieces = spark.read.option("lineSep", MARK).text(path).select(decoded.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.make_valid_utf8("value").alias("value"))
+    return pieces.mapInPandas(run, PIECE_SCHEMA)
+
+
+def regular(outside: list[str], records: int, prefixes: set[str]) -> bool:
+    """Whether a file is a wrap of records, or one record, and nothing else."""
+    if not records or len(outside) > 2:
+        return False
+    head = outside[0] if outside else ""
+    encoding = ENCODING.search(head)
+    if BAD in "".join(outside) or encoding and encoding[1].lower() not in ("utf-8", "utf8", "us-ascii") or "<!DOCTYPE" in head or prefixes - set(DECLARED.findall(head)):
+        return False
+    n = min(records, 2)
+    try:
+        root = ET.fromstring((head + "<lido/>" * n + "".join(outside[1:])).strip())
+    except ET.ParseError:
+        return False
+    return local(root.tag) == "lido" or [local(k.tag) for k in root] == ["lido"] * n
+
+
+def irregular_files(pieces: DataFrame) -> DataFrame:
+    """Paths of files that have to be read whole."""
+    is_kind = lambda k: F.col("kind") == k
+    found = pieces.where(F.col("kind").isin("count", "outside", "odd", "prefix")).groupBy("path").agg(
+        F.sum(F.when(is_kind("count"), F.col("record"))).alias("records"),
+        F.count_if(is_kind("odd")).alias("odd"),
+        F.count_if(is_kind("outside")).alias("n_outside"),
+        # the first and the last are all that a regular file has
+        F.min(F.when(is_kind("outside"), F.struct("block", "record", "detail"))).alias("first"),
+        F.max(F.when(is_kind("outside"), F.struct("block", "record", "detail"))).alias("last"),
+        F.collect_set(F.when(is_kind("prefix"), F.col("detail"))).alias("prefixes"),
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            odd = []
+            for r in batch.to_dict("records"):
+                outside = [r["first"], r["last"]][: r["n_outside"]] if r["n_outside"] <= 2 else [""] * 3
+                if r["odd"] or not regular(outside, r["records"], set(r["prefixes"])):
+                    odd.append(r["path"])
+            yield pd.DataFrame({"path": odd}, dtype=object)
+
+    texts = found.select("path", "records", "odd", "n_outside", F.col("first.detail").alias("first"), F.col("last.detail").alias("last"), "prefixes")
+    return texts.mapInPandas(run, "path string")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+
+def read_events(spark: SparkSession, path: str, types: EventTypes) -> DataFrame:
+    """Rows, problems and notes of all files; ``source_order`` counts inside one."""
+    pieces = staged(read_pieces(spark, path, types), "pieces")
+    odd = staged(irregular_files(pieces), "irregular_files")
+    in_order = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = pieces.where("kind = 'count'").select("path", "block", "record", "source_order")
+    # one row a split; the splits of a file are added up
+    before = staged(sizes.select("path", "block", *[F.coalesce(F.sum(c).over(in_order), F.lit(0)).alias(f"{c}s_before") for c in ("record", "source_order")]), "splits")
+    rows = pieces.where(~F.col("kind").isin("count", "outside", "odd", "prefix")).join(broadcast_if_small(before), ["path", "block"])
+    # a problem of the record itself names its number in the file
+    told = F.regexp_replace("detail", r"(?s)^(.*?): record: ", F.concat(F.lit("$1: record "), (F.col("records_before") + F.col("record")).cast("string"), F.lit(": ")))
+    rows = rows.withColumns({"detail": F.when((F.col("kind") == "problem") & (F.col("source_order") == -1), told).otherwise(F.col("detail")), "source_order": F.when(F.col("source_order") >= 0, F.col("source_orders_before") + F.col("source_order"))}).select(*COLUMNS)
+    totals = sizes.groupBy("path").agg(F.sum("record").alias("records"), F.sum("source_order").alias("events"))
+    empty = totals.where("records > 0 and events = 0").select("path", F.lit("problem").alias("kind"), F.concat(F.element_at(F.split("path", "/"), -1), F.lit(": no events")).alias("detail"))
+    rows = rows.unionByName(empty, allowMissingColumns=True)
+    whole = [r.path for r in odd.collect()]
+    return rows.join(F.broadcast(odd), "path", "left_anti").select(*COLUMNS).unionByName(read_whole(spark, whole, types)) if whole else rows
 
 
 def in_file_order(events: DataFrame) -> DataFrame:
-    """``source_order`` over all files, which count by path; only paths are sorted."""
-    files = events.select("path").distinct().withColumn("file", F.row_number().over(Window.orderBy("path")) - 1)
-    return events.join(files, "path").withColumn("source_order", F.col("file") * F.lit(FILE_EVENTS) + F.col("source_order")).drop("path", "file")
+    """``source_order`` over all files, which count by path; only paths are numbered."""
+    files = numbered(events.select("path").distinct(), "path", number="file")
+    return events.join(broadcast_if_small(files), "path").withColumn("source_order", F.col("file") * F.lit(FILE_EVENTS) + F.col("source_order")).drop("path", "file")
 
 
 NOTES = "source_order bigint, source_ref string, kind string, detail string"

@@ -1,5 +1,6 @@
 import pytest
 
+from ledgerlens.numbering import numbered
 from ledgerlens.sources import dispatch, lido
 from ledgerlens.plans.screening import screen
 from ledgerlens.sources.lists import load_config
@@ -91,3 +92,70 @@ def test_an_object_in_two_files(spark, tmp_path):
     assert [r.source_ref for r in rows] == ["a.xml:L1 event 1", "b.xml:L1 event 1", "b.xml:L1 event 2"] and len({r.source_order for r in rows}) == 3
     flags = screen(records, load_config()).flags.where("rule_id = 'PC-003'").collect()
     assert {f.source_ref for f in flags} >= {"a.xml:L1 event 1", "b.xml:L1 event 2", "b.xml:L1 event 1"}
+
+
+def prefixed(text):
+    return text.replace("</", "</lido:").replace("<", "<lido:").replace("<lido:/lido:", "</lido:").replace("<appellationValue pref", "<appellationValue lido:pref")
+
+
+def as_read(frame):
+    return sorted((tuple(r) for r in frame.select(*lido.COLUMNS).collect()), key=str)
+
+
+FILES = {
+    "plain.xml": f"<lidoWrap xmlns='http://www.lido-schema.org'>{''.join(record(event(), event(actors=''), ident=f'<lidoRecID>P{k}</lidoRecID>') for k in range(14))}</lidoWrap>",
+    "a+b c.xml": f"<?xml version='1.0' encoding='UTF-8'?>\n<!-- c -->\n<lido:lidoWrap xmlns:lido='x'>\n{' '.join(prefixed(record(event(), ident='' if k % 7 == 3 else f'<lidoRecID>Q{k}</lidoRecID>')) for k in range(12))}\n</lido:lidoWrap>\n",
+    "attributes.xml": f"<lidoWrap>{''.join(record(event(), event()).replace('<lido>', f'<lido n=\"{k}\">') for k in range(6))}<!-- </lido> gone --></lidoWrap>",
+    "mixed.xml": f"<lidoWrap>{record(event()).replace('<lido>', '<lido n=\"1\">')}<!-- between -->{record(event())}  {record(event()).replace('<lido>', '<lido >')}</lidoWrap>",
+    "single.xml": record(event()),
+    "none.xml": "<lidoWrap><other/></lidoWrap>",
+    "no_events.xml": f"<lidoWrap>{record()}{record()}</lidoWrap>",
+    "cut.xml": f"<lidoWrap>{record(event())}{record(event())}",
+    "two.xml": record(event()) * 2,
+    "open.xml": f"<lidoWrap>{record(event())}<lido><lidoRecID>x</lido></lidoWrap>",
+    "cdata.xml": f"<lidoWrap>{record(event(more='<eventDescriptionSet><descriptiveNoteValue><![CDATA[a </lido> b]]></descriptiveNoteValue></eventDescriptionSet>'))}</lidoWrap>",
+    "words.xml": f"<lidoWrap>{record(event(more='<eventDescriptionSet><descriptiveNoteValue>see lido> there</descriptiveNoteValue></eventDescriptionSet>'))}</lidoWrap>",
+    "nested.xml": f"<lidoWrap><group>{record(event())}</group>{record(event())}</lidoWrap>",
+    "entity.xml": f"<!DOCTYPE lidoWrap [<!ENTITY k 'K&#252;hn'>]><lidoWrap>{record(event(actors=ACTOR.format('&k;', 'b', 'Käufer')))}</lidoWrap>",
+    "unbound.xml": f"<lidoWrap>{record(event(more='<gml:x>1</gml:x>'))}</lidoWrap>",
+    "bound.xml": f"<lidoWrap xmlns:gml='g'>{record(event(more='<gml:x>1</gml:x>'))}{record(event(more='<z:x xmlns:z=\"q\">1</z:x>'))}</lidoWrap>",
+}
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("lido")
+    for name, text in FILES.items():
+        (folder / name).write_text(text, encoding="utf-8")
+    (folder / "latin.xml").write_text(f"<?xml version='1.0' encoding='ISO-8859-1'?><lidoWrap>{record(event())}</lidoWrap>", encoding="latin-1")
+    (folder / "wide.xml").write_text(f"<?xml version='1.0' encoding='UTF-16'?><lidoWrap>{record(event())}</lidoWrap>", encoding="utf-16")
+    (folder / "broken.xml").write_bytes(f"<lidoWrap>{record(event())}</lidoWrap>".encode("latin-1"))
+    return folder
+
+
+@pytest.mark.parametrize("size", ["1500", "128m"])
+def test_splits_read_as_whole_files(spark, folder, size):
+    """Rows, problems and notes in their order, wherever a file is split."""
+    types = lido.load_event_types()
+    whole = as_read(lido.read_whole(spark, [str(folder)], types))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        assert spark.read.option("lineSep", lido.MARK).text(str(folder / "plain.xml")).rdd.getNumPartitions() > (8 if size == "1500" else 0)
+        assert as_read(lido.read_events(spark, str(folder), types)) == whole
+        pieces = lido.read_pieces(spark, str(folder), types)
+        odd = {r.path.rpartition("/")[2] for r in lido.irregular_files(pieces).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert not odd & {"plain.xml", "a+b c.xml", "mixed.xml", "single.xml", "no_events.xml", "bound.xml"}
+    assert odd >= {"none.xml", "cut.xml", "two.xml", "open.xml", "cdata.xml", "nested.xml", "entity.xml", "unbound.xml", "latin.xml", "wide.xml", "broken.xml"}
+
+
+def test_files_are_numbered_without_one_task_for_all(spark):
+    paths = [f"f{k:04}" for k in range(2_000)]
+    events = spark.createDataFrame([(p, k) for p in reversed(paths) for k in (1, 0)], "path string, source_order long").repartition(7)
+    out = lido.in_file_order(events)
+    assert [r.source_order for r in out.orderBy("source_order").collect()] == [f * lido.FILE_EVENTS + k for f in range(2_000) for k in (0, 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" not in plan
+    assert numbered(spark.createDataFrame([], "path string"), "path").collect() == []
