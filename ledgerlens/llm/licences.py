@@ -111,7 +111,9 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-UNITS = "array<struct<unit:int,start:int,of:int,grams:array<string>>>"
+UNITS = "array<struct<unit:int,grams:array<string>>>"
+#: Added to the first word of a window, which may lie before the text.
+BEFORE = 1 << 20
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,38 +133,51 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
     any_word = listed(sorted({max(g.split(" "), key=lambda w: (len(w), w)) for g, *_ in places} | {g for s in sets for g in s if " " not in g}))
     telling = listed(sorted({g for g, *_ in places}))
     table = F.array(*[F.struct(F.lit(g).alias("gram"), F.lit(k).alias("of"), F.lit(at).alias("at"), F.lit(n).alias("words")) for g, k, at, n in places])
-    known = F.array(*[F.struct(listed(g).alias("grams"), F.lit(len(g)).alias("b"), F.lit(licence).alias("licence"), F.lit(name).alias("template"), F.lit(k).alias("of")) for k, (g, name, (licence, _)) in enumerate(zip(sets, template_names(templates), templates))])
+    known = F.array(*[F.struct(listed(g).alias("grams"), F.lit(len(g)).alias("b"), F.lit(licence).alias("licence"), F.lit(name).alias("template"), F.lit(k).alias("of"), F.lit(len(re.findall(WORD, text.lower()))).alias("words")) for k, (g, name, (licence, text)) in enumerate(zip(sets, template_names(templates), templates))])
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), words_of(text).alias("words"))
     maybe = F.arrays_overlap("words", any_word)
     rows = rows.select("doc_id", F.when(maybe, F.col("text")).alias("text"), F.when(maybe, F.col("words")).alias("words"))
 
-    unit = lambda number, start, of, grams: F.struct(number.cast("int").alias("unit"), start.cast("int").alias("start"), of.cast("int").alias("of"), F.array_distinct(grams).alias("grams"))
-    null = F.lit(None)
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, k: unit(k + 1, null, null, bigrams(words_of(x)))), lambda u: F.size(u["grams"]) > 0)
+    unit = lambda number, grams: F.struct(number.cast("int").alias("unit"), F.array_distinct(grams).alias("grams"))
+    null = F.lit(None).cast("int")
+
+    def tried(t: Column, grams: Column, number: Column, start: Column) -> Column:
+        """How a set of bigrams compares with a template."""
+        a = F.size(grams)
+        return _let(F.size(F.array_intersect(grams, t["grams"])), lambda s: F.struct((F.lit(2.0) * s / (a + t["b"])).alias("dice"), number.isNotNull().alias("whole"), (-F.coalesce(number, start)).alias("before"), (-t["of"]).alias("first"), number.alias("unit"), start.alias("start"), s.alias("shared"), t["licence"].alias("licence"), t["template"].alias("template"), (200 * s >= least * (a + t["b"])).alias("match")))
+
+    def best_of(u: Column) -> Column:
+        """A unit's best template: highest Dice, then the first."""
+        a = F.size(u["grams"])
+        bound = lambda t: (a * (200 - least) >= least * t["b"]) & (a * least <= (200 - least) * t["b"])
+        return F.array_max(F.filter(F.transform(F.filter(known, bound), lambda t: tried(t, u["grams"], u["unit"], null)), lambda t: t["match"]))
+
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, k: unit(k + 1, bigrams(words_of(x)))), lambda u: F.size(u["grams"]) > 0)
     # the whole text's bigrams are only worth having if no line is far too long
-    whole = lambda found: F.when((F.size(found) > 1) & (F.array_max(F.transform(found, lambda u: F.size(u["grams"]))) <= high), F.array(unit(F.lit(0), null, null, bigrams(F.col("words"))))).otherwise(F.array().cast(UNITS))
+    whole = lambda found: F.when((F.size(found) > 1) & (F.array_max(F.transform(found, lambda u: F.size(u["grams"]))) <= high), F.array(unit(F.lit(0), bigrams(F.col("words"))))).otherwise(F.array().cast(UNITS))
     sized = _let(lines, lambda found: F.filter(F.concat(found, whole(found)), lambda u: (F.size(u["grams"]) >= low) & (F.size(u["grams"]) <= high) & F.arrays_overlap(u["grams"], any_bigram)))
 
     def windows(grams: Column) -> Column:
-        numbered = F.filter(F.transform(grams, lambda g, p: F.struct(g.alias("gram"), p.alias("p"))), lambda g: F.array_contains(telling, g["gram"]))
-        laid = F.flatten(F.transform(numbered, lambda g: F.transform(F.filter(table, lambda e: e["gram"] == g["gram"]), lambda e: F.struct(e["of"].alias("of"), F.greatest(g["p"] - e["at"], F.lit(0)).alias("from"), (g["p"] - e["at"] + e["words"] - 1).alias("to"), (g["p"] - e["at"]).alias("start")))))
-        return F.transform(F.array_distinct(laid), lambda w: unit(null, w["start"], w["of"], F.slice(grams, w["from"] + 1, w["to"] - w["from"])))
-
-    rows = rows.select("doc_id", F.when(F.col("text").isNotNull(), F.concat(sized, _let(bigrams(F.col("words")), windows))).alias("units"))
+        """What the windows that telling bigrams lay have in common with their templates.
 
-    def compared(u: Column) -> Column:
-        """The unit's best template: highest Dice, then the first."""
-        a = F.size(u["grams"])
-        bound = lambda t: F.when(u["of"].isNull(), (a * (200 - least) >= least * t["b"]) & (a * least <= (200 - least) * t["b"])).otherwise(t["of"] == u["of"])
+        A window is one number of its start and its template, so that equal ones
+        are found by hashing; its bigrams are cut out as it is compared and go
+        with it, so that a long text's windows never lie side by side.
+        """
+        laid = lambda g, p: F.when(F.array_contains(telling, g), F.transform(F.filter(table, lambda e: e["gram"] == g), lambda e: (p - e["at"] + BEFORE).cast("bigint") * len(templates) + e["of"]))
+        keys = F.array_distinct(F.flatten(F.array_compact(F.transform(grams, laid))))
 
-        def tried(t: Column) -> Column:
-            return _let(F.size(F.array_intersect(u["grams"], t["grams"])), lambda s: F.struct((F.lit(2.0) * s / (a + t["b"])).alias("dice"), u["unit"].isNotNull().alias("whole"), (-F.coalesce(u["unit"], u["start"])).alias("before"), (-t["of"]).alias("first"), u["unit"].alias("unit"), u["start"].alias("start"), s.alias("shared"), t["licence"].alias("licence"), t["template"].alias("template"), (200 * s >= least * (a + t["b"])).alias("match")))
+        def compared(key: Column) -> Column:
+            start = (F.floor(key / len(templates)) - BEFORE).cast("int")
+            cut = lambda t: F.array_distinct(F.slice(grams, F.greatest(start, F.lit(0)) + 1, start + t["words"] - 1 - F.greatest(start, F.lit(0))))
+            return _let(F.get(known, (key % len(templates)).cast("int")), lambda t: _let(cut(t), lambda own: F.when(F.size(own) * (200 - least) >= least * t["b"], tried(t, own, null, start))))
 
-        return F.array_max(F.filter(F.transform(F.filter(known, bound), tried), lambda t: t["match"]))
+        return F.filter(F.transform(keys, compared), lambda t: F.coalesce(t["match"], F.lit(False)))
 
-    out = rows.select("doc_id", F.when(F.size("units") > 0, F.array_compact(F.transform("units", compared))).alias("found"))
+    found = F.concat(F.array_compact(F.transform(sized, best_of)), _let(bigrams(F.col("words")), windows))
+    out = rows.select("doc_id", F.when(F.col("text").isNotNull(), found).alias("found"))
     number = lambda whole: F.coalesce(F.size(F.filter("found", lambda t: t["whole"] == whole)), F.lit(0)).cast("bigint")
     best = F.array_max("found")
     return out.select(

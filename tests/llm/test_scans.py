@@ -107,3 +107,14 @@ def test_telling_bigrams_miss_no_match():
 
 def test_empty_tables(none):
     assert secrets.scan(none).count() == 0 and licences.scan(none).count() == 0
+
+
+def test_a_text_full_of_one_notice(spark):
+    """Windows are linear in the text: 1 MB of a notice takes seconds, not an hour."""
+    notice, n = "licensed under the apache license version 2 0 ", 20_000
+    frame = spark.createDataFrame([(1, notice * n), (2, "-" + notice * 50 + "\n" + notice)], "doc_id long, text string")
+    licences.scan(frame.where("doc_id = 2")).collect()
+    began = time.monotonic()
+    got = {r.doc_id: r for r in licences.scan(frame).collect()}
+    assert time.monotonic() - began < 60
+    assert (got[1].n_windows, got[1].dice, got[1].start) == (n, 1.0, 0) and (got[2].n_windows, got[2].n_units, got[2].unit) == (51, 3, 2)
