@@ -15,7 +15,7 @@ import json
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import certainly_before, describe, overlap_certainty
@@ -261,11 +261,11 @@ def list_hits(records: DataFrame, names: NameList) -> DataFrame:
     """A row for each (record, entry): the first of the record's names that
     matches, with ``hit`` and ``hit_seq`` in the order of names and entries.
 
-    Matching sees distinct names; the answer joins back by name, and the record's
-    values are only read for records that have one.  Flags, notes and citations
-    read the result.
+    Matching sees distinct names; the answer joins back by name.  ``records`` are
+    read twice, so they should be staged; of them only what the rules cite is read.
+    Flags, notes and citations read the result.
     """
-    read = staged(records.select(*HIT_RECORD, "names"), "named_records")
+    read = records.select(*HIT_RECORD, "names")
     found = staged(match_names(read.select(F.explode("names").alias("name")), names.matching), "matched_names")
     found = broadcast_if_small(found.select("name", F.struct("index", "basis", "kind", "confirmed", "note").alias("hit")))
     each = read.select(*HIT_RECORD, F.posexplode("names").alias("name_pos", "name"))
@@ -404,8 +404,7 @@ def pc008(records: DataFrame) -> tuple[list, list]:
 def pc009(records: DataFrame, cfg: Config) -> tuple[list, list]:
     """A border crossed without a recorded export licence."""
     start, end = EXPORT_WINDOW
-    dated = Window.partitionBy("object_id").orderBy("rn")
-    pairs = records.where("is_dated").withColumn("before", F.lag(F.struct("source_ref", "location", "country")).over(dated)).where("before is not null and not resolved")
+    pairs = records.where("previous is not null and not resolved").withColumn("before", F.col("previous"))
     origin, here = F.col("before.country"), F.col("country")
     unlocated = pairs.where("before.country is null or country is null")
     moved = pairs.where(origin.isNotNull() & here.isNotNull() & (normalise(origin) != normalise(here)))

@@ -112,7 +112,8 @@ COUNTRY = "trim(list_last(string_split({0}, ',')))"
 
 def found_by(spark, sf_dir, rule, which=slice(None), channel: int = 0) -> DataFrame:
     """A rule's flags (or what else it returns) over the derived records."""
-    rows = rich(spark, sf_dir)
+    # the rules of the lists read the records more than once
+    rows = staged(rich(spark, sf_dir), "records") if rule in (rules.pc005, rules.nm001) else rich(spark, sf_dir)
     given = (rows, CFG)[: rule.__code__.co_argcount]
     return rules.together(rows, rule(*given)[channel][which])
 
@@ -273,10 +274,7 @@ def match_long_list(spark, sf_dir):
 
 @query("consecutive_records", f"{CHAIN}, {PAIRS} SELECT source_ref, before_ref FROM pr WHERE k > 1")
 def consecutive(spark, sf_dir):
-    from pyspark.sql import Window
-
-    dated = chains.in_chain_order(records(spark, sf_dir)).where("is_dated")
-    return dated.withColumn("before_ref", F.lag("source_ref").over(Window.partitionBy("object_id").orderBy("rn"))).where("before_ref is not null").select("source_ref", "before_ref")
+    return chains.with_chain(records(spark, sf_dir)).select("source_ref", F.col("previous.source_ref").alias("before_ref")).where("before_ref is not null")
 
 
 # --- names and texts -------------------------------------------------------
