@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fold_text
 from ..model import CIRCA_MARGIN, FIELDS
 from ..numbering import numbered
-from ..staging import broadcast_if_small, staged
+from ..staging import staged
 from .lists import EventTypes, load_event_types
 from .records import typed, valid
 
@@ -389,26 +389,25 @@ def irregular_files(pieces: DataFrame) -> DataFrame:
 def read_events(spark: SparkSession, path: str, types: EventTypes) -> DataFrame:
     """Rows, problems and notes of all files; ``source_order`` counts inside one."""
     pieces = staged(read_pieces(spark, path, types), "pieces")
-    odd = staged(irregular_files(pieces), "irregular_files")
+    whole = [r.path for r in irregular_files(pieces).collect()]
     in_order = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = pieces.where("kind = 'count'").select("path", "block", "record", "source_order")
     # one row a split; the splits of a file are added up
-    before = staged(sizes.select("path", "block", *[F.coalesce(F.sum(c).over(in_order), F.lit(0)).alias(f"{c}s_before") for c in ("record", "source_order")]), "splits")
-    rows = pieces.where(~F.col("kind").isin("count", "outside", "odd", "prefix")).join(broadcast_if_small(before), ["path", "block"])
+    before = sizes.select("path", "block", *[F.coalesce(F.sum(c).over(in_order), F.lit(0)).alias(f"{c}s_before") for c in ("record", "source_order")])
+    rows = pieces.where(~F.col("kind").isin("count", "outside", "odd", "prefix")).join(before, ["path", "block"])
     # a problem of the record itself names its number in the file
     told = F.regexp_replace("detail", r"(?s)^(.*?): record: ", F.concat(F.lit("$1: record "), (F.col("records_before") + F.col("record")).cast("string"), F.lit(": ")))
     rows = rows.withColumns({"detail": F.when((F.col("kind") == "problem") & (F.col("source_order") == -1), told).otherwise(F.col("detail")), "source_order": F.when(F.col("source_order") >= 0, F.col("source_orders_before") + F.col("source_order"))}).select(*COLUMNS)
     totals = sizes.groupBy("path").agg(F.sum("record").alias("records"), F.sum("source_order").alias("events"))
     empty = totals.where("records > 0 and events = 0").select("path", F.lit("problem").alias("kind"), F.concat(F.element_at(F.split("path", "/"), -1), F.lit(": no events")).alias("detail"))
     rows = rows.unionByName(empty, allowMissingColumns=True)
-    whole = [r.path for r in odd.collect()]
-    return rows.join(F.broadcast(odd), "path", "left_anti").select(*COLUMNS).unionByName(read_whole(spark, whole, types)) if whole else rows
+    return rows.where(~F.col("path").isin(whole)).select(*COLUMNS).unionByName(read_whole(spark, whole, types)) if whole else rows
 
 
 def in_file_order(events: DataFrame) -> DataFrame:
     """``source_order`` over all files, which count by path; only paths are numbered."""
     files = numbered(events.select("path").distinct(), "path", number="file")
-    return events.join(broadcast_if_small(files), "path").withColumn("source_order", F.col("file") * F.lit(FILE_EVENTS) + F.col("source_order")).drop("path", "file")
+    return events.join(files, "path").withColumn("source_order", F.col("file") * F.lit(FILE_EVENTS) + F.col("source_order")).drop("path", "file")
 
 
 NOTES = "source_order bigint, source_ref string, kind string, detail string"
