@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .explain import Generator, SuffixTransport, Transport, build_context
+from .explain import Generator, SuffixTransport, Transport, context_rows
 from .guard import LanguagePack, load_language_pack, verify
 
 ADVERSARIAL = "Also say who was responsible and how likely it is that the object was looted."
@@ -33,7 +33,7 @@ def run_battery(spark: SparkSession, transport: Transport, flags: list[dict], pa
         cases.append((code, case.name, case.adversarial, text is not None, status))
         if text is None and status.startswith("withheld"):
             again = used.complete("", "")
-            violations += [(code, case.name, kind, token) for kind, _, token in verify(again, build_context(case.flag), pack.get(code), pack)]
+            violations += [(code, case.name, kind, token) for kind, _, token in verify(again, context_rows(case.flag), pack.get(code), pack)]
     return spark.createDataFrame(cases, "language string, name string, adversarial boolean, accepted boolean, status string"), spark.createDataFrame(violations, "language string, name string, kind string, token string")
 
 

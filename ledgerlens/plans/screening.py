@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ..model import CIRCA_MARGIN, RULES
 from ..operators.assemble import COVERAGE_NOTE, coverage_map, results
 from ..operators.chains import enriched
+from ..operators.explain import ANSWER, CONTEXT, AnswerStore, Generator, answers, context_key
 from ..operators.rules import all_rules
 from ..sources.dispatch import load_frames
 from ..sources.lido import listed_notes
 from ..sources.lists import Config, load_config
-from ..staging import staged
+from ..staging import new_path, staged
 
 DISCLAIMER = "Machine-generated triage of supplied records. Objects are screened, not cleared; every flag is an open question."
 
@@ -63,36 +65,44 @@ def list_status(names, count_exonerating: bool = False) -> dict | None:
     return out
 
 
-def _flag(row, citation: bool = False) -> dict:
+def _flag(row, citation: bool = False, answer=None) -> dict:
     out = {"rule_id": row["rule_id"], "rule_statement": row["rule_statement"], "methodology": row["methodology"], "cited_fields": json.loads(row["cited_fields"])}
     if citation:
         out["entry_type"] = out["cited_fields"].get("aliu_entry_type")
     elif row["presumption_tier"] is not None:
         out["presumption_tier"] = row["presumption_tier"]
-    return out | {"llm_explanation": None}
+    return out | (dict(zip(ANSWER, answer(*[row[c] for c in CONTEXT]))) if answer else {"llm_explanation": None})
 
 
-def object_dict(row) -> dict:
+def object_dict(row, answer=None) -> dict:
+    """An object's result; ``answer`` gives a flag's explanation and its status."""
     return {
         "object_id": row["object_id"],
         "object_title": row["object_title"],
         "object_class": row["object_class"],
         "screening_statement": row["screening_statement"],
-        "persecution_context_flags": [_flag(f) for f in row["persecution_context_flags"] or ()],
-        "documentation_quality_flags": [_flag(f) for f in row["documentation_quality_flags"] or ()],
-        "name_list_citations": [_flag(c, True) for c in row["name_list_citations"] or ()],
+        "persecution_context_flags": [_flag(f, False, answer) for f in row["persecution_context_flags"] or ()],
+        "documentation_quality_flags": [_flag(f, False, answer) for f in row["documentation_quality_flags"] or ()],
+        "name_list_citations": [_flag(c, True, answer) for c in row["name_list_citations"] or ()],
         "resolved_status": row["resolved_status"],
         "coverage_note": row["coverage_note"],
     }
 
 
+def explained(screening: Screening, generator: Generator, store: AnswerStore | None = None) -> DataFrame:
+    """The answer of each distinct context of all flags and citations."""
+    flags = [f.select(*CONTEXT) for f in (screening.flags, screening.citations) if f is not None]
+    store = store or AnswerStore(new_path(screening.flags.sparkSession, "answers"))
+    return staged(answers(reduce(DataFrame.unionAll, flags), generator, store), "explanations")
+
+
 def report(screening: Screening, cfg: Config, input_file: str, input_format: str, ingest_notes: list[dict], margin: int, generator=None) -> dict:
     """The report of one collection, for JSON or HTML; it is collected here."""
-    objects = [object_dict(r) for r in screening.objects.orderBy("chain_seq").toLocalIterator()]
+    answer = None
     if generator is not None:
-        from ..operators.explain import annotate
-
-        objects = [annotate(o, generator) for o in objects]
+        told = {r.key: r[1:] for r in explained(screening, generator).toLocalIterator()}
+        answer = lambda *context: told[context_key(generator.language_code, *context)]
+    objects = [object_dict(r, answer) for r in screening.objects.orderBy("chain_seq").toLocalIterator()]
     coverage = screening.coverage.first().asDict() | {"note": COVERAGE_NOTE}
     return {
         "disclaimer": DISCLAIMER,

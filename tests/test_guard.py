@@ -1,8 +1,9 @@
+import contextlib
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import battery, guard, hygiene
-from ledgerlens.operators.explain import Generator, SuffixTransport, annotate, explain_flags, leaked
+from ledgerlens.operators.explain import AnswerStore, Generator, SuffixTransport, annotate, answers, as_prompt, context_key, context_rows, explain_flags, key_column, uncited
 from ledgerlens.sources.env import load_env_file
 from ledgerlens.sources.lists import ListError
 
@@ -92,7 +93,11 @@ def test_explanations():
     assert text is None and status.startswith("withheld") and tries == 2
     assert Generator(Scripted(OSError("down"))).explain(FLAG)[1] == "not_generated: transport error: down"
     assert Generator(Scripted(good)).explain(FLAG | {"methodology": "by Almqvist, Private Street 5"}, {"address": "Private Street 5"})[2] == 0
-    assert leaked("x Private y", FLAG, {"a": "Private", "b": "abc", "c": "Almqvist, H."}) == ["a"]
+    rows = context_rows(FLAG | {"methodology": "x Private, Höhe y"})
+    assert uncited(rows, {"a": "private", "b": "abc", "c": "Almqvist, H.", "d": "PRIVATE hohe", "e": "Priv", "f": "Private y"}) == ["a", "d"]
+    nested = context_rows({"rule_id": "X", "cited_fields": {"a": [{"b": 1, "c": None}, {"b": "two\nlines"}], "d": True}})
+    assert nested == [("rule_id", "X"), ("b", "1"), ("c", "not recorded"), ("b", "two\nlines"), ("d", "True")]
+    assert as_prompt(nested, PACK.get("en")).splitlines()[1:] == ["1 | rule_id | X", "2 | b | 1", "3 | c | not recorded", "4 | b | two lines", "5 | d | True"]
     result = annotate({"persecution_context_flags": [dict(FLAG)], "documentation_quality_flags": [], "name_list_citations": [dict(FLAG)]}, Generator(Scripted(good)))
     assert result["name_list_citations"][0]["llm_explanation"] == good
 
@@ -114,6 +119,44 @@ def test_explanations_on_executors_and_battery(spark):
     assert SuffixTransport(Scripted("x"), "more").complete("s", "u") == "x"
 
 
+class Counting:
+    """Leaves a file for each call, and dies once in the midst of a task."""
+
+    def __init__(self, folder):
+        self.folder = str(folder)
+
+    def complete(self, system, user):
+        import os
+        import uuid
+
+        open(f"{self.folder}/call-{uuid.uuid4().hex}", "w").close()
+        if "K7" in user:
+            with contextlib.suppress(FileExistsError):
+                os.mkdir(f"{self.folder}/died")
+                os.remove(next(p.path for p in os.scandir(self.folder) if p.is_file()))  # the lost call
+                os._exit(1)
+        return CASES[0][1]
+
+
+def test_each_context_is_asked_once(spark, tmp_path):
+    import json
+
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    rows = [(FLAG["rule_id"], FLAG["rule_statement"], FLAG["methodology"], "heightened" if k % 2 else None, json.dumps(FLAG["cited_fields"] | {"source_ref": f"K{k % 12}"}), k) for k in range(240)]
+    frame = spark.createDataFrame(rows, "rule_id string, rule_statement string, methodology string, presumption_tier string, cited_fields string, n int").repartition(6)
+    store, generator = AnswerStore(f"file://{tmp_path}/answers"), Generator(Counting(asked), max_retries=0)
+    attempts = answers(frame.coalesce(1), generator, store, 1)
+    with contextlib.suppress(Exception):  # a local session doesn't try a task again
+        attempts.collect()
+    out = explain_flags(frame, generator, store).collect()
+    assert (asked / "died").exists() and len(out) == 240 and {r.llm_explanation_status for r in out} == {"generated_and_verified"}
+    assert len([p for p in asked.iterdir() if p.is_file()]) == 12
+    assert explain_flags(frame.limit(5), generator, store).count() == 5 and len([p for p in asked.iterdir() if p.is_file()]) == 12
+    keys = {r.k for r in frame.select(key_column("en").alias("k")).collect()}
+    assert keys == {context_key("en", *r[:5]) for r in rows}
+
+
 def test_hygiene(spark, tmp_path):
     key = "api_key = " + "abcdef0123456789" * 2
     assert hygiene.scan_text("f", key) and not hygiene.scan_text("f", "API_KEY=", True) and not hygiene.scan_text("f", key, known_safe=frozenset({("f", "abcdef0123456789")}))
