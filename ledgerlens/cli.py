@@ -11,12 +11,17 @@ from pathlib import Path
 from .model import CIRCA_MARGIN
 from .operators.explain import Generator, HttpTransport, Settings
 from .plans.html import render
+from .plans.parts import write_parts
 from .plans.screening import report, screen_file, write
 from .sources.lido import listed_notes
 from .sources.lists import DATA, ListError, load_config
 from .sources.records import InputError
 
 
+#: Ingest notes that a report in parts lists; --parquet has all of them.
+MOST_NOTES = 1_000
+
+
 def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="ledgerlens", description=__doc__)
     p.add_argument("input")
@@ -24,6 +29,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--out", help="JSON report")
     p.add_argument("--html", help="HTML report")
     p.add_argument("--parquet", help="folder for flags, objects, citations and coverage as tables; without --out or --html nothing is collected")
+    p.add_argument("--parts", help="folder for the report in parts (JSON lines and HTML pages), written by the tasks; nothing is collected for it")
     p.add_argument("--onset-table", default=DATA / "onset_table.json")
     p.add_argument("--circa-margin-years", type=int, default=CIRCA_MARGIN)
     p.add_argument("--anonymous-patterns", default=DATA / "anonymous_patterns.json")
@@ -57,8 +63,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         screening, notes, fmt = screen_file(spark, args.input, cfg, args.format, args.circa_margin_years)
         if args.parquet:
             write(screening, args.parquet, notes)
-            if not args.out and not args.html:
-                return 0
+        if args.parts:
+            write_parts(screening, cfg, args.parts, args.input, fmt, listed_notes(notes, MOST_NOTES), args.circa_margin_years)
+        if (args.parquet or args.parts) and not args.out and not args.html:
+            return 0
         result = report(screening, cfg, args.input, fmt, listed_notes(notes), args.circa_margin_years, generator)
     except (InputError, ListError, ValueError) as e:
         print(e, file=sys.stderr)

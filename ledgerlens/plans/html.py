@@ -14,8 +14,9 @@ def embedded(data: dict) -> str:
     return json.dumps(data, ensure_ascii=False).replace("</", "<\\/").replace("<!--", "\\u003c!--")
 
 
-def render(data: dict, template=TEMPLATE) -> str:
-    text = Path(template).read_text(encoding="utf-8")
+def render(data: dict, template=TEMPLATE, text: str | None = None) -> str:
+    """``text``: the template itself, for tasks that have no file of it."""
+    text = Path(template).read_text(encoding="utf-8") if text is None else text
     if SENTINEL not in text:
         raise ValueError(f"{template}: no place for the data ({SENTINEL})")
     return text.replace(SENTINEL, embedded(data))

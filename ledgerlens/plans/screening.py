@@ -96,13 +96,8 @@ def explained(screening: Screening, generator: Generator, store: AnswerStore | N
     return staged(answers(reduce(DataFrame.unionAll, flags), generator, store), "explanations")
 
 
-def report(screening: Screening, cfg: Config, input_file: str, input_format: str, ingest_notes: list[dict], margin: int, generator=None) -> dict:
-    """The report of one collection, for JSON or HTML; it is collected here."""
-    answer = None
-    if generator is not None:
-        told = {r.key: r[1:] for r in explained(screening, generator).toLocalIterator()}
-        answer = lambda *context: told[context_key(generator.language_code, *context)]
-    objects = [object_dict(r, answer) for r in screening.objects.orderBy("chain_seq").toLocalIterator()]
+def header(screening: Screening, cfg: Config, input_file: str, input_format: str, ingest_notes: list[dict], margin: int, generator=None) -> dict:
+    """What a report says beside its objects."""
     coverage = screening.coverage.first().asDict() | {"note": COVERAGE_NOTE}
     return {
         "disclaimer": DISCLAIMER,
@@ -119,10 +114,19 @@ def report(screening: Screening, cfg: Config, input_file: str, input_format: str
         "criteria_screened": list(RULES),
         "criteria_not_run": [{"rule_id": r, "reason": why} for r, why in sorted(cfg.unavailable.items())],
         "coverage_map": coverage,
-        "objects": objects,
     }
 
 
+def report(screening: Screening, cfg: Config, input_file: str, input_format: str, ingest_notes: list[dict], margin: int, generator=None) -> dict:
+    """The report of one collection, for JSON or HTML; it is collected here."""
+    answer = None
+    if generator is not None:
+        told = {r.key: r[1:] for r in explained(screening, generator).toLocalIterator()}
+        answer = lambda *context: told[context_key(generator.language_code, *context)]
+    objects = [object_dict(r, answer) for r in screening.objects.orderBy("chain_seq").toLocalIterator()]
+    return header(screening, cfg, input_file, input_format, ingest_notes, margin, generator) | {"objects": objects}
+
+
 def screen_file(spark: SparkSession, path: str, cfg: Config, input_format: str | None = None, margin: int = CIRCA_MARGIN) -> tuple[Screening, DataFrame, str]:
     """(frames, ingest notes, format): read, validate (the whole input or nothing), screen."""
     records, notes, fmt = load_frames(spark, path, input_format, margin)

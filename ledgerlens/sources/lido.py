@@ -424,9 +424,10 @@ def load_frames(spark: SparkSession, path: str, margin: int = CIRCA_MARGIN, type
     return records, events.where("kind not in ('row', 'problem')").select("source_order", "source_ref", "kind", "detail")
 
 
-def listed_notes(notes: DataFrame) -> list[dict]:
-    """The notes of one collection, for its report."""
-    return [r.asDict() for r in notes.orderBy("source_order", "kind").select("source_ref", "kind", "detail").collect()]
+def listed_notes(notes: DataFrame, most: int | None = None) -> list[dict]:
+    """The notes of one collection, or the first of them, for its report."""
+    found = notes.orderBy("source_order", "kind")
+    return [r.asDict() for r in (found if most is None else found.limit(most)).select("source_ref", "kind", "detail").collect()]
 
 
 def load_records(spark: SparkSession, path: str, margin: int = CIRCA_MARGIN, types: EventTypes | None = None) -> tuple[DataFrame, list[dict]]:

@@ -367,3 +367,20 @@ def test_sql_functions(spark):
     register_functions(spark)
     r = spark.sql("SELECT prov_fold('Wien, Österreich') AS f, prov_normalise('A.-B') AS n, prov_date_span('1938-02').latest AS d, prov_match_name('Dorotheum', 'actors') AS m, prov_verify_text('It was looted.', '{}', 'en') AS v").first()
     assert r.f == "wien, osterreich" and r.n == "a b" and str(r.d) == "1938-02-28" and "Dorotheum" in r.m and "asserted_a_finding" in r.v
+
+
+def test_a_report_in_parts(spark, collection, tmp_path):
+    """Joined, it is the report; pages hold every object once."""
+    from ledgerlens.plans.parts import joined, write_parts
+
+    args = ("in.csv", "csv", [{"source_ref": "r", "kind": "k", "detail": "d"}], 5)
+    whole = report(collection, CFG, *args)
+    footer = write_parts(collection, CFG, str(tmp_path / "out"), *args, page=4)
+    parts = json.loads("".join(joined(str(tmp_path / "out"))))
+    assert parts | {"generated_at": None} == whole | {"generated_at": None} and len(whole["objects"]) == len(GOLDEN)
+    pages = sorted((tmp_path / "out" / "pages").glob("page-*.html"))
+    assert footer == {"objects": len(GOLDEN), "pages": len(pages), "objects_on_a_page": 4} and len(pages) == -(-len(GOLDEN) // 4)
+    held = [json.loads(p.read_text(encoding="utf-8").partition('id="data">')[2].partition("</script>")[0].replace("<\\/", "</")) for p in pages]
+    assert [o for h in held for o in h["objects"]] == whole["objects"] and [h["page"] for h in held] == list(range(len(pages)))
+    index = (tmp_path / "out" / "index.html").read_text(encoding="utf-8")
+    assert all(f"pages/{p.name}" in index for p in pages)
