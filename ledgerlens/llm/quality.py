@@ -1,17 +1,22 @@
 """Quality rules with risk-controlled thresholds; DataFrame functions only.
 
 Each rule compares one measure of a text with a cutoff.  Cutoffs come from a
-fixed grid, so they don't depend on the labels.  For every stratum and rule the
-cutoffs are tried from the most lenient one on: of the labelled good documents
-of the stratum (the holdout) it counts those that the cutoff would reject, and
-the exact binomial tail says how likely so few rejections were if the true rate
-of false rejections were ``alpha / rules``.  The strictest cutoff whose tail,
-and that of all more lenient ones, is at most ``delta / (strata * rules)`` is
-taken.  Going through nested cutoffs in a fixed order needs no correction;
-strata and rules are corrected by Bonferroni.  So, with probability
-``1 - delta``, in every stratum at most ``alpha`` of the good documents are
-rejected by all rules together.  A stratum with too few labels gets no cutoffs
-and rejects nothing beyond the base rules.
+fixed grid, and all rules are tightened together along one fixed path: the first
+cutoff of every rule in turn, then the second of every rule, and so on.  Nothing
+of this depends on the labels.  A point of the path rejects what any rule rejects
+with its cutoff there, so points are nested, and every document has a first
+point that rejects it.
+
+For every stratum the points are tried from the most lenient one on: of the
+labelled good documents of the stratum (the holdout) it counts those that the
+point rejects, and the exact binomial tail says how likely so few were if the
+true rate of false rejections, by all rules together, were ``alpha``.  The path
+is followed while that is at most ``delta / strata``.  Trying nested points in a
+fixed order needs no further correction, and the strata are corrected by
+Bonferroni.  So, with probability ``1 - delta``, in every stratum at most
+``alpha`` of the good documents are rejected.  A stratum can have cutoffs from
+some 150 good labels on (with ``alpha`` 0.03 and four strata); with fewer it
+rejects nothing beyond the base rules.
 
 Defined results: a null text has no words and fails the base rules; a null
 stratum is a stratum of its own; labels without id or value are left out, and
@@ -123,14 +128,32 @@ def _grid(lenient: int, strict: int, steps: int = 24) -> tuple[int, ...]:
 
 
 RULES = (
-    Rule("symbols", "n_symbols", "n_words", _grid(4000, 20)),
-    Rule("capitals", "n_capitals", "word_chars", _grid(900, 30)),
-    Rule("marks", "n_marks", "n_words", _grid(2000, 20)),
-    Rule("repeats", "n_repeat_words", "n_words", _grid(500, 50)),
-    Rule("dup_lines", "n_dup_lines", "n_lines", _grid(900, 100)),
-    Rule("long_words", "word_chars", "n_words", _grid(20000, 5000)),
-    Rule("short_words", "word_chars", "n_words", _grid(1500, 4500), below=True),
+    Rule("symbols", "n_symbols", "n_words", _grid(4000, 50)),
+    Rule("capitals", "n_capitals", "word_chars", _grid(900, 150)),
+    Rule("marks", "n_marks", "n_words", _grid(2000, 50)),
+    Rule("repeats", "n_repeat_words", "n_words", _grid(500, 150)),
+    Rule("dup_lines", "n_dup_lines", "n_lines", _grid(900, 300)),
+    Rule("long_words", "word_chars", "n_words", _grid(20000, 9000)),
+    Rule("short_words", "word_chars", "n_words", _grid(1500, 2500), below=True),
 )
+#: Points of the path: all cutoffs of all rules.
+POINTS = len(RULES) * max(len(r.cutoffs) for r in RULES)
+
+
+def point_of(step: int, rule: int) -> int:
+    """The point at which a rule takes its cutoff number ``step``."""
+    return step * len(RULES) + rule
+
+
+def first_point() -> Column:
+    """The first point that rejects a document, ``POINTS`` if none does."""
+    points = []
+    for n, r in enumerate(RULES):
+        at = F.lit(POINTS)
+        for k in reversed(range(len(r.cutoffs))):
+            at = F.when(r.rejects(F.lit(r.cutoffs[k])), point_of(k, n)).otherwise(at)
+        points.append(at)
+    return F.least(*points)
 
 
 def base_failed() -> Column:
@@ -152,23 +175,38 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k <= 0, F.exp(first)).otherwise(F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(k, F.lit(1)).cast("bigint")), start, step, lambda acc: acc["total"]))
 
 
+def reached(points: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """``_stratum`` and the strictest point (``at``) that its holdout allows.
+
+    ``points`` has ``_stratum``, ``point`` and ``n``, the good documents that are
+    first rejected there.
+    """
+    strata = max(1, points.select("_stratum").distinct().count())
+    whole = Window.partitionBy("_stratum")
+    upto = whole.orderBy("point").rowsBetween(Window.unboundedPreceding, 0)
+    tried = points.select("_stratum", "point", F.sum("n").over(whole).alias("n"), F.sum("n").over(upto).alias("k"))
+    # beyond the mean the tail is near a half or more, so it isn't summed there
+    tail = lambda k: F.when(k <= F.col("n") * alpha, binomial_tail(k, F.col("n"), alpha)).otherwise(F.lit(1.0))
+    tried = tried.select("_stratum", "point", tail(F.col("k")).alias("tail"), tail(F.lit(0).cast("bigint")).alias("least"))
+    level = delta / strata
+    fails = F.when((F.col("point") < POINTS) & (F.col("tail") > level), F.col("point"))
+    ends = tried.groupBy("_stratum").agg(F.min("least").alias("least"), (F.coalesce(F.min(fails), F.lit(POINTS)) - 1).alias("at"))
+    return ends.where((F.col("at") >= 0) & (F.col("least") <= level)).select("_stratum", "at")
+
+
+def cutoff_at(rule: int, at: Column) -> Column:
+    """A rule's cutoff at a point; null before its first."""
+    cutoffs = F.array(*map(F.lit, RULES[rule].cutoffs))
+    step = F.floor((at - rule) / len(RULES)).cast("int")
+    return F.when(step >= 0, F.get(cutoffs, F.least(step, F.size(cutoffs) - 1)))
+
+
 def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float, delta: float, stratum_col: str, id_col: str, label_col: str) -> DataFrame:
     """A row for each stratum with a cutoff (or null) for each rule's name."""
     good = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label")).where("_label = 1")
     held = measured.join(good, measured[id_col] == good["_id"], "left_semi")
-    # One pass: for each stratum the documents, and of each cutoff those it rejects.
-    counts = [F.count_if(r.rejects(F.lit(c))).alias(f"{r.name}_{k}") for r in RULES for k, c in enumerate(r.cutoffs)]
-    by_stratum = held.groupBy(F.col(stratum_col).alias("_stratum")).agg(F.count("*").alias("n"), *counts)
-    tried = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(k).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{r.name}_{k}").alias("k")) for r in RULES for k, c in enumerate(r.cutoffs)])
-    tests = written(by_stratum.select("_stratum", "n", F.explode(tried).alias("t")).select("_stratum", "n", "t.*"), "tests")
-    strata = tests.select("_stratum").distinct().count()
-    rate, level = alpha / len(RULES), delta / (max(1, strata) * len(RULES))
-    # beyond the mean the tail is near a half or more, so it isn't summed there
-    tail = F.when(F.col("k") <= F.col("n") * rate, binomial_tail(F.col("k"), F.col("n"), rate)).otherwise(F.lit(1.0))
-    in_order = Window.partitionBy("_stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    passed = tests.withColumn("tail", tail).withColumn("worst", F.max("tail").over(in_order)).where(F.col("worst") <= level)
-    chosen = [F.max_by(F.when(F.col("rule") == r.name, F.col("cutoff")), F.when(F.col("rule") == r.name, F.col("step"))).alias(f"_cut_{r.name}") for r in RULES]
-    return passed.groupBy("_stratum").agg(*chosen)
+    points = written(held.groupBy(F.col(stratum_col).alias("_stratum"), first_point().alias("point")).agg(F.count("*").alias("n")), "points")
+    return reached(points, alpha, delta).select("_stratum", *[cutoff_at(k, F.col("at")).alias(f"_cut_{r.name}") for k, r in enumerate(RULES)])
 
 
 #: With at most this many strata the cutoffs are broadcast.
@@ -195,11 +233,12 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float
 
 def oracle_sql(alpha: float = 0.03, delta: float = 0.05) -> str:
     """The query's rows in DuckDB SQL."""
-    rate = alpha / len(RULES)
     words = r"[^\x20\x09-\x0D]+"
-    hits = " UNION ALL ".join(f"SELECT lang, '{r.name}' AS rule, {k} AS step, {c} AS cutoff, count(*) AS n, count(*) FILTER (WHERE 1000 * {r.part} {'<' if r.below else '>'} {c} * {r.whole}) AS k FROM held GROUP BY lang" for r in RULES for k, c in enumerate(r.cutoffs))
-    fails = " OR ".join(f"coalesce(1000 * {r.part} {'<' if r.below else '>'} c.{r.name} * {r.whole}, false)" for r in RULES)
-    cuts = ", ".join(f"max(cutoff) FILTER (WHERE rule = '{r.name}' AND last) AS {r.name}" for r in RULES)
+    rejects = lambda r, cutoff: f"1000 * {r.part} {'<' if r.below else '>'} {cutoff} * {r.whole}"
+    first = ", ".join("CASE " + " ".join(f"WHEN {rejects(r, c)} THEN {point_of(k, n)}" for k, c in enumerate(r.cutoffs)) + f" ELSE {POINTS} END" for n, r in enumerate(RULES))
+    fails = " OR ".join(f"coalesce({rejects(r, f'c.{r.name}')}, false)" for r in RULES)
+    cuts = ", ".join(f"CASE WHEN reach >= {n} THEN ({list(r.cutoffs)})[least((reach - {n}) // {len(RULES)}, {len(r.cutoffs) - 1}) + 1] END AS {r.name}" for n, r in enumerate(RULES))
+    tail = lambda k: f"CASE WHEN {k} <= n * {alpha!r}::DOUBLE THEN list_sum(list_transform(range(0, CAST({k} AS BIGINT) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha!r}::DOUBLE) + (n - i) * ln(1 - {alpha!r}::DOUBLE)))) ELSE 1.0 END"
     return f"""
 WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{words}') AS words,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
@@ -213,11 +252,12 @@ m AS (SELECT w.doc_id, lang, CAST(len(words) AS BIGINT) AS n_words, CAST(length(
     FROM w LEFT JOIN repw USING (doc_id)),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
 held AS (SELECT * FROM m WHERE doc_id IN (SELECT doc_id FROM good)),
-hits AS ({hits}),
-tails AS (SELECT *, CASE WHEN k <= n * {rate!r}::DOUBLE THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate!r}::DOUBLE) + (n - i) * ln(1 - {rate!r}::DOUBLE)))) ELSE 1.0 END AS tail FROM hits),
-worst AS (SELECT *, max(tail) OVER (PARTITION BY lang, rule ORDER BY step) AS worst FROM tails),
-passed AS (SELECT *, step = max(step) OVER (PARTITION BY lang, rule) AS last FROM worst WHERE worst <= {delta!r}::DOUBLE / ((SELECT greatest(1, count(DISTINCT coalesce(lang, ''))) FROM held) * {len(RULES)})),
-cuts AS (SELECT lang, {cuts} FROM passed GROUP BY lang)
+points AS (SELECT lang, least({first}) AS point, count(*) AS n FROM held GROUP BY ALL),
+tried AS (SELECT lang, point, sum(n) OVER (PARTITION BY lang) AS n, sum(n) OVER (PARTITION BY lang ORDER BY point) AS k FROM points),
+tails AS (SELECT lang, point, n, {tail('k')} AS tail, {tail('0')} AS least_tail FROM (SELECT lang, point, n::BIGINT AS n, k::BIGINT AS k FROM tried)),
+level AS (SELECT {delta!r}::DOUBLE / greatest(1, (SELECT count(*) FROM (SELECT DISTINCT lang FROM points))) AS level),
+ends AS (SELECT lang, coalesce(min(point) FILTER (WHERE point < {POINTS} AND tail > level), {POINTS}) - 1 AS reach FROM tails, level GROUP BY lang, level HAVING min(least_tail) <= level),
+cuts AS (SELECT lang, {cuts} FROM ends WHERE reach >= 0)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ({fails}) AS kept
