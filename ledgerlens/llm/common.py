@@ -65,6 +65,14 @@ def scratch_run(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def new_scratch(spark: SparkSession, name: str) -> str:
+    """The path of a scratch table or folder, which goes when the run ends."""
+    path = new_path(spark, name)
+    if (made := _run.get()) is not None:
+        made.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back.
 
@@ -72,9 +80,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before, and later readers share one computation.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    if (made := _run.get()) is not None:
-        made.append(path)
+    path = new_scratch(spark, name)
     # the table replaces the shuffles that made it, so their files can go at once
     with setting(spark, CLEANUP, "true"):
         df.write.option("compression", "zstd").parquet(path)

@@ -25,14 +25,14 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, new_scratch, text_bytes, written
 
 #: A segment is closed at this many words; one longer text is a segment alone.
 SEGMENT_WORDS = 1 << 18
@@ -96,19 +96,30 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(build, INDEX_SCHEMA)
 
 
-def blocks_of_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int | None, str]]]:
-    """The test items in blocks of at most ``BLOCK_BYTES`` (one longer item: a block)."""
+def blocks_of_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The test items as a written table of blocks (``block``, ``ids``, ``texts``)
+    of at most ``BLOCK_BYTES`` (one longer item: a block), packed by tasks."""
+    bounded_batches(items.sparkSession)
     rows = items.select(F.col(f"`{id_col}`").cast("bigint").alias("i"), F.col(f"`{text_col}`").alias("t")).where("t is not null")
-    block, size = [], 0
-    for row in rows.toLocalIterator():
-        n = len(row.t.encode())
-        if block and size + n > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((row.i, row.t))
-        size += n
-    if block:
-        yield block
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
+        part, k, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        for batch in batches:
+            for i, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
+                n = len(text.encode())
+                if ids and size + n > BLOCK_BYTES:
+                    yield pa.RecordBatch.from_pylist([{"block": f"{part}-{k}", "ids": ids, "texts": texts}], schema)
+                    k, ids, texts, size = k + 1, [], [], 0
+                ids.append(i)
+                texts.append(text)
+                size += n
+        if ids:
+            yield pa.RecordBatch.from_pylist([{"block": f"{part}-{k}", "ids": ids, "texts": texts}], schema)
+
+    parts = -(-text_bytes(rows, "t") // BLOCK_BYTES)
+    dealt = rows.repartition(parts) if parts > 1 else rows.coalesce(1)
+    return written(dealt.mapInArrow(pack, "block string, ids array<bigint>, texts array<string>"), "item_blocks")
 
 
 class Phrases:
@@ -277,14 +288,25 @@ def search(index: DataFrame, block: list[tuple[int | None, str]], length: int =
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, slop: int = 0, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Exact phrase and proximity matches of all items: a row for each document.
 
-    The matches of several blocks of items meet by segment and place in it, so
-    repeated and null ids stay apart.
+    Blocks of items are sought one after the other.  The driver holds the block
+    that is sought, as it goes with the task, and no other; what a block finds is
+    written before the next begins, of later blocks only documents with matches.
+    The matches of several blocks meet by segment and place in it, so repeated
+    and null ids stay apart.
     """
+    spark = docs.sparkSession
     index = written(build_index(docs, doc_id, text_col), "postings")
-    parts = [search(index, block, length, slop) for block in blocks_of_items(items, item_id, item_text)] or [search(index, [], length, slop)]
-    if len(parts) == 1:
-        return parts[0].drop("segment", "place")
-    whole = reduce(DataFrame.unionAll, parts)
+    blocks = blocks_of_items(items, item_id, item_text)
+    names = [r.block for r in blocks.select("block").orderBy("block").collect()]
+    held = lambda name: list(zip(*blocks.where(F.col("block") == name).select("ids", "texts").first()))
+    if len(names) <= 1:
+        return search(index, held(names[0]) if names else [], length, slop).drop("segment", "place")
+    folder = new_scratch(spark, "matches")
+    for k, name in enumerate(names):
+        found = search(index, held(name), length, slop)
+        found = found if k == 0 else found.where("n_hit > 0 or size(items) > 0 or size(near_items) > 0")
+        found.write.option("compression", "zstd").parquet(f"{folder}/{k:06}")
+    whole = spark.read.schema(MATCH_SCHEMA).option("recursiveFileLookup", "true").parquet(folder)
     word_numbers = F.flatten(F.collect_list(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
     hit = F.array_sort(F.array_distinct(word_numbers))
     first = F.filter(hit, lambda w, k: (k == 0) | (F.get(hit, k - 1) != w - 1))
