@@ -399,7 +399,9 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     ``prefix_size`` of their own.  The order is: hashes below a cut, rare
     before frequent; then the others.  So only the shingles below the cut have
     to be counted, and of the others a text hands in what its prefix still
-    lacks.  Texts that share a shingle of their prefixes form clusters; all
+    lacks.  The postings of a shingle that stands in very many texts are dealt by
+    their texts, and only their number goes to the shingle's bucket, so that no
+    group grows with it.  Texts that share a shingle of their prefixes form clusters; all
     pairs of a cluster meet that aren't linked through its leaders already
     (``led_by_few``), block by block, and each meeting returns a spanning forest
     of the links.  Texts that are equal count as one; texts
@@ -414,6 +416,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     each = written(each, "sketches")
     buckets = max(16, (each.agg(F.sum("bytes")).first()[0] or 0) * SLICE // 64 // 6 // POSTINGS)
     cut = np.uint64(SLICE << 58)
+    # a shingle that often in the postings of one task would fill a bucket by itself
+    most = max(2, POSTINGS // buckets)
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def dealt(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
@@ -422,8 +426,16 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
             nodes = np.repeat(np.array([o for o, _, _ in held], dtype="<i8"), sizes)
             rooms = np.repeat(np.array([r for _, r, _ in held], dtype="<i4"), sizes)
             bucket = (values % np.uint64(buckets)).astype(np.int32)
+            _, first, which, often = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
+            if (hot := often > most).any():
+                # texts of a frequent shingle are dealt by themselves; its own bucket gets their
+                # number in the place of the room, which is at most 0 otherwise
+                bucket = np.where(hot[which], buckets + nodes % buckets, bucket).astype(np.int32)
+                told = values[first[hot]]
+                values, nodes, rooms = np.r_[values, told], np.r_[nodes, np.zeros(len(told), "<i8")], np.r_[rooms, often[hot].astype("<i4")]
+                bucket = np.r_[bucket, (told % np.uint64(buckets)).astype(np.int32)]
             order = np.argsort(bucket, kind="stable")
-            values, nodes, rooms, bucket = values[order].astype("<u8"), nodes[order], rooms[order], bucket[order]
+            values, nodes, rooms, bucket = values[order].astype("<u8"), nodes[order].astype("<i8"), rooms[order].astype("<i4"), bucket[order]
             begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             ends = np.r_[begins[1:], len(bucket)]
             packed = lambda c: pa.array([c[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())
@@ -449,22 +461,38 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
             yield dealt(held)
 
     def counted(table: pa.Table) -> pa.Table:
+        """Postings with their shingle's count; that is null for those that are
+        dealt by themselves, and of these shingles a row without node has it."""
         column = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), dtype=kind)
         values, nodes, rooms = column("shingles", "<u8"), column("nodes", "<i8"), column("rooms", "<i4")
+        told = rooms > 0
         order = np.lexsort((nodes, values))
-        values, nodes, rooms = values[order], nodes[order], rooms[order]
-        new = np.r_[True, (values[1:] != values[:-1]) | (nodes[1:] != nodes[:-1])]
-        values, nodes, rooms = values[new], nodes[new], rooms[new]
+        values, nodes, rooms, told = values[order], nodes[order], rooms[order], told[order]
+        new = np.r_[True, (values[1:] != values[:-1]) | (nodes[1:] != nodes[:-1]) | told[1:] | told[:-1]]
+        values, nodes, rooms, told = values[new], nodes[new], rooms[new], told[new]
         begins = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-        often = np.diff(np.r_[begins, len(values)])
-        often = np.repeat(often, often)
-        kept = often > 1
+        sizes = np.diff(np.r_[begins, len(values)])
+        often = np.repeat(np.add.reduceat(np.where(told, rooms, 1).astype(np.int64), begins), sizes)
+        apart = table["bucket"][0].as_py() >= buckets
+        kept = (often > 1) | apart
+        # one row tells the count, however many parts it was summed from
+        place = np.arange(len(values)) - np.repeat(begins, sizes)
+        head = np.repeat(np.logical_or.reduceat(told, begins), sizes) & (place == 0)
         # beyond the cut the order doesn't ask for counts
-        often = np.where(values >= cut, 2**31 - 1, often).astype(np.int32)
-        return pa.table({"shingle": values[kept].view(np.int64), "node": nodes[kept], "often": often[kept], "room": rooms[kept]})
+        often = np.where(values >= cut, 2**31 - 1, np.minimum(often, 2**31 - 2)).astype(np.int32)
+        rows = kept & ~told
+        out = pa.table({"shingle": values[rows].view(np.int64), "node": nodes[rows], "often": pa.array(often[rows], mask=np.full(int(rows.sum()), apart)), "room": rooms[rows]})
+        n = int(head.sum())
+        heads = pa.table({"shingle": values[head].view(np.int64), "node": pa.nulls(n, pa.int64()), "often": often[head], "room": pa.nulls(n, pa.int32())})
+        return pa.concat_tables([out, heads]) if n else out
 
     postings = rows.where("text <> ''").select(node.alias("node"), "text").mapInArrow(posted, "bucket int, shingles binary, nodes binary, rooms binary")
     shared = written(postings.groupBy("bucket").applyInArrow(counted, "shingle bigint, node bigint, often int, room int"), "shared")
+    counts = shared.where("node is null").select("shingle", F.col("often").alias("told"))
+    if not counts.isEmpty():
+        counts = small(written(counts, "frequent"))
+        apart = shared.where("node is not null and often is null").join(counts, "shingle").select("shingle", "node", F.col("told").alias("often"), "room")
+        shared = shared.where("node is not null and often is not null").unionByName(apart)
     # a text's other shingles stand in no other text and come first
     of_node = Window.partitionBy("node")
     ranked = shared.withColumns({"place": F.row_number().over(of_node.orderBy("often", "shingle")), "n": F.count("*").over(of_node)})

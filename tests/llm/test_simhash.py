@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import product
 
@@ -138,3 +139,34 @@ def test_a_family_led_by_few_keeps_all_links(spark, leaders, monkeypatch):
 def test_empty_tables(none):
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.similar_groups(none).count() == 0
+
+
+@pytest.mark.parametrize("postings", [1, 40, 400])
+def test_frequent_shingles_are_dealt_by_their_texts(spark, postings, monkeypatch):
+    """A shingle in every text, and a chain of templates: groups as by all pairs."""
+    monkeypatch.setattr(simhash, "POSTINGS", postings)
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    every = [word() for _ in range(12)]
+    chain = [[word() for _ in range(60)]]
+    for _ in range(25):  # each is near the one before, few are near others
+        k = rnd.randrange(60)
+        chain.append(chain[-1][:k] + [word()] + chain[-1][k + 1 :])
+    texts = [" ".join(every + c) for c in chain] + [" ".join(every + [word() for _ in range(rnd.randint(0, 40))]) for _ in range(60)]
+    texts += texts[:3] + [" ".join(every)] * 4
+    sets = [set(simhash.hashed_set(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
