@@ -5,6 +5,9 @@ the longest wins.  For other URLs the verdict comes from token combinations:
 FP-growth mines frequent combinations of URL tokens together with the label
 "block" over labelled pages.  Without labels of their own, pages are labelled
 from seeds: a page is to be blocked if a word of its host is on a short list.
+The seeds themselves are no tokens of the mined pages, or mining would only find
+the list again: what it finds are the other tokens that go with them, and these
+block pages without a seed too.
 
 A combination of at most ``MAX_TOKENS`` tokens becomes a rule if enough blocked
 pages have it (``min_rows``, and ``min_support`` of the labelled pages) and the
@@ -109,6 +112,10 @@ def seeded(host: Column) -> Column:
     return F.arrays_overlap(F.split(host, HOST_SPLIT), F.array(*map(F.lit, SEEDS)))
 
 
+def held_out(id_col: Column, folds: int) -> Column:
+    return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == 0
+
+
 def classes_of(tokens: DataFrame, least: int) -> DataFrame:
     """``class`` (its first token) and ``members``, of tokens that ``least`` blocked pages have.
 
@@ -150,10 +157,13 @@ def mine(tokens: DataFrame, least: int, min_confidence: float) -> DataFrame:
     return spelt.groupBy("rule", "named").agg(F.collect_list("members").alias("wanted"), F.min_by("members", F.struct("n", "class")).alias("filed"))
 
 
-def judge(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[HostRule, ...] = RULES, min_support: float = 0.002, min_confidence: float = 0.8, min_rows: int = 5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[HostRule, ...] = RULES, min_support: float = 0.002, min_confidence: float = 0.8, min_rows: int = 5, id_col: str = "page_id", url_col: str = "url", folds: int | None = None) -> DataFrame:
     """Per row: ``page_id``, ``host``, ``path``, ``rule``, ``verdict``,
     ``mined`` (the mined rule's classes) and ``confidence``.
 
+    With ``folds``, pages whose checksum of the id it divides (``held_out``) are
+    judged but not learnt from, for measuring.
+
     ``labels`` has ``id`` and ``block``; without it all pages are labelled from
     the seeds.  Of mined rules that fit, the most confident decides.
     """
@@ -163,10 +173,13 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[HostRu
     rows = written(rows.select("page_id", "host", "path", tokens_of(F.col("host"), F.col("path"), F.col("url")).alias("tokens"), name.alias("rule"), verdict.alias("fixed"), F.monotonically_increasing_id().alias("row")), "urls")
     some = rows.where(F.size("tokens") > 0)
     if labels is None:
-        labelled = some.select("row", "page_id", "tokens", seeded(F.col("host")).alias("block"))
+        others = F.array_except("tokens", F.array(*[F.lit(f"h:{w}") for w in SEEDS]))
+        labelled = some.select("row", "page_id", others.alias("tokens"), seeded(F.col("host")).alias("block"))
     else:
         known = labels.where("id is not null and block is not null").groupBy("id").agg(F.max("block").alias("block"))
         labelled = some.join(known, some["page_id"] == known["id"]).select("row", "page_id", "tokens", "block")
+    if folds:
+        labelled = labelled.where(~held_out(F.col("page_id"), folds))
     # one row a page, whatever the size
     labelled = written(labelled.groupBy("page_id", "tokens", "block").agg(F.min("row").alias("page")), "labelled")
     n = labelled.count()
@@ -190,6 +203,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[HostRu
         F.coalesce("fixed", F.when(F.col("best").isNotNull(), "block").otherwise("allow")).alias("verdict"),
         F.col("best.mined").alias("mined"),
         F.col("best.confidence").alias("confidence"),
+        *([held_out(F.col("page_id"), folds).alias("held_out")] if folds else []),
     )
 
 
@@ -204,12 +218,12 @@ def oracle_sql(min_support: float = 0.002, min_confidence: float = 0.8, min_rows
     marked = lambda text, split, mark: f"list_transform(list_filter(string_split_regex({text}, '{split}'), lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9]+')), lambda x: '{mark}' || x)"
     words = marked("lower(path)", r"[^\p{L}\p{N}]+", "p:")
     keys = r"list_transform(list_filter(string_split(regexp_extract(lower(url), '\?([^#]*)', 1, 's'), '&'), lambda x: x <> ''), lambda x: 'q:' || regexp_extract(x, '^([^=]*)', 1, 's'))"
-    seeds = ", ".join(f"'{x}'" for x in SEEDS)
+    seeds, marks = ", ".join(f"'{x}'" for x in SEEDS), ", ".join(f"'h:{x}'" for x in SEEDS)
     return f"""
 WITH u AS (SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '{parts}', 1, 's'), '{upper}', '{lower}') AS host, regexp_extract(coalesce(url, ''), '{parts}', 2, 's') AS path FROM pages),
 f AS (SELECT *, {rule} AS rule, {verdict} AS fixed,
     CASE WHEN host = '' THEN [] ELSE list_distinct(list_concat({marked('host', HOST_SPLIT, 'h:')}, {words}, {keys})) END AS tokens FROM u),
-l AS (SELECT min(r) AS page, list_sort(tokens) AS tokens, list_has_any(string_split_regex(host, '{HOST_SPLIT}'), [{seeds}]) AS block FROM f WHERE len(tokens) > 0 GROUP BY page_id, list_sort(tokens), block),
+l AS (SELECT min(r) AS page, list_sort(list_filter(tokens, lambda x: NOT list_contains([{marks}], x))) AS tokens, list_has_any(string_split_regex(host, '{HOST_SPLIT}'), [{seeds}]) AS block FROM f WHERE len(tokens) > 0 GROUP BY page_id, list_sort(list_filter(tokens, lambda x: NOT list_contains([{marks}], x))), block),
 least AS (SELECT greatest({min_rows}, ceil({min_support} * count(*))) AS least FROM l),
 e AS (SELECT page, block, unnest(tokens) AS x FROM l),
 b AS (SELECT x FROM e GROUP BY x HAVING count(*) FILTER (WHERE block) >= (SELECT least FROM least)),

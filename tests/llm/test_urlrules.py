@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import combinations
 
 import duckdb
@@ -93,3 +94,19 @@ def test_repeated_rows_and_empty_tables(spark):
     twice = spark.createDataFrame([(1, "http://x.org/a", "", 0)] * 2, SCHEMA)
     assert urlrules.judge(twice, labels).count() == 2
     assert urlrules.judge(twice.limit(0), labels).count() == 0
+
+
+def test_held_out_pages(spark):
+    """Rules find held-out pages with a seed by what goes with it, and pages without one."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    more = spark.createDataFrame([(900_000 + k, u) for k, u in enumerate(["http://win.example.org/en/1", "http://a.cheap.example.net/de/2", "http://plain.example.org/en/3"])], "page_id long, url string")
+    out = urlrules.judge(pages.unionAll(more), rules=(), folds=5).toPandas()
+    added = out[out.page_id >= 900_000].sort_values("page_id")
+    assert added.verdict.tolist()[:2] == ["block", "block"] and added.verdict.tolist()[2] == "allow"
+    seed = out.host.map(lambda h: bool(set(re.split("[.:-]", h)) & set(urlrules.SEEDS)))
+    open_ = out.held_out & (out.page_id < 900_000)
+    found, true = out.verdict[open_] == "block", seed[open_]
+    precision, recall = (found & true).sum() / max(1, found.sum()), (found & true).sum() / max(1, true.sum())
+    print("held-out precision, recall, pages:", precision, recall, int(true.sum()), sorted(set(out.mined.dropna())))
+    assert precision > 0.8 and recall > 0.8 and true.sum() >= 3
+    assert not any(f"h:{w}" in m.split(" ") for m in out.mined.dropna() for w in urlrules.SEEDS)
