@@ -51,6 +51,15 @@ def findings(text: Column, patterns=PATTERNS, allow_placeholders: bool = False,
     return F.concat(*each)
 
 
+def scan_tree(files: DataFrame, patterns=PATTERNS, placeholder_places: frozenset[str] = frozenset(), known_safe: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:
+    """``place``, ``label`` and ``excerpt`` of what a tree's files (``place``,
+    ``text``) show; an empty value is none in places for placeholders."""
+    place, text = F.col("place"), F.col("text")
+    strict = findings(text, patterns, False, place, known_safe)
+    found = F.when(place.isin(*placeholder_places), findings(text, patterns, True, place, known_safe)).otherwise(strict) if placeholder_places else strict
+    return files.select("place", F.explode(found).alias("f")).select("place", "f.label", "f.excerpt")
+
+
 def rejected_tokens(violations: DataFrame, limit: int = 40) -> DataFrame:
     """The tokens most often rejected, by kind: a top-k report."""
     return violations.groupBy("kind", "token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind", "token").limit(limit)

@@ -166,3 +166,31 @@ def test_hygiene(spark, tmp_path):
     assert hygiene.scan_artifact(tmp_path / "r.json") == ["a: PC-001 cites no field"] and hygiene.describe_artifact(tmp_path / "r.json")["objects"] == 1
     (tmp_path / ".env").write_text("# c\nA=1\nexport B='x y'\nC\n")
     assert load_env_file(tmp_path / ".env") == {"A": "1", "B": "x y"} and load_env_file(tmp_path / "none") == {}
+
+
+def test_a_working_tree(spark, tmp_path):
+    """Planted values are found in every kind of file; exemptions go by place."""
+    from ledgerlens.sources.tree import read_tree, tree_files
+
+    key = "abcdef0123456789" * 2
+    planted = {
+        "a.py": f"api_key = '{key}'\n", "pkg/__init__.py": f"token: {key}", ".env": f"VENDOR_KEY={key}\n", ".env.example": "VENDOR_KEY=\nVENDOR_KEY=''\n", "docs/x/deep.md": f"`Bearer {key}`",
+        "safe.py": f"password = '{key}'", "clean.txt": "nothing of the kind", ".git/config": f"token = {key}", "empty": "",
+    }
+    for name, text in planted.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "image.bin").write_bytes(b"\xff\xfe" + f"token = {key}".encode())
+    assert tree_files(str(tmp_path)) == sorted([n for n in planted if not n.startswith(".git/")] + ["image.bin"])
+    patterns = hygiene.PATTERNS + hygiene.setting_patterns("VENDOR_KEY")
+    files = read_tree(spark, str(tmp_path))
+    found = hygiene.scan_tree(files, patterns, frozenset({".env.example"}), frozenset({("safe.py", key)}))
+    places = sorted({r.place for r in found.collect()})
+    assert places == [".env", "a.py", "docs/x/deep.md", "pkg/__init__.py"]
+    assert all(len(r.excerpt) <= hygiene.EXCERPT for r in found.collect())
+    by_text = {n for n, t in planted.items() if not n.startswith(".git/") and hygiene.scan_text(n, t, n == ".env.example", frozenset({("safe.py", key)}), patterns)}
+    assert by_text == set(places)
+    elsewhere = hygiene.scan_tree(files, patterns, frozenset(), frozenset({("a.py", key)}))
+    assert {r.place for r in elsewhere.collect()} == {".env", ".env.example", "docs/x/deep.md", "pkg/__init__.py", "safe.py"}
+    assert hygiene.scan_tree(read_tree(spark, str(tmp_path), ["gone.py", "clean.txt"]), patterns).collect() == []
+    assert read_tree(spark, str(tmp_path), []).count() == 0
