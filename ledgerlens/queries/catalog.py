@@ -528,6 +528,64 @@ def flag_texts(spark, sf_dir):
     return rules.together(rows, found).select("object_id", "source_ref", F.get_json_object("cited_fields", "$.owner_name").alias("owner_name"), "rule_id", "rule_statement", keys.alias("keys"))
 
 
+#: Values that flags cite, by rule; compared with what the SQL derives.
+VALUES = {
+    "PC-001": ("records_in_chain", "dated_records_in_chain", "threshold", "object_date"),
+    "PC-002": ("owner_name", "date_span", "is_institution_acquisition", "records_earlier_in_chain", "records_in_chain"),
+    "PC-003": ("owner_name", "date_span", "location", "transaction_state", "territory", "persecution_window", "persecution_onset", "onset_earliest", "onset_latest", "window_ends", "overlap_certainty"),
+    "PC-005": ("date_span", "matched_on", "match_basis", "entry_kind", "identity_confirmed", "actor_entry", "actor_window", "overlap_certainty"),
+    "NM-001": ("date_span", "matched_on", "match_basis", "entry_kind", "identity_confirmed", "screening_band", "aliu_entry_name", "aliu_entry_type", "aliu_annotation", "source_url"),
+    "DQ-002": ("owner_name", "date_span", "transaction_state", "commitment_date_applied", "commitment_date_is_default", "certainly_dated_before_1945", "records_in_chain"),
+}
+VALUES["NM-002"] = VALUES["NM-001"]
+
+
+def value_sql(rule: str, **values: str) -> str:
+    assert tuple(values) == VALUES[rule], rule
+    return " || '|' || ".join(f"'{k}=' || coalesce(CAST({v} AS VARCHAR), '')" for k, v in values.items())
+
+
+def text_sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+DESCRIBED = "date_text || ' (' || date_precision || ')'"
+CREATED = "object_date || ' (' || CASE object_date WHEN '1948' THEN 'circa' WHEN '1930' THEN 'before' ELSE 'year' END || ')'"
+ONSETS = ", ".join(f"({t.index}, {k}, {text_sql(t.name)}, {text_sql(w.label)}, '{w.earliest}', '{w.latest}', '{w.ends}')" for t in CFG.onset.territories for k, w in enumerate(t.windows))
+ACTOR_ROWS = ", ".join(f"({k}, {text_sql(e['name'])}, '{e['entry_kind']}', {str(any(b['implies_persecution_of_former_owner'] for b in e['documented_basis'])).lower()})" for k, e in enumerate(CFG.actors.entries))
+NAME_ROWS = ", ".join(f"({k}, {text_sql(e['name'])}, '{e['entry_kind']}', '{e['entry_type']}', {text_sql(e['annotation'])}, {text_sql(e['source_url'])})" for k, e in enumerate(CFG.names.entries))
+UNSURE = "CASE WHEN confirmed THEN '' ELSE ' IDENTITY NOT ESTABLISHED: a surname without a given name fits a different individual equally well.' END"
+LISTED_VALUES = {"date_span": DESCRIBED, "matched_on": "owner_name", "match_basis": "basis", "entry_kind": "kind", "identity_confirmed": "confirmed"}
+
+
+@query("flag_values", f"""{CHAIN}, onset(territory, window_seq, name, label, earliest, latest, ends) AS (VALUES {ONSETS}), actor(entry, name, kind, implies) AS (VALUES {ACTOR_ROWS}), listed(entry, name, kind, type, annotation, url) AS (VALUES {NAME_ROWS})
+SELECT object_id, CAST(NULL AS VARCHAR) AS source_ref, 'PC-001' AS rule_id, 'Unverified: is any ownership before 1945 documented? At its stated precision no record of the chain is dated before 1 January 1945.' || CASE WHEN object_date IS NOT NULL THEN ' The object''s creation is recorded as ' || {CREATED} || ', so an earlier owner is possible.'
+    ELSE ' No creation date is recorded, so missing documentation and a later creation cannot be told apart; recording object_date would separate them.' END AS rule_statement, {value_sql('PC-001', records_in_chain='n', dated_records_in_chain='n_dated', threshold="'1945-01-01'", object_date=CREATED)} AS cited FROM ob WHERE NOT possibly AND NOT created_after
+UNION ALL SELECT object_id, source_ref, 'PC-002', 'Unverified: who held the object before the institution? The chain''s first record is the institution''s own acquisition and names no earlier owner.', {value_sql('PC-002', owner_name='owner_name', date_span=DESCRIBED, is_institution_acquisition='true', records_earlier_in_chain='0', records_in_chain='n')}
+    FROM ch JOIN ob USING (object_id) WHERE rn = 1 AND is_institution_acquisition AND NOT EXISTS (SELECT 1 FROM ch o WHERE o.object_id = ch.object_id AND o.rn > 1 AND o.date_precision IS NULL)
+UNION ALL SELECT object_id, source_ref, 'PC-003', 'Unverified: did a persecuted person make this transfer, at a fair price and free to use the proceeds? Its recorded date ' || CASE {certainty('w_from', 'w_to')} WHEN 'certain' THEN 'overlaps' ELSE 'may overlap, which its precision leaves open,' END || ' the persecution window of ' || name || ' (from ' || label || ' to ' || ends || '). The record says nothing either way.',
+    {value_sql('PC-003', owner_name='owner_name', date_span=DESCRIBED, location='location', transaction_state='transaction_state', territory='name', persecution_window='window_id', persecution_onset='label', onset_earliest='earliest', onset_latest='latest', window_ends='ends', overlap_certainty=certainty('w_from', 'w_to'))}
+    FROM hit JOIN win USING (territory) JOIN onset USING (territory, window_seq) WHERE {OPEN} AND {meets('w_from', 'w_to')}
+UNION ALL SELECT object_id, source_ref, 'PC-005', CASE WHEN implies THEN 'Unverified: in what circumstances was this transaction made? A party matches the entry for ' || name || ', whose documented basis is cited. The match makes no finding about the transaction.'
+    WHEN {EVIDENCE} THEN 'Unverified: in what circumstances was this transaction made? A party matches the entry for ' || name || ', whose basis does not bear on a private former owner; the question comes from the record''s own transaction_state.'
+    ELSE 'For context only: a party matches the entry for ' || name || '. On the cited basis this does NOT indicate persecution of a former owner, and nothing else in the record suggests it. What does that basis cover?' END || {UNSURE},
+    {value_sql('PC-005', **LISTED_VALUES, actor_entry='name', actor_window="'1938-01-01 to 1945-12-31'", overlap_certainty=certainty(*ACTOR))} FROM ch JOIN ac USING (owner_name) JOIN actor USING (entry) WHERE {OPEN} AND {meets(*ACTOR)}
+UNION ALL SELECT object_id, source_ref, CASE type WHEN 'exonerating' THEN 'NM-002' ELSE 'NM-001' END, CASE type WHEN 'exonerating' THEN 'An owner name matches the entry for ' || name || ', which is EXONERATING: its annotation, quoted in full, raises no concern. This is context, is not a flag and puts nothing in the queue.'
+    ELSE 'Unverified: is the person or firm in this record the one that the list describes? An owner name matches the entry for ' || name || '. The entry''s annotation is quoted in full; the match makes no finding.' || {UNSURE} END,
+    {value_sql('NM-001', **LISTED_VALUES, screening_band=f"'{CFG.onset.band[0]} to {CFG.onset.band[1]}'", aliu_entry_name='name', aliu_entry_type='type', aliu_annotation='annotation', source_url='url')} FROM ch JOIN nm USING (owner_name) JOIN listed USING (entry) WHERE {meets(*BAND)}
+UNION ALL SELECT ch.object_id, source_ref, 'DQ-002', 'Unverified: what provenance before 1945 was established when the object was acquired? The acquisition is dated after 1998-12-03, and no record is certainly dated before 1945. The question is about the acquisition, not the object''s past.',
+    {value_sql('DQ-002', owner_name='owner_name', date_span=DESCRIBED, transaction_state='transaction_state', commitment_date_applied="'1998-12-03'", commitment_date_is_default='true', certainly_dated_before_1945='false', records_in_chain='n')} FROM ch JOIN ob USING (object_id) WHERE is_institution_acquisition AND e > DATE '1998-12-03' AND NOT certainly""")
+def flag_values(spark, sf_dir):
+    """Statements and cited values of the rules on chains, windows and lists."""
+    rows = staged(rich(spark, sf_dir), "records")
+    named, _, cited = rules.nm001(rows, CFG)
+    found = rules.pc001(rows)[0] + rules.pc002(rows)[0] + rules.pc003(rows, CFG)[0][:1] + rules.pc005(rows, CFG)[0] + named + cited + rules.dq002(rows, CFG)[0]
+    told = F.lit(None).cast("string")
+    for rule, names in VALUES.items():
+        told = F.when(F.col("rule_id") == rule, F.concat_ws("|", *[F.concat(F.lit(f"{n}="), F.coalesce(F.get_json_object("cited_fields", f"$.{n}"), F.lit(""))) for n in names])).otherwise(told)
+    return rules.together(rows, found).select("object_id", "source_ref", "rule_id", "rule_statement", told.alias("cited"))
+
+
 # --- assembly --------------------------------------------------------------
 
 ALL_FLAGS = f"""{CHAIN}, {CATALOGUE}, {PAIRS}, fl AS (
