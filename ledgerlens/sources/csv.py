@@ -205,8 +205,9 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
         raise InputError(others)
     schema = ", ".join(f"`{n}` string" for n in names) or "none string"
     cells = F.from_csv("text", F.lit(schema), {**OPTIONS, "mode": "PERMISSIVE"})
-    parsed = rows.where("row > 0").select("path", "row", cells.alias("cells"))
-    given = [(F.col(f"cells.`{n}`") if n in names else F.lit(None).cast("string")).alias(n) for n in FIELDS]
+    # a generator, so that a row is parsed once and not for every use of a cell
+    parsed = rows.where("row > 0").select("path", "row", F.inline(F.array(cells)))
+    given = [(F.col(f"`{n}`") if n in names else F.lit(None).cast("string")).alias(n) for n in FIELDS]
     out = parsed.select("path", "row", *given)
     if odd:
         out = out.where(~F.col("path").isin(odd)).unionByName(read_whole(spark, path, odd))
