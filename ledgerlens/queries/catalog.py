@@ -488,7 +488,7 @@ WHOLE = "CASE WHEN date_precision IN ('exact', 'month', 'year') THEN {0} END"
 @query("lido_read", f"""{EV} SELECT object_id, row_number() OVER (PARTITION BY object_id ORDER BY source_order) AS place, owner_name, 'Other name' AS variants, CAST({WHOLE.format('n_from')} AS VARCHAR) AS earliest, CAST({WHOLE.format('n_to')} AS VARCHAR) AS latest,
   {WHOLE.format('date_precision')} AS date_precision, transaction_state, location, {COUNTRY.format('location')} AS country, object_class, source_citation, 'A note. & more' AS notes FROM ev""")
 def lido_read(spark, sf_dir):
-    records, _ = lido.load_records(spark, lido_files(spark, sf_dir))
+    records, _ = lido.load_frames(spark, lido_files(spark, sf_dir))
     span = F.col("span")
     return records.select(
         "object_id", F.row_number().over(Window.partitionBy("object_id").orderBy("source_order")).cast("bigint").alias("place"), "owner_name", F.array_join("owner_name_variants", "|").alias("variants"), span["earliest"].cast("string").alias("earliest"),

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fold_text
 from ..model import CIRCA_MARGIN, FIELDS
 from ..numbering import numbered
-from ..staging import staged
+from ..staging import broadcast_if_small, staged
 from .lists import EventTypes, load_event_types
 from .records import typed, valid
 
@@ -266,7 +266,9 @@ MARK = "lido>"
 BAD = "\ufffd"
 ENDED, BEGUN = re.compile(r"</(?:[\w.-]+:)?$"), re.compile(r"<(?:[\w.-]+:)?$")
 SILENT = re.compile(r"<!--(?:(?!--).)*-->|\s+", re.DOTALL)
-PREFIX = re.compile(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]")
+TAG = re.compile("<[^<>]*>")
+#: Of an element or an attribute; text may have colons too.
+PREFIX = re.compile(r"^</?([A-Za-z_][\w.-]*):[A-Za-z_]|\s([A-Za-z_][\w.-]*):[A-Za-z_][\w.-]*\s*=")
 DECLARED = re.compile(r"xmlns:([\w.-]+)\s*=")
 ENCODING = re.compile(r"<\?xml[^>]*encoding\s*=\s*[\"']([^\"']+)")
 
@@ -287,7 +289,7 @@ def record_of(piece: str) -> tuple[str, str | None, set[str]]:
     prefix = end.group()[2:]
     start = re.search(rf"<{re.escape(prefix)}lido(?=\s)", piece)
     before, body = (piece[: start.start()], piece[start.start() :]) if start else ("", f"<{prefix}{MARK}{piece}")
-    used = set(PREFIX.findall(body)) - {"xml", "xmlns"}
+    used = {a or b for tag in TAG.findall(body + MARK) if ":" in tag for a, b in PREFIX.findall(tag)} - {"xml", "xmlns"}
     return before, body + MARK, used - set(DECLARED.findall(body))
 
 
@@ -387,27 +389,29 @@ def irregular_files(pieces: DataFrame) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str, types: EventTypes) -> DataFrame:
-    """Rows, problems and notes of all files; ``source_order`` counts inside one."""
+    """Rows, problems and notes of all files; ``source_order`` counts inside one.
+    They come from staged tables, so that many readers may each take their part."""
     pieces = staged(read_pieces(spark, path, types), "pieces")
-    whole = [r.path for r in irregular_files(pieces).collect()]
+    irregular = staged(irregular_files(pieces), "irregular")
+    whole = [r.path for r in irregular.collect()]
     in_order = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = pieces.where("kind = 'count'").select("path", "block", "record", "source_order")
     # one row a split; the splits of a file are added up
-    before = sizes.select("path", "block", *[F.coalesce(F.sum(c).over(in_order), F.lit(0)).alias(f"{c}s_before") for c in ("record", "source_order")])
-    rows = pieces.where(~F.col("kind").isin("count", "outside", "odd", "prefix")).join(before, ["path", "block"])
+    before = staged(sizes.select("path", "block", *[F.coalesce(F.sum(c).over(in_order), F.lit(0)).alias(f"{c}s_before") for c in ("record", "source_order")]), "before")
+    rows = pieces.where(~F.col("kind").isin("count", "outside", "odd", "prefix")).join(broadcast_if_small(before), ["path", "block"])
     # a problem of the record itself names its number in the file
     told = F.regexp_replace("detail", r"(?s)^(.*?): record: ", F.concat(F.lit("$1: record "), (F.col("records_before") + F.col("record")).cast("string"), F.lit(": ")))
     rows = rows.withColumns({"detail": F.when((F.col("kind") == "problem") & (F.col("source_order") == -1), told).otherwise(F.col("detail")), "source_order": F.when(F.col("source_order") >= 0, F.col("source_orders_before") + F.col("source_order"))}).select(*COLUMNS)
     totals = sizes.groupBy("path").agg(F.sum("record").alias("records"), F.sum("source_order").alias("events"))
     empty = totals.where("records > 0 and events = 0").select("path", F.lit("problem").alias("kind"), F.concat(F.element_at(F.split("path", "/"), -1), F.lit(": no events")).alias("detail"))
     rows = rows.unionByName(empty, allowMissingColumns=True)
-    return rows.where(~F.col("path").isin(whole)).select(*COLUMNS).unionByName(read_whole(spark, whole, types)) if whole else rows
+    return rows.join(broadcast_if_small(irregular), "path", "left_anti").select(*COLUMNS).unionByName(staged(read_whole(spark, whole, types), "whole")) if whole else rows
 
 
 def in_file_order(events: DataFrame) -> DataFrame:
     """``source_order`` over all files, which count by path; only paths are numbered."""
     files = numbered(events.select("path").distinct(), "path", number="file")
-    return events.join(files, "path").withColumn("source_order", F.col("file") * F.lit(FILE_EVENTS) + F.col("source_order")).drop("path", "file")
+    return events.join(broadcast_if_small(files), "path").withColumn("source_order", F.col("file") * F.lit(FILE_EVENTS) + F.col("source_order")).drop("path", "file")
 
 
 NOTES = "source_order bigint, source_ref string, kind string, detail string"
@@ -415,7 +419,7 @@ NOTES = "source_order bigint, source_ref string, kind string, detail string"
 
 def load_frames(spark: SparkSession, path: str, margin: int = CIRCA_MARGIN, types: EventTypes | None = None) -> tuple[DataFrame, DataFrame]:
     """(typed records, ingest notes); the whole input is rejected on problems."""
-    read = staged(read_events(spark, path, types or load_event_types()), "events")
+    read = read_events(spark, path, types or load_event_types())
     events = in_file_order(read)
     typed_rows = staged(typed(events.where("kind = 'row'").drop("kind", "detail"), margin), "typed")
     # a file that can't be read as a whole has no place in the order
@@ -431,6 +435,7 @@ def listed_notes(notes: DataFrame, most: int | None = None) -> list[dict]:
 
 
 def load_records(spark: SparkSession, path: str, margin: int = CIRCA_MARGIN, types: EventTypes | None = None) -> tuple[DataFrame, list[dict]]:
-    """(typed records, ingest notes as a list)."""
+    """(typed records, ingest notes as a list).  The list is collected, so it is for
+    one collection; ``load_frames`` leaves the notes where they are."""
     records, notes = load_frames(spark, path, margin, types)
     return records, listed_notes(notes)

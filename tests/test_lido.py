@@ -159,3 +159,23 @@ def test_files_are_numbered_without_one_task_for_all(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "Window" not in plan
     assert numbered(spark.createDataFrame([], "path string"), "path").collect() == []
+
+
+def test_the_query_keeps_notes_off_the_driver_and_splits_its_files(spark, monkeypatch):
+    """Text after a line break may have a colon without being a prefix."""
+    from ledgerlens.queries import QUERIES, catalog
+
+    sf = "/root/testdata/sf0.001"
+
+    def collected(*_):
+        raise AssertionError("all notes go to the driver")
+
+    monkeypatch.setattr(lido, "listed_notes", collected)
+    assert QUERIES["lido_read"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    pieces = lido.read_pieces(spark, catalog.lido_files(spark, sf), lido.load_event_types())
+    assert pieces.where("detail like '%is not read as a date%'").count() > 0 and lido.irregular_files(pieces).collect() == []
+
+
+def test_prefixes_are_those_of_tags():
+    piece = "<a:b c:d='e f:g'>h i:j\nRECORD_EXT:k=l</a:b ><m/></"
+    assert lido.record_of(piece)[2] == {"a", "c"}
