@@ -6,6 +6,8 @@ columns of ``documents``; the last adds the tokens.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +38,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies.
 
-    Rows of one id count as one document; rows without id stay.
+    Texts are near copies if their SimHash fingerprints, as ``op3_simhash`` has them,
+    differ in at most three bits.  Near copies that lie further apart are linked by
+    their shared shingles, so that none at that similarity is lost; groups are what
+    either kind of link joins.  Rows of one id count as one document; rows without
+    id stay.
     """
     docs = docs.select(*COLUMNS)
-    groups = simhash.similar_groups(docs.where("doc_id is not null"), size=5, similarity=0.8)
-    ids = written(groups.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n")), "ids")
-    gone, repeated = ids.where("not first").select("doc_id"), ids.where("first and n > 1").select("doc_id")
+    named = docs.where("doc_id is not null").withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = named.select("key", "text")
+    found = [simhash.near_duplicates(texts, size=3, threshold=3, id_col="key"), simhash.similar_groups(texts, size=5, similarity=0.8, id_col="key")]
+    either = reduce(DataFrame.unionAll, [f.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")) for f in found])
+    roots = simhash.components(either)
+    least = written(named.groupBy("key").agg(F.min("doc_id").alias("least")), "least")
+    of_group = least.join(small(roots.withColumnRenamed("node", "key")), "key", "left").groupBy(F.coalesce("root", "key").alias("root"))
+    firsts = of_group.agg(F.min("least").alias("doc_id")).select("doc_id", F.lit(True).alias("first")).distinct()
+    ids = written(named.groupBy("doc_id").agg(F.count("*").alias("n")).join(firsts, "doc_id", "left"), "ids")
+    gone, repeated = ids.where("first is null").select("doc_id"), ids.where("first and n > 1").select("doc_id")
     left = docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
     if repeated.isEmpty():
         return left

@@ -103,3 +103,17 @@ def test_near_stage_counts_rows_of_one_id_once(spark):
     rows = [(1, "a b c d e f g", "en", "s", 1), (1, "a b c d e f g", "en", "s", 1), (None, None, None, None, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.near_dedup(spark, frame, SF).select(F.count("*")).first()[0] == 2
+
+
+def test_near_stage_links_by_fingerprint_and_by_shingles(spark):
+    """A refrain with other verses is near by SimHash alone; an edited text, by its shingles alone."""
+    words = lambda tag, n: [f"{tag}{k}" for k in range(n)]
+    refrain, edited = " ".join(words("r", 7)) + " ", words("e", 180)
+    other = [f"o{k}" if k in (30, 70, 110) else w for k, w in enumerate(edited)]
+    texts = {1: refrain * 90 + " ".join(words("a", 15)), 2: refrain * 90 + " ".join(words("b", 15)), 3: " ".join(edited), 4: " ".join(other), 5: " ".join(words("x", 80))}
+    sets = {i: set(simhash.shingles(t, 5)) for i, t in texts.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    bits = lambda a, b: (simhash.fingerprint_of(texts[a], 3) ^ simhash.fingerprint_of(texts[b], 3)).bit_count()
+    assert not alike(1, 2) and bits(1, 2) <= 3 and alike(3, 4) and bits(3, 4) > 3
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, SF).collect()) == [1, 3, 5]
